@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Module and query have the same name.
-NAMES = ["op5_token_files", "op9_best_fit_packing"]
+NAMES = ["op3_quality_classifier", "op5_token_files", "op9_best_fit_packing", "op10_language_id"]
 
 
 def queries() -> dict:
