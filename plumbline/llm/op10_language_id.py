@@ -113,7 +113,7 @@ class Predictor:
 
     def __init__(self, net: Network):
         self.net, self.tables = net, []
-        for w, filters, bias in zip(WIDTHS, net.filters, net.biases, strict=True):
+        for w, filters, bias in zip(WIDTHS if net.languages else (), net.filters, net.biases, strict=True):
             taps = [(net.embedding @ filters[i * EMBEDDING : (i + 1) * EMBEDDING]).astype(np.float32) for i in range(w)]
             parts = []
             for i in range(0, w - 1, 2):
