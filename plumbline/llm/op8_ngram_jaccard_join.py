@@ -56,8 +56,8 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
-    """Hashes of the distinct shingles of a text, in ascending order."""
+def shingles(text: str | None, words: int = WORDS, ordered: bool = False) -> np.ndarray:
+    """Hashes of the distinct shingles of a text, in ascending order; or of all of them in the order of the text."""
     from xxhash import xxh3_64_intdigest
 
     found = text.encode("utf-8", "replace").lower().split() if text else []  # of bytes: only A-Z, only ASCII white space
@@ -68,7 +68,8 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     total = np.full(len(found) - span + 1, span, np.uint64)
     for i in range(span):
         total = total * _MULTIPLIER + hashes[i : len(found) - span + 1 + i]
-    return np.unique(mixed(total))
+    total = mixed(total)
+    return total if ordered else np.unique(total)
 
 
 def needed(n: int) -> int:
