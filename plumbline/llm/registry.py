@@ -5,7 +5,18 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Module and query have the same name.
-NAMES = ["op1_quality_rules", "op3_quality_classifier", "op5_token_files", "op7_benchmark_decontamination", "op8_ngram_jaccard_join", "op9_best_fit_packing", "op10_language_id"]
+NAMES = [
+    "op1_quality_rules",
+    "op2_html_extraction",
+    "op3_quality_classifier",
+    "op4_license_scans",
+    "op5_token_files",
+    "op6_chat_formatting",
+    "op7_benchmark_decontamination",
+    "op8_ngram_jaccard_join",
+    "op9_best_fit_packing",
+    "op10_language_id",
+]
 
 
 def queries() -> dict:
