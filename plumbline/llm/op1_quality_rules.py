@@ -32,6 +32,8 @@ MIN_WORDS = 50
 #: Risk: the largest share of good documents that may be rejected in a stratum, and the probability of failing that.
 ALPHA, DELTA = 0.02, 0.1
 BROADCAST_STRATA = 100_000
+#: Repeated windows that are looked up one by one.
+LOOKED_UP = 32
 #: Rules: a ratio and its cutoffs, from lenient to strict; a document with a ratio above the cutoff is rejected.
 RULES = {
     "symbols": ("n_symbols / word_chars", [0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1, 0.075, 0.05, 0.03, 0.02, 0.01]),
@@ -73,39 +75,46 @@ def binomial_tail(k: Column, n: Column, p: Column) -> Column:
     return F.when(k > n * p, F.lit(1.0)).otherwise(F.least(F.aggregate(steps, start, add, lambda acc: acc["sum"]), F.lit(1.0)))
 
 
-def _repeated(words: Column) -> Column:
-    """How many words are in a window of three that occurs twice or more, the first one included."""
-    n = F.size(words)
-    windows = F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.xxhash64(F.get(words, i - 1), F.get(words, i), F.get(words, i + 1)))
-    return F.when(n >= 4, _covered(windows)).otherwise(F.lit(0)).cast("long")
-
-
-def _covered(windows: Column) -> Column:
-    ordered = F.sort_array(windows)
-    n = F.size(windows)
-    twice = F.array_distinct(F.array_compact(F.zip_with(F.slice(ordered, 1, n - 1), F.slice(ordered, 2, n - 1), lambda a, b: F.when(a == b, a))))
-    # the windows' places, then a count of the words that they cover: each adds the words beyond the last window's end
-    few = F.filter(F.transform(windows, lambda h, i: F.when(F.array_contains(twice, h), i)), lambda i: i.isNotNull())
-    # with many repeats, a sort of (window, place) finds the places without looking each one up in the list
-    pairs = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    same = F.zip_with(F.slice(pairs, 1, n - 1), F.slice(pairs, 2, n - 1), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])))
-    many = F.array_sort(F.array_distinct(F.flatten(F.array_compact(same))))
-    places = F.when(F.size(twice) == 0, F.array().cast("array<int>")).when(F.size(twice) <= 32, few).otherwise(many)
+def _repeats(rows: DataFrame) -> DataFrame:
+    """Adds n_repeat_words: words in a window of three that occurs twice or more in the text, the first one included.
+
+    Each step is a column of its own that the next one reads more than once, so that none is computed anew for every
+    element. A text whose windows all differ is done after the first step.
+    """
+    n = F.size("_words")
+    hashed = F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.xxhash64(F.get("_words", i - 1), F.get("_words", i), F.get("_words", i + 1)))
+    none = F.array().cast("array<long>")
+    rows = rows.withColumn("_windows", F.when(n >= 4, hashed).otherwise(none))
+    rows = rows.withColumn("_ordered", F.when(F.size(F.array_distinct("_windows")) < F.size("_windows"), F.sort_array("_windows")).otherwise(none))
+    k = F.size("_ordered")
+    same = F.zip_with(F.slice("_ordered", 1, F.greatest(k - 1, F.lit(0))), F.slice("_ordered", 2, F.greatest(k - 1, F.lit(0))), lambda a, b: F.when(a == b, a))
+    rows = rows.withColumn("_twice", F.when(k > 0, F.array_distinct(F.array_compact(same))).otherwise(none))
+    # the places of these windows: with few of them by looking each one up, with many by a sort of (window, place)
+    few = F.array_compact(F.transform("_windows", lambda h, i: F.when(F.array_contains("_twice", h), i)))
+    rows = rows.withColumn("_pairs", F.when(F.size("_twice") > LOOKED_UP, F.sort_array(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+    m = F.size("_pairs")
+    met = F.zip_with(F.slice("_pairs", 1, m - 1), F.slice("_pairs", 2, m - 1), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])))
+    many = F.array_sort(F.array_distinct(F.flatten(F.array_compact(met))))
+    rows = rows.withColumn("_places", F.when(F.size("_twice") == 0, F.array().cast("array<int>")).when(F.size("_twice") <= LOOKED_UP, few).otherwise(many))
+    # each place adds the words beyond the end of the window before it
     start = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
-    return F.aggregate(places, start, lambda acc, i: F.struct((i + 3).alias("end"), (acc["n"] + (i + 3) - F.greatest(acc["end"], i)).alias("n")), lambda acc: acc["n"])
+    covered = F.aggregate("_places", start, lambda acc, i: F.struct((i + 3).alias("end"), (acc["n"] + (i + 3) - F.greatest(acc["end"], i)).alias("n")), lambda acc: acc["n"])
+    return rows.withColumn("n_repeat_words", F.when(F.size("_places") > 0, covered).otherwise(F.lit(0)).cast("long")).drop("_windows", "_ordered", "_twice", "_pairs", "_places")
 
 
 def counts(docs: DataFrame) -> DataFrame:
     """Base counts of each whole text; keeps the other columns but text."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.withColumn("_words", words_of(text)).withColumn("_lines", F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    rows = _repeats(docs.withColumn("_words", words_of(text)))
+    rows = rows.withColumn("_lines", lines)
     return rows.select(
         *[c for c in docs.columns if c != "text"],
         F.size("_words").cast("long").alias("n_words"),
-        F.length(F.regexp_replace(text, WORD_GAP, "")).cast("long").alias("word_chars"),
+        F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
         F.regexp_count(text, F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        _repeated(F.col("_words")).alias("n_repeat_words"),
+        "n_repeat_words",
         F.size("_lines").cast("long").alias("n_lines"),
         F.regexp_count(text, F.lit("!")).cast("long").alias("n_bangs"),
     )
