@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import pages
+
+_PARTS = (pages,)
+QUERIES: dict = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
+ORACLES: dict = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}
 FLAGSHIP = "audit_ranked_findings"
