@@ -68,12 +68,15 @@ def headings(html: Column) -> Column:
     return F.zip_with(levels, texts, lambda level, text: F.struct(level.cast("int").alias("level"), plain(text).alias("text")))
 
 
-def links(html: Column, url: Column) -> Column:
-    def link(href: Column) -> Column:
-        target = urls.normalized(urls.absolute(F.trim(href), url))
-        return F.struct(target.alias("href"), urls.same_site(target, url).alias("internal"))
+def links(html: Column, base: Column) -> Column:
+    """Targets in the order of the page, given the parts of its url, and whether they stay on its site."""
 
-    return F.filter(F.transform(F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(1)), link), lambda x: x["href"].isNotNull())
+    def link(p: Column) -> Column:
+        return F.struct(urls.normal_of(p).alias("href"), (urls.site_of(p) == urls.site_of(base)).alias("internal"))
+
+    hrefs = F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(1))
+    targets = F.transform(F.transform(F.transform(hrefs, lambda h: urls.absolute_of(F.trim(h), base)), urls.parts), link)
+    return F.filter(targets, lambda x: x["href"].isNotNull())
 
 
 def _attribute(tag: Column, name: str) -> Column:
@@ -87,12 +90,12 @@ def _pixels(tag: Column, name: str) -> Column:
     return F.when(found > 0, found)
 
 
-def images(html: Column, url: Column) -> Column:
+def images(html: Column, base: Column) -> Column:
     def image(tag: Column) -> Column:
         src = _attribute(tag, "src")
         inner = F.regexp_extract(src, r"/_next/image\?(?:.*&)?url=([^&]*)", 1)
         real = F.when(inner != "", F.try_url_decode(inner)).otherwise(src)
-        resolved = F.when(real.startswith("data:"), real).otherwise(urls.absolute(real, url))
+        resolved = F.when(real.startswith("data:"), real).otherwise(urls.absolute_of(real, base))
         return F.struct(resolved.alias("src"), _attribute(tag, "alt").alias("alt"), _pixels(tag, "width").alias("width"), _pixels(tag, "height").alias("height"))
 
     return F.transform(F.regexp_extract_all(html, F.lit(IMAGE), F.lit(0)), image)
@@ -113,9 +116,9 @@ def questions(html: Column) -> Column:
     return F.zip_with(asked, answers, lambda q, a: F.struct(collapsed(q).alias("text"), blank_to_null(plain(a)).alias("answer")))
 
 
-def hreflangs(html: Column, url: Column) -> Column:
+def hreflangs(html: Column, base: Column) -> Column:
     tags = F.filter(F.regexp_extract_all(html, F.lit(r"(?is)<link\s[^>]*>"), F.lit(0)), lambda t: _attribute(t, "hreflang").isNotNull())
-    return F.transform(tags, lambda t: F.struct(_attribute(t, "hreflang").alias("lang"), urls.normalized(urls.absolute(_attribute(t, "href"), url)).alias("href")))
+    return F.transform(tags, lambda t: F.struct(_attribute(t, "hreflang").alias("lang"), urls.normalized(urls.absolute_of(_attribute(t, "href"), base)).alias("href")))
 
 
 def agent_tools(html: Column) -> Column:
@@ -140,20 +143,21 @@ def page_model(pages: DataFrame) -> DataFrame:
     """Page records from pages (url, html); other columns are kept, html is not."""
     html, url = F.coalesce(F.col("html"), F.lit("")), F.col("url")
     # the texts come first, so that no later field computes them anew
-    rows = pages.withColumn("content", visible_text(html)).withColumn("structured_data", structured_data(html)).withColumn("headings", headings(html))
+    base = F.col("_base")
+    rows = pages.withColumn("_base", urls.parts(url)).withColumn("content", visible_text(html)).withColumn("structured_data", structured_data(html)).withColumn("headings", headings(html))
     article = F.lower(F.coalesce(F.regexp_extract(html, r"(?is)<link[^>]*rel=\"canonical\"[^>]*href=\"([^\"]*)\"", 1), F.lit("")))
     return rows.withColumns(
         {
             "title": blank_to_null(collapsed(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))),
             "meta_description": meta(html, "description"),
-            "canonical": F.when(article != "", urls.absolute(F.regexp_extract(html, r"(?is)<link[^>]*rel=\"canonical\"[^>]*href=\"([^\"]*)\"", 1), url)),
+            "canonical": F.when(article != "", urls.absolute_of(F.regexp_extract(html, r"(?is)<link[^>]*rel=\"canonical\"[^>]*href=\"([^\"]*)\"", 1), base)),
             "robots_meta": meta(html, "robots"),
-            "links": links(html, url),
-            "images": images(html, url),
+            "links": links(html, base),
+            "images": images(html, base),
             "entities": F.transform(F.filter("structured_data", lambda b: b["name"].isNotNull()), lambda b: F.struct(b["name"].alias("name"), b["type"].alias("type"))),
             "questions": questions(html),
             "language": blank_to_null(F.regexp_extract(html, r"(?is)<html[^>]*\slang=\"([^\"]*)\"", 1)),
-            "hreflang": hreflangs(html, url),
+            "hreflang": hreflangs(html, base),
             "open_graph": _metas(html, "og"),
             "twitter": _metas(html, "twitter"),
             "viewport": meta(html, "viewport"),
@@ -161,4 +165,4 @@ def page_model(pages: DataFrame) -> DataFrame:
             "raw_html_hash": F.sha2(html, 256),
             "agent_tools": agent_tools(html),
         }
-    ).drop("html")
+    ).drop("html", "_base")

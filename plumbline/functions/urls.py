@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,6 +21,18 @@ def _part(url: Column, group: int) -> Column:
     return F.regexp_extract(url, URL, group)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """A value that an expression reads several times and that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def parts(url: Column) -> Column:
+    """scheme and host in lower case, port without the default, path and query as they are."""
+    port = F.regexp_extract(url, URL, 3)
+    default = (port == "") | F.lower(F.concat_ws(":", _part(url, 1), port)).isin([f"{k}:{v}" for k, v in DEFAULT_PORTS.items()])
+    return F.struct(F.lower(_part(url, 1)).alias("scheme"), F.lower(_part(url, 2)).alias("host"), F.when(default, F.lit("")).otherwise(F.concat(F.lit(":"), port)).alias("port"), _part(url, 4).alias("path"), _part(url, 5).alias("query"))
+
+
 def scheme(url: Column) -> Column:
     return F.lower(_part(url, 1))
 
@@ -38,19 +52,21 @@ def canonical_host(name: Column) -> Column:
     return F.when(plain == "", None).when(plain == "www.", plain).otherwise(F.regexp_replace(plain, r"^www\.", ""))
 
 
-def _netloc(url: Column) -> Column:
-    port = _part(url, 3)
-    plain = (port == "") | ((scheme(url) == "http") & (port == "80")) | ((scheme(url) == "https") & (port == "443"))
-    return F.when(plain, host(url)).otherwise(F.concat(host(url), F.lit(":"), port))
+def origin_of(p: Column) -> Column:
+    return F.concat(p["scheme"], F.lit("://"), p["host"], p["port"])
+
+
+def site_of(p: Column) -> Column:
+    return F.regexp_replace(F.concat(p["host"], p["port"]), r"^www\.", "")
 
 
 def origin(url: Column) -> Column:
-    return F.concat(scheme(url), F.lit("://"), _netloc(url))
+    return let(parts(url), origin_of)
 
 
 def site(url: Column) -> Column:
     """What two URLs of one site have in common: the canonical host and a port that is not the default."""
-    return F.regexp_replace(_netloc(url), r"^www\.", "")
+    return let(parts(url), site_of)
 
 
 def same_site(left: Column, right: Column) -> Column:
@@ -72,31 +88,38 @@ def path_segments(url: Column) -> Column:
     return F.filter(F.split(_part(url, 4), "/"), lambda p: p != "")
 
 
-def absolute(href: Column, base: Column) -> Column:
-    """An href as a URL: as it is, with the base's scheme, origin or folder in front."""
-    folder = F.regexp_replace(path(base), "[^/]*$", "")
+def absolute_of(href: Column, base: Column) -> Column:
+    """An href as a URL, given the parts of its base: as it is, or with the base's scheme, origin or folder in front."""
+    place = F.coalesce(F.nullif(base["path"], F.lit("")), F.lit("/"))
     return (
         F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), href)
-        .when(href.startswith("//"), F.concat(scheme(base), F.lit(":"), href))
-        .when(href.startswith("/"), F.concat(origin(base), href))
-        .when(href.rlike(r"^[?#]") | (href == ""), F.concat(origin(base), path(base), href))
-        .otherwise(F.concat(origin(base), folder, href))
+        .when(href.startswith("//"), F.concat(base["scheme"], F.lit(":"), href))
+        .when(href.startswith("/"), F.concat(origin_of(base), href))
+        .when(href.rlike(r"^[?#]") | (href == ""), F.concat(origin_of(base), place, href))
+        .otherwise(F.concat(origin_of(base), F.regexp_replace(place, "[^/]*$", ""), href))
     )
 
 
+def absolute(href: Column, base: Column) -> Column:
+    return let(parts(base), lambda p: absolute_of(href, p))
+
+
+def normal_of(p: Column) -> Column:
+    kept = F.filter(F.split(p["query"], "&"), lambda q: (q != "") & ~F.lower(F.split(q, "=")[0]).isin(DROPPED_PARAMS))
+    query = F.array_join(F.transform(kept, lambda q: F.when(q.contains("="), q).otherwise(F.concat(q, F.lit("=")))), "&")
+    trimmed = F.coalesce(F.nullif(F.regexp_replace(p["path"], "/+$", ""), F.lit("")), F.lit("/"))
+    tail = F.when(query == "", F.lit("")).otherwise(F.concat(F.lit("?"), query))
+    return F.when(p["scheme"].isin("http", "https") & (p["host"] != ""), F.concat(origin_of(p), trimmed, tail))
+
+
 def normalized(url: Column) -> Column:
     """The normal form of an absolute http(s) URL, else null: lower host, no default port, no slash at the end, without dropped parameters and fragment."""
-    kept = F.filter(query_params(url), lambda p: ~F.lower(F.split(p, "=")[0]).isin(DROPPED_PARAMS))
-    query = F.array_join(F.transform(kept, lambda p: F.when(p.contains("="), p).otherwise(F.concat(p, F.lit("=")))), "&")
-    trimmed = F.regexp_replace(path(url), "/+$", "")
-    place = F.when(trimmed == "", F.lit("/")).otherwise(trimmed)
-    whole = F.concat(origin(url), place, F.when(query == "", F.lit("")).otherwise(F.concat(F.lit("?"), query)))
-    return F.when(scheme(url).isin("http", "https") & (host(url) != ""), whole)
+    return let(parts(url), normal_of)
 
 
 def page_key(url: Column) -> Column:
     """The key by which search facts and pages meet: lower scheme and host, path without a slash at the end; a bare path in lower case."""
-    full = F.concat(origin(url), F.regexp_replace(_part(url, 4), "/+$", ""))
+    full = let(parts(url), lambda p: F.concat(origin_of(p), F.regexp_replace(p["path"], "/+$", "")))
     return F.when(_part(url, 1) != "", full).otherwise(F.lower(F.regexp_replace(F.regexp_replace(url, "[?#].*$", ""), "/+$", "")))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import urls
+from ..session import materialized
 
 # Fixed values of crawling.
 AI_BOTS = "gptbot chatgpt-user google-extended ccbot anthropic-ai claudebot perplexitybot bytespider".split()
@@ -110,13 +111,15 @@ def is_html(content_type: Column, head: Column) -> Column:
 def bfs(links: DataFrame, seeds: DataFrame, blocked: DataFrame | None = None, max_depth: int = MAX_DEPTH) -> DataFrame:
     """url, depth: what a crawl from seeds (url) over links (source, target) visits, and how deep; blocked urls are not entered.
 
-    One join for each level; visited urls are excluded by an anti join, so cycles end.
+    One join for each level, whose result is written to the shared folder; visited urls are excluded by an anti join, so cycles end.
     """
+    links = materialized(links.select("source", "target"), "links")
     edges = links if blocked is None else links.join(blocked.select(F.col("url").alias("target")).distinct(), "target", "left_anti")
-    found = frontier = seeds.select("url", F.lit(0).alias("depth")).distinct()
+    found = frontier = materialized(seeds.select("url", F.lit(0).alias("depth")).distinct(), "frontier")
     for depth in range(1, max_depth + 1):
         step = edges.join(frontier.select(F.col("url").alias("source")), "source").select(F.col("target").alias("url")).distinct()
         frontier = step.join(found.select("url"), "url", "left_anti").withColumn("depth", F.lit(depth))
+        frontier = materialized(frontier, "frontier")
         found = found.union(frontier)
     return found
 

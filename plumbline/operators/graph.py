@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import urls
+from ..session import materialized
 
 
 def distinct_edges(edges: DataFrame) -> DataFrame:
@@ -39,11 +40,12 @@ def outgoing(edges: DataFrame, kinds: list[str], source: Column) -> DataFrame:
 
 def reachable(edges: DataFrame, seeds: DataFrame, hops: int = 3) -> DataFrame:
     """node, hops: the fewest hops from any seed, up to a bound, over undirected edges."""
-    both = undirected(edges)
-    found = frontier = seeds.select("node", F.lit(0).alias("hops")).distinct()
+    both = materialized(undirected(edges), "edges")
+    found = frontier = materialized(seeds.select("node", F.lit(0).alias("hops")).distinct(), "frontier")
     for hop in range(1, hops + 1):
         step = both.join(frontier.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
         frontier = step.join(found.select("node"), "node", "left_anti").withColumn("hops", F.lit(hop))
+        frontier = materialized(frontier, "frontier")
         found = found.union(frontier)
     return found
 

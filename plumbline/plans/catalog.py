@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import pages
+from . import pages, retrieval, search
 
-_PARTS = (pages,)
+_PARTS = (pages, search, retrieval)
 QUERIES: dict = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 ORACLES: dict = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}
 FLAGSHIP = "audit_ranked_findings"

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,12 +18,6 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_functions.page_model(table(spark, sf_dir, "pages"))
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share: below spark.checkpoint.dir, or a local one where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='plumbline-')}"
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def repository_files(spark: SparkSession, path: str, suffixes: str = "*.{py,ts,tsx,js,jsx,md,html,css,json,yaml,yml,php}") -> DataFrame:
     """path, length, text, language of a repository's files, without what a scan skips."""
     root = path.rstrip("/")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import scratch, table
+from ..session import scratch
+from ..sources.tables import table
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
