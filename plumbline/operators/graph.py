@@ -96,7 +96,7 @@ def resolved_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     base = F.when(F.col("target").startswith("."), F.concat(folder, F.col("target"))).otherwise(F.col("target"))
     endings = ["", ".ts", ".tsx", ".js", ".jsx", ".py", "/index.ts", "/index.tsx", "/index.js"]
     tried = F.posexplode(F.transform(F.array(*map(F.lit, endings)), lambda e: F.concat(posix_normal(base), e))).alias("priority", "path")
-    rows = imports.select("file_path", "target", tried).join(files.select(F.col("file_path").alias("path")).distinct(), "path")
+    rows = imports.select("file_path", "target", tried).join(files.select("path").distinct(), "path")
     return rows.groupBy("file_path", "target").agg(F.min_by("path", "priority").alias("resolved"))
 
 

@@ -36,15 +36,11 @@ def term_frequency(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 def keyword_candidates(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int = KEYWORDS) -> DataFrame:
     """key, keywords: terms by count, then name, without those that are part of one already chosen.
 
-    A chosen term can hide others, so the greedy choice runs over the ordered terms of a text. At most `limit` terms
-    are chosen and every term that they hide is a part of one of them, which bounds how far down a choice can reach:
-    candidates below that rank are cut before they are gathered.
+    A chosen term can hide others, so the greedy choice runs over the ordered terms of a text, which are as many as the
+    text has.
     """
     tf = term_frequency(docs, key, text)
-    w = Window.partitionBy(key).orderBy(F.desc("n"), "term")
-    # a term of two words of w letters hides fewer than (2 w)^2 parts; words of real texts stay far below this rank
-    ranked = tf.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= 2000)
-    listed = ranked.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rank", "term"))).alias("terms"))
+    listed = tf.groupBy(key).agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "term"))).alias("terms"))
 
     def choose(chosen: Column, item: Column) -> Column:
         hidden = F.exists(chosen, lambda c: c.contains(item["term"]))
