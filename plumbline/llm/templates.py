@@ -296,13 +296,17 @@ def _fold_value(x: object) -> object:
 def fold(body: tuple) -> tuple:
     """The same statements with everything computed that no value can change."""
     found: list = []
+
+    def add(s: object) -> None:
+        last = found[-1] if found else None
+        if isinstance(s, Out) and isinstance(s.value, Const) and isinstance(last, Out) and isinstance(last.value, Const):
+            found[-1] = Out(Const(Safe(_shown(last.value.value) + _shown(s.value.value))))
+        else:
+            found.append(s)
+
     for s in body:
         if isinstance(s, Out):
             s = Out(_fold_value(s.value))
-            last = found[-1] if found else None
-            if isinstance(s.value, Const) and isinstance(last, Out) and isinstance(last.value, Const):
-                found[-1] = Out(Const(Safe(_shown(last.value.value) + _shown(s.value.value))))
-                continue
         elif isinstance(s, Set):
             s = Set(s.name, _fold_value(s.value))
         elif isinstance(s, For):
@@ -321,10 +325,11 @@ def fold(body: tuple) -> tuple:
             if not kept:
                 continue
             if isinstance(kept[0][0], Const):
-                found += kept[0][1]
+                for inner in kept[0][1]:
+                    add(inner)
                 continue
             s = If(tuple(kept))
-        found.append(s)
+        add(s)
     return tuple(found)
 
 
