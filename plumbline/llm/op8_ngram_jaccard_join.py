@@ -10,6 +10,7 @@
 4. Members of a list are first compared with one member of it; links found join components. Lists whose members are
    all in one component are done. From the others, all pairs across components are compared exactly. A pair within a
    component needs no comparison: it cannot change the result. So a list of m near copies costs m comparisons.
+5. A pair is compared only if the number of first shingles that it has in common leaves room for a link.
 
 Cases: null or blank texts have the empty set and link with nothing; texts under five words are one shingle; rows with
 a null doc_id have no component; rows that share a doc_id share its component (any of their texts may link it);
@@ -159,12 +160,26 @@ def _close(n_a: Column, n_b: Column) -> Column:
     return (DENOMINATOR * F.least(n_a, n_b) >= NUMERATOR * F.greatest(n_a, n_b))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those pairs (a, b) whose sets link."""
+def _possible(n_a: Column, n_b: Column, common: Column, boundary: int) -> Column:
+    """Whether two sets with so many first shingles in common can link.
+
+    What else they have in common lies beyond the first shingles of the one whose first shingles end earlier. Sets up
+    to the boundary have keys of another kind, which tell nothing here.
+    """
+    least = F.ceil(F.lit(NUMERATOR) * (n_a + n_b) / F.lit(NUMERATOR + DENOMINATOR))
+    beyond = F.ceil(F.lit(NUMERATOR) * F.greatest(n_a, n_b) / F.lit(DENOMINATOR)) - 1
+    return (F.least(n_a, n_b) <= boundary) | (common + beyond >= least)
+
+
+def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Those pairs (a, b) whose sets link. Only the sets of documents in pairs are made and moved."""
+    pairs = materialize(pairs, "pairs")
+    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted")
+    sets = materialize(_sets(_without(docs, ids, "left_semi", ids.count()), "doc_id long, shingles array<long>", lambda i, s: ([i], [s.view(np.int64).tolist()])), "sets")
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
     overlap = F.size(F.array_intersect("x", "y"))
-    return pairs.join(left, "a").join(right, "b").filter(_linked(F.size("x"), F.size("y"), overlap)).select("a", "b")
+    return materialize(pairs.join(left, "a").join(right, "b").filter(_linked(F.size("x"), F.size("y"), overlap)).select("a", "b"), "links")
 
 
 def _order(docs: DataFrame) -> tuple[Frequencies, dict[int, float]]:
@@ -205,8 +220,6 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
     every = Window.partitionBy("key")
     lists = _sets(single, "key long, doc long, n int", entries)
     lists = materialize(lists.withColumn("m", F.count("*").over(every)).withColumn("hub", F.min(F.struct("doc", "n")).over(every)).filter("m > 1"), "lists")
-    wanted = materialize(lists.select(F.col("doc").alias("doc_id")).distinct(), "wanted")
-    sets = materialize(_sets(_without(single, wanted, "left_semi", wanted.count()), "doc_id long, shingles array<long>", lambda i, s: ([i], [s.view(np.int64).tolist()])), "sets")
 
     labels = None
     for turn in range(HUB_ROUNDS):
@@ -216,9 +229,11 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
             pairs = lists.withColumn("hub", pick).filter("component <> hub.component")
         else:
             pairs = lists.filter("doc <> hub.doc")
-        pairs = pairs.filter(_close(F.col("n"), F.col("hub.n"))).groupBy("doc", F.col("hub.doc").alias("hub")).count()
+        pairs = pairs.filter(_close(F.col("n"), F.col("hub.n"))).groupBy("doc", F.col("hub.doc").alias("hub")).agg(F.count("*").alias("count"), F.first("n").alias("n"), F.first("hub.n").alias("n_hub"))
+        # a pair that is left out here is met again below, unless both join one component
+        pairs = pairs.filter(_possible(F.col("n"), F.col("n_hub"), F.col("count"), boundary))
         best = pairs.groupBy("doc").agg(F.max_by("hub", F.struct("count", -F.col("hub"))).alias("hub"))
-        links.append(materialize(_verified(best.select(F.col("doc").alias("a"), F.col("hub").alias("b")), sets), "links"))
+        links.append(_verified(best.select(F.col("doc").alias("a"), F.col("hub").alias("b")), single))
         labels = materialize(connected_components(reduce(DataFrame.union, links)), "labels")
         # what is left: lists with members of several components
         marked = lists.select("key", "doc", "n").join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", "n", F.coalesce("component", "doc").alias("component"))
@@ -233,8 +248,11 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
     told = lists.join(largest, "key").withColumn("minor", F.col("component") != F.col("most"))
     one, two = told.filter("minor").alias("one"), told.alias("two")
     meet = (F.col("one.key") == F.col("two.key")) & (F.col("one.component") != F.col("two.component")) & (~F.col("two.minor") | (F.col("one.doc") < F.col("two.doc"))) & _close(F.col("one.n"), F.col("two.n"))
-    pairs = one.join(two, meet).select(F.least("one.doc", "two.doc").alias("a"), F.greatest("one.doc", "two.doc").alias("b")).distinct()
-    links.append(materialize(_verified(pairs, sets), "links"))
+    pairs = one.join(two, meet).select(F.least("one.doc", "two.doc").alias("a"), F.greatest("one.doc", "two.doc").alias("b"), F.col("one.n").alias("n"), F.col("two.n").alias("m"))
+    # every list that both are in is still there, so the count is what their first shingles have in common
+    # (sizes are part of the key, as rows that share a doc_id can have texts of several sizes)
+    pairs = pairs.groupBy("a", "b", "n", "m").agg(F.count("*").alias("count"))
+    links.append(_verified(pairs.filter(_possible(F.col("n"), F.col("m"), F.col("count"), boundary)).select("a", "b").distinct(), single))
     labels = connected_components(reduce(DataFrame.union, links))
     found = member.select("doc_id", "n", "rep", "copies").join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
     found = found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "rep")).alias("component_id"))
