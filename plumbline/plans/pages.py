@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import urls
 from ..operators import crawl, findings, graph, rules, search, text
+from ..session import materialized
 from ..sources.tables import pages, table
 from . import sql
 
@@ -17,7 +18,8 @@ def _failed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.evaluate(pages(spark, sf_dir), _failed(spark, sf_dir))
+    # page records are written once: every rule beyond a page then reads the few columns that it needs, not the html
+    return rules.evaluate(materialized(pages(spark, sf_dir), "pages"), _failed(spark, sf_dir))
 
 
 def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
