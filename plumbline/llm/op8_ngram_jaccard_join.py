@@ -10,7 +10,9 @@
 4. Members of a list are first compared with one member of it; links found join components. Lists whose members are
    all in one component are done. From the others, all pairs across components are compared exactly. A pair within a
    component needs no comparison: it cannot change the result. So a list of m near copies costs m comparisons.
-5. A pair is compared only if the number of first shingles that it has in common leaves room for a link.
+5. A pair is compared only if the number of first shingles that it has in common leaves room for a link. In a long
+   list, it meets only if what follows the shared shingle in both sets does: a pair that links passes at the first
+   shingle that it shares, so none is lost, and documents that merely share a passage are not paired.
 
 Cases: null or blank texts have the empty set and link with nothing; texts under five words are one shingle; rows with
 a null doc_id have no component; rows that share a doc_id share its component (any of their texts may link it);
@@ -42,6 +44,8 @@ FREQUENT = 1_000_000
 BROADCAST_IDS = 2_000_000
 MAX_BOUNDARY = 32
 HUB_ROUNDS = 3
+#: Lists with more members are met by place: all pairs of a shorter one are at most so many times its members.
+LONG_LIST = 64
 #: Comparisons that end the rounds with hubs, as a share of the list entries (and at least this many).
 EXACT_SHARE, EXACT_LEAST = 0.5, 50_000
 
@@ -96,20 +100,21 @@ class Frequencies:
         return found[np.argsort(self.of(found), kind="stable")[:many]]
 
 
-def keys(found: np.ndarray, boundary: int, order: Frequencies) -> np.ndarray:
-    """The list keys of a set: its first shingles, or hashes of pairs of them, or both near the boundary."""
+def keys(found: np.ndarray, boundary: int, order: Frequencies) -> tuple[np.ndarray, np.ndarray]:
+    """The list keys of a set and their places in it: its first shingles, or hashes of pairs of them (place 0), or both near the boundary."""
     n = len(found)
     out = []
     if n < 2:
-        return np.zeros(0, np.uint64)  # links with its equals only
+        return np.zeros(0, np.uint64), np.zeros(0, np.int32)  # links with its equals only
     if n <= boundary:
         first = np.sort(order.first(found, n - needed(n) + 2))
         i, j = np.triu_indices(len(first), 1)
-        out.append(mixed(first[i] * _MULTIPLIER + first[j]))
+        out.append((mixed(first[i] * _MULTIPLIER + first[j]), np.zeros(len(i), np.int32)))
     # single shingles meet the sets above the boundary, which are too large for sets under three quarters of it
     if n > boundary or DENOMINATOR * n >= NUMERATOR * (boundary + 1):
-        out.append(order.first(found, n - needed(n) + 1))
-    return np.concatenate(out)
+        singles = order.first(found, n - needed(n) + 1)
+        out.append((singles, np.arange(len(singles), dtype=np.int32)))
+    return np.concatenate([k for k, _ in out]), np.concatenate([p for _, p in out])
 
 
 def choose_boundary(sizes: dict[int, int], scanned: dict[int, float], limit: int = MAX_BOUNDARY) -> int:
@@ -160,13 +165,18 @@ def _close(n_a: Column, n_b: Column) -> Column:
     return (DENOMINATOR * F.least(n_a, n_b) >= NUMERATOR * F.greatest(n_a, n_b))
 
 
+def _overlap(n_a: Column, n_b: Column) -> Column:
+    """The least number of shingles that two sets of these sizes have in common if they link."""
+    return F.ceil(F.lit(NUMERATOR) * (n_a + n_b) / F.lit(NUMERATOR + DENOMINATOR))
+
+
 def _possible(n_a: Column, n_b: Column, common: Column, boundary: int) -> Column:
     """Whether two sets with so many first shingles in common can link.
 
     What else they have in common lies beyond the first shingles of the one whose first shingles end earlier. Sets up
     to the boundary have keys of another kind, which tell nothing here.
     """
-    least = F.ceil(F.lit(NUMERATOR) * (n_a + n_b) / F.lit(NUMERATOR + DENOMINATOR))
+    least = _overlap(n_a, n_b)
     beyond = F.ceil(F.lit(NUMERATOR) * F.greatest(n_a, n_b) / F.lit(DENOMINATOR)) - 1
     return (F.least(n_a, n_b) <= boundary) | (common + beyond >= least)
 
@@ -214,11 +224,11 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
     shared = spark.sparkContext.broadcast(order)  # bounded by FREQUENT
 
     def entries(i: int, found: np.ndarray) -> tuple:
-        own = keys(found, boundary, shared.value).view(np.int64)
-        return own, np.full(len(own), i, np.int64), np.full(len(own), len(found), np.int32)
+        own, place = keys(found, boundary, shared.value)
+        return own.view(np.int64), np.full(len(own), i, np.int64), np.full(len(own), len(found), np.int32), place
 
     every = Window.partitionBy("key")
-    lists = _sets(single, "key long, doc long, n int", entries)
+    lists = _sets(single, "key long, doc long, n int, place int", entries)
     lists = materialize(lists.withColumn("m", F.count("*").over(every)).withColumn("hub", F.min(F.struct("doc", "n")).over(every)).filter("m > 1"), "lists")
 
     labels = None
@@ -236,22 +246,29 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
         links.append(_verified(best.select(F.col("doc").alias("a"), F.col("hub").alias("b")), single))
         labels = materialize(connected_components(reduce(DataFrame.union, links)), "labels")
         # what is left: lists with members of several components
-        marked = lists.select("key", "doc", "n").join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", "n", F.coalesce("component", "doc").alias("component"))
+        marked = lists.select("key", "doc", "n", "place").join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", "n", "place", F.coalesce("component", "doc").alias("component"))
         split = marked.withColumn("lo", F.min("component").over(every)).withColumn("hi", F.max("component").over(every))
-        lists = materialize(split.filter("lo <> hi").select("key", "doc", "n", "component"), "lists")
+        lists = materialize(split.filter("lo <> hi").select("key", "doc", "n", "place", "component"), "lists")
         by = lists.groupBy("key", "component").agg(F.count("*").alias("k"))
         left = by.groupBy("key").agg(((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("pairs"), F.sum("k").alias("k")).agg(F.sum("pairs"), F.sum("k")).first()
         if not left[0] or left[0] <= max(EXACT_LEAST, EXACT_SHARE * left[1]):
             break
     # exactly: members outside a list's largest component meet all members of other components
-    largest = lists.groupBy("key", "component").agg(F.count("*").alias("k")).groupBy("key").agg(F.max_by("component", F.struct("k", "component")).alias("most"))
-    told = lists.join(largest, "key").withColumn("minor", F.col("component") != F.col("most"))
+    largest = lists.groupBy("key", "component").agg(F.count("*").alias("k")).groupBy("key").agg(F.max_by("component", F.struct("k", "component")).alias("most"), F.sum("k").alias("size"))
+    told = lists.join(largest, "key").withColumn("minor", F.col("component") != F.col("most")).withColumn("long", F.col("size") > LONG_LIST)
+    in_long = materialize(told.filter("long").groupBy("doc").agg(F.count("*").alias("k")), "long")
     one, two = told.filter("minor").alias("one"), told.alias("two")
     meet = (F.col("one.key") == F.col("two.key")) & (F.col("one.component") != F.col("two.component")) & (~F.col("two.minor") | (F.col("one.doc") < F.col("two.doc"))) & _close(F.col("one.n"), F.col("two.n"))
-    pairs = one.join(two, meet).select(F.least("one.doc", "two.doc").alias("a"), F.greatest("one.doc", "two.doc").alias("b"), F.col("one.n").alias("n"), F.col("two.n").alias("m"))
-    # every list that both are in is still there, so the count is what their first shingles have in common
-    # (sizes are part of the key, as rows that share a doc_id can have texts of several sizes)
-    pairs = pairs.groupBy("a", "b", "n", "m").agg(F.count("*").alias("count"))
+    # in long lists a pair meets only where the shingle can be the first one that both have
+    rest = F.least(F.col("one.n") - F.col("one.place"), F.col("two.n") - F.col("two.place"))
+    meet = meet & (~F.col("one.long") | (rest >= _overlap(F.col("one.n"), F.col("two.n"))))
+    pairs = one.join(two, meet).select(F.least("one.doc", "two.doc").alias("a"), F.greatest("one.doc", "two.doc").alias("b"), F.col("one.n").alias("n"), F.col("two.n").alias("m"), F.col("one.long").alias("long"))
+    # every list that both are in is still there: they have as many first shingles in common as short lists, and at most
+    # as many more as either has long ones (sizes are part of the key, as rows that share a doc_id can differ in size)
+    pairs = pairs.groupBy("a", "b", "n", "m").agg(F.count_if(~F.col("long")).alias("short"))
+    for end in ("a", "b"):
+        pairs = pairs.join(in_long.select(F.col("doc").alias(end), F.col("k").alias(f"long_{end}")), end, "left")
+    pairs = pairs.withColumn("count", F.col("short") + F.least(F.coalesce("long_a", F.lit(0)), F.coalesce("long_b", F.lit(0))))
     links.append(_verified(pairs.filter(_possible(F.col("n"), F.col("m"), F.col("count"), boundary)).select("a", "b").distinct(), single))
     labels = connected_components(reduce(DataFrame.union, links))
     found = member.select("doc_id", "n", "rep", "copies").join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")

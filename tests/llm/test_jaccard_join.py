@@ -74,6 +74,15 @@ def test_rounds_with_hubs_and_a_boundary_lose_no_link(spark, monkeypatch):
     assert sorted(found, key=repr) == sorted(brute(rows), key=repr)
 
 
+def test_long_lists_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(op8, "LONG_LIST", 2)
+    monkeypatch.setattr(op8, "HUB_ROUNDS", 1)
+    shared = " ".join(f"p{i}" for i in range(50))
+    rows = corpus(4) + [(10_000 + i, f"{' '.join(f'u{i}x{j}' for j in range(i % 30))} {shared}") for i in range(60)]
+    found = result(op8.similarity_classes(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert sorted(found, key=repr) == sorted(brute(rows), key=repr)
+
+
 def test_rows_that_share_an_id(spark):
     rows = [(1, "a b c d e f"), (1, "p q r s t u"), (2, "a b c d e f"), (3, "p q r s t u"), (4, "x y z")]
     found = result(op8.similarity_classes(spark.createDataFrame(rows, "doc_id long, text string")))
@@ -98,7 +107,7 @@ def test_linked_sets_share_a_key(boundary):
         if len(a) == len(b) == both or 100 * both < 75 * (len(a) + len(b) - both):
             continue
         tried += 1
-        assert len(np.intersect1d(op8.keys(a, boundary, order), op8.keys(b, boundary, order)))
+        assert len(np.intersect1d(op8.keys(a, boundary, order)[0], op8.keys(b, boundary, order)[0]))
 
 
 def test_boundary_follows_the_cost():
