@@ -63,4 +63,20 @@ def crc_mod(key: Column, modulus: int) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % modulus, F.lit(0))
 
 
+_kept: dict[str, Callable[[], object]] = {}
+
+
+def claim(owner: str, forget: Callable[[], object] | None = None) -> None:
+    """Say that an operator's tasks use this Python worker now: what other operators keep between tasks is dropped.
+
+    Spark uses its Python workers again, so that caches of one operator would stay beside the next one's.
+    """
+    for other, drop in list(_kept.items()):
+        if other != owner:
+            drop()
+            del _kept[other]
+    if forget is not None:
+        _kept[owner] = forget
+
+
 Query = Callable[[SparkSession, str], DataFrame]

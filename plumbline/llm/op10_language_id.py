@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, table
+from .common import claim, crc_mod, table
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -210,6 +210,7 @@ def predicted(net: Network) -> Column:
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(text: pd.Series) -> pd.DataFrame:
+        claim("language", _predictor.cache_clear)
         langs, scores = _predictor(blob).texts([t if isinstance(t, str) else None for t in text])
         return pd.DataFrame({"lang_pred": langs, "score": scores})
 

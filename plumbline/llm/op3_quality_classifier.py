@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import claim, table
 
 #: Bounds of the training sample (expected rows).
 LABELLED = 4000
@@ -191,6 +191,7 @@ def _featured() -> Column:
 
     @F.pandas_udf("text_at binary, text_value binary, meta_at binary, meta_value binary")
     def features(text: pd.Series, source: pd.Series, lang: pd.Series, n_chars: pd.Series) -> pd.DataFrame:
+        claim("quality", _forget)
         rows = []
         for t, s, g, n in zip(text, source, lang, n_chars, strict=True):
             a, b = text_features(t if isinstance(t, str) else None)
@@ -233,6 +234,11 @@ def _model(blob: bytes) -> Model:
     return pickle.loads(blob)
 
 
+def _forget() -> None:
+    _codes.clear()
+    _model.cache_clear()
+
+
 def scored(model: Model) -> Column:
     """struct(p_text, p_meta, score) of a document."""
     import pickle
@@ -241,6 +247,7 @@ def scored(model: Model) -> Column:
 
     @F.pandas_udf("p_text double, p_meta double, score double")
     def score(text: pd.Series, source: pd.Series, lang: pd.Series, n_chars: pd.Series) -> pd.DataFrame:
+        claim("quality", _forget)
         own = _model(blob)
         n = len(text)
         raw, blank = np.zeros((2, n)), np.zeros(n, bool)

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, sliced, table
+from .common import claim, materialize, sliced, table
 from .components import connected_components
 
 WORDS = 5
@@ -138,6 +138,7 @@ def _sets(docs: DataFrame, schema: str, row) -> DataFrame:
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("sets")
         for batch in sliced(batches):
             out = [row(i, shingles(t)) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
             columns = [[x for r in out for x in r[k]] if not isinstance(out[0][k], np.ndarray) else np.concatenate([r[k] for r in out]) for k in range(len(names))]

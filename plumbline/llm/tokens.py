@@ -13,6 +13,8 @@ import unicodedata
 from array import array
 from functools import lru_cache
 
+from .common import claim
+
 #: Words kept by a task; beyond it the cache starts anew, which bounds memory and changes no result.
 CACHE_WORDS = 600_000
 
@@ -89,6 +91,11 @@ class WordEncoder(dict):
 
 
 @lru_cache(maxsize=2)
+def _encoder(path: str) -> WordEncoder:
+    return WordEncoder(path)
+
+
 def encoder(path: str) -> WordEncoder:
     """One encoder for each Python worker and file."""
-    return WordEncoder(path)
+    claim("tokens", _encoder.cache_clear)
+    return _encoder(path)
