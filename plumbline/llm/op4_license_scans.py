@@ -1,14 +1,17 @@
 """Licence scan, in DataFrame operations only: a trained paragraph classifier, calibrated and confirmed by templates.
 
-1. A paragraph is a line, or for long lines the surroundings (three blocks of BLOCK words) of each block that holds a
-   word of licence notices. Lines without such a word cannot be confirmed by any template and are not scored.
+1. A paragraph is a run of lines that are not blank, without list numbers and comment marks, so that wrapped notices are
+   whole. It is scored as a whole, and so is each of its lines, as lines may name different licences. Of more than
+   three blocks of BLOCK words the surroundings (three blocks) of each block with a word of CUES are scored.
+   More than 1 - CONFIRM of each notice's bigrams have such a word, so what has none cannot be confirmed.
 2. Word unigrams and bigrams are hashed to sparse vectors. A multinomial logistic regression tells the licence
    families and the class `unknown` apart. It learns from pieces of the notices below, plain and amid prose, and for
    `unknown` from DECOYS and from a bounded sample of paragraphs of the corpus (about PROSE documents).
 3. On a fifth of these rows, which takes no part in fitting, the largest probability is calibrated (Platt scaling with
    smoothed targets). A paragraph whose calibrated probability of being right is under one half is `unknown`.
 4. A prediction is confirmed if at least CONFIRM of the word bigrams of one of the family's notices are in the
-   paragraph; others count as unknown notices.
+   paragraph. A family's notices of a run are those of its lines or those of the whole run, whichever are more; places
+   that overlap count once. Lines with a word of TRIGGER that are in no confirmed place count as unknown notices.
 
 Cases: null, empty and blank texts hold no notice; a text may hold notices of several families; rows that share a
 doc_id share their findings; an empty table gives no rows; further columns are ignored.
@@ -30,8 +33,12 @@ FEATURES = 1 << 13
 PROSE = 1500
 CONFIRM = 0.6
 UNKNOWN = "unknown"
-#: Words that licence notices hold: every notice below has one.
+#: Words that speak of licences: without a confirmed notice they make an unknown one.
 TRIGGER = r"(?i)licen[cs]|lizenz|copyright|copyleft|spdx|warrant|permission|redistribut|commons|gnu|\bgpl|\bcc0|\bcc-by|public-domain"
+#: With further words of the notices below: of each notice less than CONFIRM of the bigrams have none.
+CUES = TRIGGER + r"|\b(?:bsd|cc|compliance|conditions|copy|distributed|domain|except|hereby|identifier|law|mozilla|noncommercial|notice|person|provided|released|sharealike|should|software|source|substantial|terms|without)\b"
+#: Comment marks and list numbers before a line's text, and what ends a comment.
+MARKS = r"(?m)^[ \t]*(?:(?:/\*+|//+!?|\*+/?|#+|;+|--+|>+|%+|\|+|<!--+|[\u2022\u00b7\u2013-]+|(?:dnl|rem|REM)\b|\(?(?:[0-9]{1,2}|[a-zA-Z]|[ivx]{1,4})[.)](?=[ \t]))[ \t]*){1,4}+|(?:\*/|-->)[ \t]*$"
 
 # Wording of public licence notices.
 NOTICES = [
@@ -102,13 +109,27 @@ def bigrams(text: Column) -> Column:
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """doc_id, paragraph for all places of all texts that hold a word of licence notices."""
-    lines = docs.filter(F.col("text").rlike(TRIGGER)).select("doc_id", F.explode(F.split("text", "\n")).alias("line")).filter(F.col("line").rlike(TRIGGER))
-    # blocks with such a word; a line of up to three blocks is one paragraph
-    blocks = F.array_distinct(F.array_compact(F.transform("words", lambda w, i: F.when(w.rlike(TRIGGER), F.floor(i / BLOCK).cast("int")))))
-    places = F.when(F.size("words") <= 3 * BLOCK, F.array(F.lit(0))).otherwise(blocks)
-    cut = lines.select("doc_id", words_of(F.col("line")).alias("words")).select("doc_id", "words", F.explode(places).alias("b"))
-    return cut.select("doc_id", F.array_join(F.slice("words", F.greatest((F.col("b") - 1) * BLOCK, F.lit(0)) + 1, F.lit(3 * BLOCK)), " ").alias("paragraph"))
+    """doc_id, run, line, b, at, told, paragraph for all places of all texts that may hold a notice.
+
+    run names a run of lines of a text; line is the number in it, or -1 for the run as a whole; b is the block in the
+    middle of the place and at the block of the run where the line begins; told says that the middle has a TRIGGER.
+    """
+    cleaned = docs.filter(F.col("text").rlike(CUES)).select("doc_id", F.xxhash64("text").alias("copy"), F.regexp_replace(F.regexp_replace("text", r"\r\n?", "\n"), MARKS, "").alias("text"))
+    runs = cleaned.select("doc_id", "copy", F.posexplode(F.split("text", r"\n\s*\n")).alias("n", "whole")).filter(F.col("whole").rlike(CUES))
+    lines = F.filter(F.transform(F.split("whole", "\n"), words_of), lambda w: F.size(w) > 0)
+    named = runs.select("doc_id", F.struct("copy", "n").alias("run"), lines.alias("lines"))
+    # the whole run stands before its lines, unless it is one line
+    starts = F.aggregate("lines", F.array(F.lit(0)), lambda s, w: F.array_append(s, F.element_at(s, -1) + F.size(w)))
+    each = F.transform("lines", lambda w, i: F.struct(i.alias("line"), F.floor(F.get(F.col("starts"), i) / BLOCK).cast("int").alias("at"), w.alias("words")))
+    whole = F.array(F.struct(F.lit(-1).alias("line"), F.lit(0).alias("at"), F.flatten("lines").alias("words")))
+    parts = named.withColumn("starts", starts).select("doc_id", "run", F.inline(F.when(F.size("lines") > 1, F.concat(whole, each)).otherwise(each)))
+    # blocks with a cue; of up to three blocks all is one place
+    blocks = lambda cue: F.array_distinct(F.array_compact(F.transform("words", lambda w, i: F.when(w.rlike(cue), F.floor(i / BLOCK).cast("int")))))
+    short = F.size("words") <= 3 * BLOCK
+    found = parts.select("*", blocks(CUES).alias("cues"), blocks(TRIGGER).alias("triggers")).filter(F.size("cues") > 0)
+    cut = found.select("*", F.explode(F.when(short, F.array(F.lit(0))).otherwise(F.col("cues"))).alias("b"))
+    told = F.when(short, F.size("triggers") > 0).otherwise(F.array_contains("triggers", F.col("b")))
+    return cut.select("doc_id", "run", "line", "b", "at", told.alias("told"), F.array_join(F.slice("words", F.greatest((F.col("b") - 1) * BLOCK, F.lit(0)) + 1, F.lit(3 * BLOCK)), " ").alias("paragraph"))
 
 
 def _notices(spark: SparkSession) -> DataFrame:
@@ -182,13 +203,23 @@ def scan(docs: DataFrame) -> DataFrame:
     found = materialize(paragraphs(docs), "paragraphs")
     told = confirmed(Classifier(materialize(training_rows(docs), "training")).predicted(found))
     sure = (F.col("family") != UNKNOWN) & (F.col("share") >= CONFIRM)
-    by_doc = told.groupBy("doc_id").agg(
-        F.max_by(F.when(sure, F.col("family")), F.when(sure, F.struct("share", "score", "family"))).alias("licence"),
-        F.array_join(F.array_sort(F.collect_set(F.when(sure, F.col("family")))), ",").alias("licences"),
-        F.count_if(sure).alias("n_notices"),
-        F.count_if(~sure).alias("n_unknown"),
-        F.max(F.when(sure, F.col("score"))).alias("score"),
+    told = materialize(told.select("doc_id", "run", "line", "b", "at", "told", "family", "share", "score", sure.alias("sure")), "told")
+    # places of three blocks that do not overlap, from the first on
+    apart = F.aggregate(F.array_sort(F.collect_set("b")), F.struct(F.lit(0).alias("n"), F.lit(-3).alias("last")), lambda s, x: F.when(x - s["last"] > 2, F.struct((s["n"] + 1).alias("n"), x.alias("last"))).otherwise(s))["n"]
+    places = told.filter("sure").groupBy("doc_id", "run", "line", "family").agg(apart.alias("n"), F.max(F.struct("share", "score")).alias("best"), F.max("score").alias("score"))
+    n = F.greatest(F.coalesce(F.sum(F.when(F.col("line") >= 0, F.col("n"))), F.lit(0)), F.coalesce(F.max(F.when(F.col("line") < 0, F.col("n"))), F.lit(0)))
+    notices = places.groupBy("doc_id", "run", "family").agg(n.alias("n"), F.max("best").alias("best"), F.max("score").alias("score"))
+    # a line's place is unknown unless a confirmed place of the whole run is there
+    asked = F.collect_list(F.when(~F.col("sure") & F.col("told") & (F.col("line") >= 0), F.col("at") + F.col("b")))
+    met = F.collect_set(F.when(F.col("sure") & (F.col("line") < 0), F.col("b")))
+    unknown = told.groupBy("doc_id", "run").agg(asked.alias("asked"), met.alias("met")).select("doc_id", F.size(F.filter("asked", lambda x: ~F.exists("met", lambda y: F.abs(x - y) <= 1))).alias("n_unknown"))
+    by_doc = notices.groupBy("doc_id").agg(
+        F.max_by("family", F.struct("best", "family")).alias("licence"),
+        F.array_join(F.array_sort(F.collect_set("family")), ",").alias("licences"),
+        F.sum("n").alias("n_notices"),
+        F.max("score").alias("score"),
     )
+    by_doc = by_doc.join(unknown.groupBy("doc_id").agg(F.sum("n_unknown").alias("n_unknown")), "doc_id", "full")
     rows = docs.select("doc_id").join(by_doc, "doc_id", "left")
     return rows.select("doc_id", F.coalesce("licence", F.lit("none")).alias("licence"), F.coalesce("licences", F.lit("")).alias("licences"), F.coalesce("n_notices", F.lit(0)).alias("n_notices"), F.coalesce("n_unknown", F.lit(0)).alias("n_unknown"), F.coalesce("score", F.lit(0.0)).alias("score"))
 

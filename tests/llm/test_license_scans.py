@@ -1,3 +1,6 @@
+import re
+import textwrap
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,3 +46,38 @@ def test_held_out_accuracy(spark):
 
 def test_empty_table(spark):
     assert op.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software.
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."""
+GPL = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+
+You should have received a copy of the GNU General Public License along with this program."""
+
+
+def test_wrapped_notices_are_found(spark):
+    wrapped = lambda text, n, mark="": "\n".join((mark + line).rstrip() for part in text.split("\n\n") for line in [*textwrap.wrap(part, n), ""])
+    texts, want = {}, {}
+    for i, (family, text) in enumerate([("bsd", BSD), ("isc", ISC), ("mit", MIT), ("gpl", GPL)]):
+        for j, form in enumerate([wrapped(text, 76), wrapped(text, 40), wrapped(text, 70, " * "), wrapped(text, 72, "# ").replace("\n", "\r\n"), PROSE[i] + "\n\n" + wrapped(text, 72)]):
+            texts[10 * i + j], want[10 * i + j] = form, family
+    texts[90], want[90] = "modification, are\npermitted provided that the following conditions are met", "none"  # a piece of too few bigrams
+    texts[91], want[91] = "use in source and binary forms, with or without modification, are\npermitted provided that the following conditions are met", "bsd"
+    rows = [*texts.items(), *[(100 + i, p) for i, p in enumerate(PROSE)]]
+    got = {r["doc_id"]: r for r in op.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {k: got[k]["licences"] or "none" for k in texts} == want
+    assert got[10]["n_notices"] == 1 and got[10]["n_unknown"] == 0 and all(got[100 + i]["n_unknown"] == 0 for i in range(len(PROSE)))
+
+
+def test_cues_leave_no_notice_out():
+    for _, notice in op.NOTICES:
+        words = re.findall(r"[^\W_]+", notice.lower())
+        pairs = set(zip(words, words[1:], strict=False))
+        assert sum(not re.search(op.CUES, f"{a} {b}") for a, b in pairs) < op.CONFIRM * len(pairs), notice
