@@ -1,6 +1,7 @@
 """Hybrid retrieval: understanding a query, semantic, lexical and graph channels, rank fusion, compression, evaluation.
 
-All operators work on many queries at once; a query table is small and its size is checked before it is broadcast.
+All operators work on any number of queries at once. Query vectors are sent to every task in blocks of a bounded
+number; the tokens of queries meet those of texts by an equi-join on the token.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ STOP_WORDS = "a an and are for from how in is of on or the this that to what whe
 RULE_ID = r"\b(?:SEO|AEO|GEO)-[A-Z0-9]+(?:-[A-Z0-9]+)*-[0-9]{3}\b"
 PATHS = r"(?:[A-Za-z0-9_.-]+/)+[^ ]+"
 IDENTIFIERS = r"\b(?:[A-Z][a-z0-9]+(?:[A-Z][a-zA-Z0-9]+)+|[a-z]+(?:[A-Z][a-zA-Z0-9]+)+)\b"
-#: Queries that are sent to every task; beyond it they are joined by a shuffle on a part number.
+#: Query vectors that are sent to every task at once; more are taken in blocks of about half as many.
 BROADCAST_QUERIES = 10_000
 
 
@@ -56,20 +57,22 @@ def _top(rows: DataFrame, n: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
 
-def _few(queries: DataFrame) -> DataFrame:
-    """The queries, to be sent to every task; refuses a table that is not small."""
-    n = queries.limit(BROADCAST_QUERIES + 1).count()
-    if n > BROADCAST_QUERIES:
-        raise ValueError(f"more than {BROADCAST_QUERIES} queries at once; run them in blocks")
-    return F.broadcast(queries)
+def _blocks(queries: DataFrame) -> list[DataFrame]:
+    """The queries as they are up to BROADCAST_QUERIES rows, else in blocks by a hash of their id."""
+    n = queries.count()
+    if n <= BROADCAST_QUERIES:
+        return [queries]
+    parts = -(-2 * n // BROADCAST_QUERIES)
+    return [queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i) for i in range(parts)]
 
 
 def semantic(queries: DataFrame, corpus: DataFrame, limit: int = CHANNEL_LIMIT) -> DataFrame:
     """query_id, doc_id, score, rank by exact cosine: queries (query_id, vector) against all of corpus (doc_id, vector)."""
     q = queries.select("query_id", normalized_vector(F.col("vector")).alias("q"))
     d = corpus.select("doc_id", normalized_vector(F.col("vector")).alias("d"))
-    scored = d.crossJoin(_few(q)).select("query_id", "doc_id", dot(F.col("q"), F.col("d")).alias("score"))  # a stated query set against all rows
-    return _top(scored, limit)
+    # all rows of a query are in one block, so that each block ranks its own
+    ranked = [_top(d.crossJoin(F.broadcast(block)).select("query_id", "doc_id", dot(F.col("q"), F.col("d")).alias("score")), limit) for block in _blocks(q)]
+    return reduce(DataFrame.unionByName, ranked)
 
 
 def lexical(queries: DataFrame, corpus: DataFrame, limit: int = CHANNEL_LIMIT) -> DataFrame:
@@ -77,7 +80,7 @@ def lexical(queries: DataFrame, corpus: DataFrame, limit: int = CHANNEL_LIMIT) -
     q = queries.select("query_id", token_set(F.col("text")).alias("tokens"))
     wanted = q.select("query_id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
     words = corpus.select("doc_id", F.explode(token_set(F.col("text"))).alias("token"))
-    met = words.join(_few(wanted), "token").groupBy("query_id", "doc_id", "n").agg(F.count("*").alias("k"))
+    met = words.join(wanted, "token").groupBy("query_id", "doc_id", "n").agg(F.count("*").alias("k"))
     return _top(met.select("query_id", "doc_id", (F.col("k") / F.col("n")).alias("score")), limit)
 
 
@@ -110,7 +113,11 @@ def compressed(items: DataFrame, corpus: DataFrame, clip: int = CLIP) -> DataFra
 def evaluated(ranked: DataFrame, relevant: DataFrame, k: int = EVIDENCE) -> DataFrame:
     """recall, precision, reciprocal rank and nDCG at k: ranked (query_id, doc_id, rank), relevant (query_id, doc_id)."""
     total = relevant.groupBy("query_id").agg(F.count("*").alias("n"))
-    hits = ranked.filter(F.col("rank") <= k).join(relevant, ["query_id", "doc_id"], "left_semi")
+    return measured(total, ranked.filter(F.col("rank") <= k).join(relevant, ["query_id", "doc_id"], "left_semi"), k)
+
+
+def measured(total: DataFrame, hits: DataFrame, k: int = EVIDENCE) -> DataFrame:
+    """The metrics of evaluated() from the number of relevant rows (query_id, n) and the relevant ones among the first k (query_id, rank)."""
     got = hits.groupBy("query_id").agg(F.count("*").alias("hits"), F.min("rank").alias("first"), F.sum(1.0 / F.log2(F.col("rank") + 1.0)).alias("dcg"))
     ideal = F.aggregate(F.sequence(F.lit(1), F.least("n", F.lit(k)).cast("int")), F.lit(0.0), lambda s, i: s + 1.0 / F.log2(i + 1.0))
     rows = total.join(got, "query_id", "left")

@@ -51,11 +51,13 @@ def retr_rrf_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def retr_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many of the nearest vectors share the label of the query's vector."""
-    labels = table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    labels = table(spark, sf_dir, "embeddings").select("vec_id", "label").filter("vec_id is not null")
     asked = labels.filter(_ASKED).select(F.col("vec_id").alias("query_id"), "label")
-    relevant = labels.join(F.broadcast(asked.limit(retrieval.BROADCAST_QUERIES)), "label").filter("vec_id <> query_id").select("query_id", F.col("vec_id").alias("doc_id"))
-    ranked = _semantic(spark, sf_dir).filter("query_id <> doc_id").withColumn("rank", F.col("rank") - 1)
-    got = retrieval.evaluated(ranked, relevant)
+    # relevant vectors are counted by label; only ranked ones are joined to their queries
+    total = asked.join(labels.groupBy("label").agg((F.count("*") - 1).alias("n")), "label").filter("n > 0").select("query_id", "n")
+    ranked = _semantic(spark, sf_dir).filter("query_id <> doc_id").withColumn("rank", F.col("rank") - 1).filter(F.col("rank") <= retrieval.EVIDENCE)
+    hits = ranked.join(asked, "query_id").join(labels.withColumnRenamed("vec_id", "doc_id"), ["doc_id", "label"], "left_semi")
+    got = retrieval.measured(total, hits)
     return got.select("query_id", *[F.round(m, 9).alias(m) for m in ("recall", "precision", "mrr", "ndcg")])
 
 

@@ -204,3 +204,23 @@ def test_crawl_replay(spark):
     links = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("a", "x")], "source string, target string")
     found = crawl.bfs(links, spark.createDataFrame([("a",)], "url string"), spark.createDataFrame([("x",)], "url string"), max_depth=2)
     assert sorted((r["url"], r["depth"]) for r in found.collect()) == [("a", 0), ("b", 1), ("c", 2)]
+
+
+def test_more_queries_than_are_sent_at_once(spark, monkeypatch):
+    vectors = spark.range(40).select(F.col("id").alias("doc_id"), F.array(F.cos(F.col("id") / 13), F.sin(F.col("id") / 13)).alias("vector"))
+    texts = spark.range(40).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("common"), F.concat(F.lit("word"), F.col("id") % 9), F.concat(F.lit("item"), "id")).alias("text"))
+    rows = lambda df: sorted((r["query_id"], r["doc_id"], round(r["score"], 9), r["rank"]) for r in df.collect())
+    found = [retrieval.semantic(vectors.withColumnRenamed("doc_id", "query_id"), vectors, 5), retrieval.lexical(texts.withColumnRenamed("doc_id", "query_id"), texts, 5)]
+    at_once = [rows(f) for f in found]
+    monkeypatch.setattr(retrieval, "BROADCAST_QUERIES", 7)
+    in_blocks = [rows(retrieval.semantic(vectors.withColumnRenamed("doc_id", "query_id"), vectors, 5)), rows(retrieval.lexical(texts.withColumnRenamed("doc_id", "query_id"), texts, 5))]
+    assert in_blocks == at_once and all(len(r) == 200 for r in at_once)
+
+
+def test_metrics_of_every_query(spark, monkeypatch, tmp_path):
+    vectors = spark.range(900).select(F.col("id").alias("vec_id"), F.array(F.cos(F.col("id") / 300), F.sin(F.col("id") / 300)).alias("embedding"), (F.col("id") % 2).cast("int").alias("label"))
+    vectors.write.parquet(f"{tmp_path}/embeddings.parquet")
+    monkeypatch.setattr(retrieval, "BROADCAST_QUERIES", 4)
+    from plumbline.plans import catalog
+
+    assert {r["query_id"] for r in catalog.QUERIES["retr_metrics"](spark, str(tmp_path)).collect()} == set(range(0, 900, 100))
