@@ -128,8 +128,13 @@ def term_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.term_frequency(table(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id", "text")).filter("n >= 5")
 
 
+def term_frequency_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every term of every document: the SQL of term_frequency is a part of it."""
+    return text.term_frequency(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def keyword_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = text.keyword_candidates(table(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id", "text"))
+    found = text.keyword_candidates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.array_join("keywords", ",").alias("keywords"))
 
 
@@ -191,7 +196,7 @@ def budgeted_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     q.__name__: q
-    for q in (query_understanding, retr_lexical_overlap, retr_semantic_topk, retr_rrf_fused, retr_metrics, graph_neighbours, graph_reachability_3hop, graph_callers, index_diff, index_stats, rule_versions, page_overlay, last_progress, progress_changes, term_frequency, keyword_candidates, doc_paragraphs, line_windows, doc_sections, content_change_claims, budget_packing, rollback_confidence, validation_fold, scope_check, schedule_due, job_transitions, budgeted_loop)
+    for q in (query_understanding, retr_lexical_overlap, retr_semantic_topk, retr_rrf_fused, retr_metrics, graph_neighbours, graph_reachability_3hop, graph_callers, index_diff, index_stats, rule_versions, page_overlay, last_progress, progress_changes, term_frequency, term_frequency_all, keyword_candidates, doc_paragraphs, line_windows, doc_sections, content_change_claims, budget_packing, rollback_confidence, validation_fold, scope_check, schedule_due, job_transitions, budgeted_loop)
 }
 
 _STOP = ", ".join(f"'{w}'" for w in retrieval.STOP_WORDS)

@@ -224,3 +224,13 @@ def test_metrics_of_every_query(spark, monkeypatch, tmp_path):
     from plumbline.plans import catalog
 
     assert {r["query_id"] for r in catalog.QUERIES["retr_metrics"](spark, str(tmp_path)).collect()} == set(range(0, 900, 100))
+
+
+def test_term_queries_take_every_document(spark, tmp_path):
+    docs = [(1, "Criminal law flaw", "en"), (2, "Recht und Gesetz", "de"), (3, "droit", None)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    from plumbline.plans import catalog
+
+    assert {r["doc_id"] for r in catalog.QUERIES["keyword_candidates"](spark, str(tmp_path)).collect()} == {1, 2, 3}
+    terms = sorted((r["doc_id"], r["term"], r["n"]) for r in catalog.QUERIES["term_frequency_all"](spark, str(tmp_path)).collect())
+    assert terms == [(1, "criminal", 1), (1, "criminal law", 1), (1, "flaw", 1), (1, "law", 1), (1, "law flaw", 1), (2, "gesetz", 1), (2, "recht", 1), (2, "recht und", 1), (2, "und", 1), (2, "und gesetz", 1), (3, "droit", 1)]
