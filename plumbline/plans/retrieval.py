@@ -85,6 +85,11 @@ def graph_callers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.incoming(_hierarchy(spark, sf_dir), "IN", F.col("dst").endswith("3")).groupBy("dst").agg(F.count("*").alias("n"))
 
 
+def graph_callers_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Callers of every target: the SQL of graph_callers is a part of it."""
+    return graph.incoming(_hierarchy(spark, sf_dir), "IN", F.col("dst").isNotNull()).groupBy("dst").agg(F.count("*").alias("n"))
+
+
 def _snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Documents as they were stored and as they are: some are new, gone, changed or moved."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "source")
@@ -196,7 +201,7 @@ def budgeted_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     q.__name__: q
-    for q in (query_understanding, retr_lexical_overlap, retr_semantic_topk, retr_rrf_fused, retr_metrics, graph_neighbours, graph_reachability_3hop, graph_callers, index_diff, index_stats, rule_versions, page_overlay, last_progress, progress_changes, term_frequency, term_frequency_all, keyword_candidates, doc_paragraphs, line_windows, doc_sections, content_change_claims, budget_packing, rollback_confidence, validation_fold, scope_check, schedule_due, job_transitions, budgeted_loop)
+    for q in (query_understanding, retr_lexical_overlap, retr_semantic_topk, retr_rrf_fused, retr_metrics, graph_neighbours, graph_reachability_3hop, graph_callers, graph_callers_all, index_diff, index_stats, rule_versions, page_overlay, last_progress, progress_changes, term_frequency, term_frequency_all, keyword_candidates, doc_paragraphs, line_windows, doc_sections, content_change_claims, budget_packing, rollback_confidence, validation_fold, scope_check, schedule_due, job_transitions, budgeted_loop)
 }
 
 _STOP = ", ".join(f"'{w}'" for w in retrieval.STOP_WORDS)

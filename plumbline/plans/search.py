@@ -103,12 +103,11 @@ def search_page_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def findings_with_impressions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Findings about pages meet search metrics by page key, else by path."""
+    """Findings of all rules meet the search metrics of all pages by page key, else by path."""
     from .pages import _findings
 
-    own = _findings(spark, sf_dir).filter("rule = 'SEO-CANONICAL-001'")
-    pages = table(spark, sf_dir, "pages").filter("page_id % 2 = 0")
-    metrics = pages.select(urls.page_key(F.col("url")).alias("page_key"), urls.path(F.col("url")).alias("path"), (F.col("page_id") * 10).alias("impressions"), F.col("page_id").alias("position_in_input"))
+    own = _findings(spark, sf_dir)
+    metrics = table(spark, sf_dir, "pages").select(urls.page_key(F.col("url")).alias("page_key"), urls.path(F.col("url")).alias("path"), (F.col("page_id") * 10).alias("impressions"), F.col("page_id").alias("position_in_input"))
     return findings.attach_impressions(own, metrics).select("finding_id", "impressions", F.round(findings.reach_of_impressions(F.col("impressions")), 9).alias("reach"))
 
 
