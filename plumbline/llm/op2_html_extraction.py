@@ -1,6 +1,7 @@
 """Main text of web pages by wrapper induction.
 
-1. Every page becomes a DOM tree. Runs of equal siblings such as paragraphs or list items count as one repeated slot.
+1. Every page becomes a DOM tree. Runs of equal siblings such as paragraphs or list items count as one repeated slot,
+   which knows the members that all pages have.
 2. Trees of one host are folded into a wrapper by simple tree matching: an order-preserving alignment of children with
    the most matched nodes. A wrapper node knows in how many pages it was met, whether its text was always the same and
    how much of its text is links. Folding is associative up to ties, so each task folds the pages it meets, then
@@ -27,6 +28,7 @@ import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
@@ -45,7 +47,7 @@ SALTS = 16
 TASK_HOSTS = 4000
 #: Bytes of wrappers that are sent to every task; beyond it pages and wrappers are joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
-#: Children compared pair by pair at most; longer lists are aligned from both ends.
+#: Children compared pair by pair at most; in longer lists those of one kind are compared once.
 MATCH_CELLS = 4096
 
 # Fixed values of HTML: elements without an end tag, with raw text, without text of the page, and blocks.
@@ -162,19 +164,20 @@ def _close(stack: list[Node], tag: str) -> None:
 
 
 class Slot:
-    """A node of a wrapper: pages that have it, its text's hash (0: varies), characters in text and in links, children; of a page also its DOM nodes."""
+    """A node of a wrapper: pages that have it, its text's hash (0: varies), characters in text and in links, children, and the hashes of members that all of its pages have; of a page also its DOM nodes and their hashes."""
 
-    __slots__ = ("chars", "hash", "kids", "label", "links", "nodes", "pages")
+    __slots__ = ("chars", "hash", "hashes", "kids", "label", "links", "members", "nodes", "pages")
 
-    def __init__(self, label: str, pages: int, hash_: int, chars: int, links: int, kids: list[Slot], nodes: list[Node] | None = None):
-        self.label, self.pages, self.hash, self.chars, self.links, self.kids, self.nodes = label, pages, hash_, chars, links, kids, nodes
+    def __init__(self, label: str, pages: int, hash_: int, chars: int, links: int, kids: list[Slot], nodes: list[Node] | None = None, members: frozenset[int] = frozenset()):
+        self.label, self.pages, self.hash, self.chars, self.links, self.kids, self.nodes, self.members = label, pages, hash_, chars, links, kids, nodes, members
+        self.hashes = [hash_] if nodes else []
 
     def packed(self) -> list:
-        return [self.label, self.pages, self.hash, self.chars, self.links, [k.packed() for k in self.kids]]
+        return [self.label, self.pages, self.hash, self.chars, self.links, [k.packed() for k in self.kids], sorted(self.members)]
 
     @staticmethod
     def unpacked(x: list) -> Slot:
-        return Slot(*x[:5], [Slot.unpacked(k) for k in x[5]])
+        return Slot(*x[:5], [Slot.unpacked(k) for k in x[5]], members=frozenset(x[6]))
 
 
 def _is_beside(node: Node) -> bool:
@@ -204,9 +207,12 @@ def slots(node: Node, link: bool = False) -> Slot:
             last.hash = (last.hash * 1_000_003 + own.hash) % 0xFFFFFFFFFFFF + 1
             last.chars, last.links, last.kids = last.chars + own.chars, last.links + own.links, []
             last.nodes += own.nodes
+            last.hashes += own.hashes
+            last.members |= own.members
         else:
             kids.append(own)
-    return Slot(node.label, 1, code, chars, links, kids, [node])
+    # containers are never taken together, so that their hash is enough
+    return Slot(node.label, 1, code, chars, links, kids, [node], frozenset() if node.label.split(".")[0] in CONTAINERS else frozenset([code]))
 
 
 def _matched(a: Slot, b: Slot, known: dict) -> float:
@@ -225,7 +231,7 @@ def _aligned(a: list[Slot], b: list[Slot], known: dict) -> list[tuple[int, int,
     if len(a) == len(b) and labels == [x.label for x in b] and len(set(labels)) == len(labels):
         return [(i, i, _matched(x, y, known)) for i, (x, y) in enumerate(zip(a, b, strict=True))]
     if len(a) * len(b) > MATCH_CELLS:
-        return _from_ends(a, b, known)
+        return _aligned_long(a, b, known)
     best = [[0.0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i, x in enumerate(a):
         row, above = best[i + 1], best[i]
@@ -244,13 +250,62 @@ def _aligned(a: list[Slot], b: list[Slot], known: dict) -> list[tuple[int, int,
     return out[::-1]
 
 
-def _from_ends(a: list[Slot], b: list[Slot], known: dict) -> list[tuple[int, int, float]]:
-    """For very long lists: equal labels from the front, then from the back."""
+def _aligned_long(a: list[Slot], b: list[Slot], known: dict) -> list[tuple[int, int, float]]:
+    """The same for long lists: equal ends are paired, which loses nothing; between them, children are compared by kind and row by row."""
+    shared = _hashes(a) & _hashes(b)
+    ids: dict = {}
+    of_a, of_b = [_kind(x, shared, ids) for x in a], [_kind(x, shared, ids) for x in b]
+    # an end is paired if both are equal and no text varies: neither has a better partner
+    firm = {k for k, x in zip(of_a, a, strict=True) if _firm(x, shared)} & {k for k, y in zip(of_b, b, strict=True) if _firm(y, shared)}
     short = min(len(a), len(b))
-    front = next((i for i in range(short) if a[i].label != b[i].label), short)
-    back = next((i for i in range(short - front) if a[-1 - i].label != b[-1 - i].label), short - front)
-    pairs = [(i, i) for i in range(front)] + [(len(a) - i, len(b) - i) for i in range(back, 0, -1)]
-    return [(i, j, 1.0) for i, j in pairs]
+    front = next((i for i in range(short) if of_a[i] != of_b[i] or of_a[i] not in firm), short)
+    back = next((i for i in range(short - front) if of_a[-1 - i] != of_b[-1 - i] or of_a[-1 - i] not in firm), short - front)
+    x, y = of_a[front : len(a) - back], of_b[front : len(b) - back]
+    rows, columns = dict(zip(x, a[front:], strict=False)), dict(zip(y, b[front:], strict=False))
+    place = {k: i for i, k in enumerate(columns)}
+    taken = np.array([place[k] for k in y], dtype=np.int64)
+    weights = {k: np.array([_matched(p, q, known) for q in columns.values()])[taken] for k, p in rows.items()} if y else {}
+    above = np.zeros(len(y) + 1)
+    up, left = [], []
+    for k in x:
+        row = np.zeros(len(y) + 1)
+        if y:
+            row[1:] = np.maximum.accumulate(np.maximum(above[1:], above[:-1] + weights[k]))
+        up.append(np.packbits(row[1:] == above[1:]))
+        left.append(np.packbits(row[1:] == row[:-1]))
+        above = row
+    bit = lambda bits, j: bits[j >> 3] >> (7 - (j & 7)) & 1
+    pairs, i, j = [], len(x), len(y)
+    while i and j:
+        if bit(up[i - 1], j - 1):
+            i -= 1
+        elif bit(left[i - 1], j - 1):
+            j -= 1
+        else:
+            i, j = i - 1, j - 1
+            pairs.append((front + i, front + j))
+    pairs = [(i, i) for i in range(front)] + pairs[::-1] + [(len(a) - i, len(b) - i) for i in range(back, 0, -1)]
+    return [(i, j, _matched(a[i], b[j], known)) for i, j in pairs]
+
+
+def _hashes(slots_: list[Slot]) -> set[int]:
+    found: set[int] = set()
+    stack = list(slots_)
+    while stack:
+        x = stack.pop()
+        found.add(x.hash)
+        stack += x.kids
+    return found - {0}
+
+
+def _kind(slot: Slot, shared: set[int], ids: dict) -> int:
+    """A number for all that _matched sees of a slot: labels, and the hashes that both sides have."""
+    key = (slot.label, slot.hash if slot.hash in shared else 0, *[_kind(k, shared, ids) for k in slot.kids])
+    return ids.setdefault(key, len(ids))
+
+
+def _firm(slot: Slot, shared: set[int]) -> bool:
+    return slot.hash in shared and all(_firm(k, shared) for k in slot.kids)
 
 
 def merged(a: Slot, b: Slot, known: dict | None = None) -> Slot:
@@ -261,7 +316,7 @@ def merged(a: Slot, b: Slot, known: dict | None = None) -> Slot:
         kids += a.kids[i:x] + b.kids[j:y] + [merged(a.kids[x], b.kids[y], known)]
         i, j = x + 1, y + 1
     kids += a.kids[i:] + b.kids[j:]
-    return Slot(a.label, a.pages + b.pages, a.hash if a.hash == b.hash else 0, a.chars + b.chars, a.links + b.links, kids)
+    return Slot(a.label, a.pages + b.pages, a.hash if a.hash == b.hash else 0, a.chars + b.chars, a.links + b.links, kids, members=a.members & b.members)
 
 
 class Wrapper:
@@ -345,10 +400,12 @@ class _Reader:
 
     def _align(self, own: Slot, slot: Slot | None, known: dict) -> None:
         """Note for the page's nodes whether they are template, and the text that their slot has on average."""
-        fixed = slot is not None and slot.hash != 0 and slot.hash == own.hash and slot.pages >= SUPPORT * self.wrapper.root.pages
-        for node in own.nodes:
-            self.weight[id(node)] = 0.0 if fixed else (slot.chars - slot.links) / slot.pages if slot is not None and len(own.nodes) == 1 else float(own.chars - own.links) / len(own.nodes)
-            if fixed:
+        common = slot is not None and slot.pages >= SUPPORT * self.wrapper.root.pages
+        fixed = common and slot.hash != 0 and slot.hash == own.hash
+        for node, hash_ in zip(own.nodes, own.hashes, strict=True):
+            constant = fixed or common and hash_ in slot.members
+            self.weight[id(node)] = 0.0 if constant else (slot.chars - slot.links) / slot.pages if slot is not None and len(own.nodes) == 1 else float(own.chars - own.links) / len(own.nodes)
+            if constant:
                 self.constant.add(id(node))
         pairs = {x: y for x, y, _ in _aligned(own.kids, slot.kids, known)} if slot is not None else {}
         for i, kid in enumerate(own.kids):

@@ -1,5 +1,8 @@
+import random
+
 import pytest
 
+from plumbline.llm import op2_html_extraction as op
 from plumbline.llm.op2_html_extraction import Wrapper, _bare, extract, main_text, parse, slots
 
 
@@ -59,3 +62,33 @@ def test_query_on_edge_rows(spark):
     assert len(got) == len(rows) and all(r["n_chars"] == len(r["text"]) for r in got)
     assert {r["text"] for r in got if r["page_id"] == 1} == {" ".join(["text 1"] * 20)}
     assert extract(df.limit(0)).count() == 0
+
+
+def flat(n):
+    """A hundred varying children with a constant one amid them, in another place on every page."""
+    some = [f"<div>text {n} {i}</div>" if (i - n) % 7 else f"<section>part {n} {i}</section>" for i in range(100 + 3 * n)]
+    some.insert(50 + n, "<div class='line'>All rights are with the owner of the site</div>")
+    return f"<body>{''.join(some)}</body>"
+
+
+def test_constant_node_amid_a_long_list():
+    text = main_text(flat(9), wrapper(*[flat(n) for n in range(6)]))
+    assert "All rights" not in text and text.count("\n") == 126
+
+
+def test_constant_member_of_a_run():
+    run = lambda n: "<body>" + "".join(f"<p>text {n} {i} and more</p>" for i in range(3 + n)) + "<p>Always the same words</p></body>"
+    text = main_text(run(9), wrapper(*[run(n) for n in range(5)]))
+    assert "Always" not in text and text.count("\n") == 11
+
+
+def test_long_lists_are_aligned_like_short_ones(monkeypatch):
+    draw = random.Random(5)
+    one = lambda: draw.choice(["<div>x</div>", "<div>y</div>", "<div><p>x</p></div>", "<section>x</section>", "<div>z<ul><li>1</li></ul></div>", f"<div>{draw.random()}</div>"])
+    weight = lambda: sum(w for _, _, w in op._aligned(*sides, {}))
+    for _ in range(60):
+        sides = [slots(parse("".join(one() for _ in range(draw.randint(0, 14))))).kids for _ in range(2)]
+        monkeypatch.setattr(op, "MATCH_CELLS", 10**9)
+        exact = weight()
+        monkeypatch.setattr(op, "MATCH_CELLS", -1)
+        assert weight() == exact
