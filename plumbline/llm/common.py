@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -9,9 +12,12 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: The white space between words: space and the controls 9 to 13.
 WORD_GAP = r"[\x20\x09-\x0D]+"
+#: Bytes of the Arrow batches that go to Python tasks, where the session says nothing else.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,9 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one made here where none is set (local tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session may leave that unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = getattr(spark.sparkContext, "_plumbline_scratch", None)
         if root is None:
             root = spark.sparkContext._plumbline_scratch = f"file://{tempfile.mkdtemp(prefix='plumbline-')}"
@@ -53,6 +61,33 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
+Batches = Iterator[pa.RecordBatch]
+
+
+def arrow_map(df: DataFrame, function: Callable[[Batches], Batches], schema: str | StructType) -> DataFrame:
+    """df.mapInArrow with batches of bounded bytes; a task gives its free memory back when it ends, as workers are used again."""
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+    def run(batches: Batches) -> Batches:
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            yield from function(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(run, schema)
+
+
+def release() -> None:
+    """Give free memory of this process back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def words_of(text: Column) -> Column:
     """The words of a text as an array; a null text has none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_GAP), lambda w: w != "")
@@ -75,6 +110,7 @@ def claim(owner: str, forget: Callable[[], object] | None = None) -> None:
         if other != owner:
             drop()
             del _kept[other]
+            release()
     if forget is not None:
         _kept[owner] = forget
 

@@ -20,11 +20,12 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import claim, crc_mod, table
+from .common import Batches, arrow_map, claim, crc_mod, sliced, table
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -202,28 +203,40 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_DOCS) -> Network:
     return train(np.array(rows), np.array(targets), languages)
 
 
-def predicted(net: Network) -> Column:
-    """struct(lang_pred, score) of the column text."""
+def _predicted(blob: bytes, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    claim("language", _predictor.cache_clear)
+    return _predictor(blob).texts(texts)
+
+
+def identified(docs: DataFrame, net: Network) -> DataFrame:
+    """doc_id, lang_pred, score for every row of docs (doc_id, text)."""
     import pickle
 
     blob = pickle.dumps(net)
 
-    @F.pandas_udf("lang_pred string, score double")
-    def predict(text: pd.Series) -> pd.DataFrame:
-        claim("language", _predictor.cache_clear)
-        langs, scores = _predictor(blob).texts([t if isinstance(t, str) else None for t in text])
-        return pd.DataFrame({"lang_pred": langs, "score": scores})
+    def predict(batches: Batches) -> Batches:
+        for batch in sliced(batches):
+            langs, scores = _predicted(blob, batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return predict(F.col("text").cast("string"))
+    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), predict, "doc_id long, lang_pred string, score double")
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found = docs.select("doc_id", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), predicted(fit(docs)).alias("p"))
-    return found.select("doc_id", "held_out", "p.lang_pred", "p.score")
+    found = identified(docs, fit(docs))
+    return found.select("doc_id", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents whose language is known and sure."""
-    scored = docs.withColumn("_p", predicted(fit(docs)))
-    return scored.filter((F.col("_p.lang_pred") != UNKNOWN) & (F.col("_p.score") >= KEEP_SCORE)).drop("_p")
+    import pickle
+
+    blob, at = pickle.dumps(fit(docs)), docs.columns.index("text")
+
+    def keep(batches: Batches) -> Batches:
+        for batch in sliced(batches):
+            langs, scores = _predicted(blob, batch.column(at).cast(pa.string()).to_pylist())
+            yield batch.filter(pc.and_(pc.not_equal(pa.array(langs, pa.string()), UNKNOWN), pc.greater_equal(pa.array(scores, pa.float64()), KEEP_SCORE)))
+
+    return arrow_map(docs, keep, docs.schema)

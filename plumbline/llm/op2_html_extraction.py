@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, sliced, table
+from .common import arrow_map, materialize, sliced, table
 
 MAX_DEPTH = 150
 #: Different pages that must agree before a node counts as template, and the least share of the host's pages.
@@ -510,7 +510,7 @@ def induce(pages: DataFrame) -> DataFrame:
         return pd.DataFrame({"host": [rows["host"].iloc[0]], "pages": [total.root.pages], "wrapper": [total.packed()]})
 
     schema = "host string, pages long, wrapper binary"
-    partials = pages.filter("host <> '' and html <> ''").select("host", "html").mapInArrow(partial, "host string, salt int, wrapper binary")
+    partials = arrow_map(pages.filter("host <> '' and html <> ''").select("host", "html"), partial, "host string, salt int, wrapper binary")
     salted = partials.groupBy("host", "salt").applyInPandas(fold, schema)
     return salted.select("host", "wrapper").groupBy("host").applyInPandas(fold, schema).filter("pages > 1").select("host", "wrapper")
 
@@ -540,7 +540,7 @@ def extract(pages: DataFrame) -> DataFrame:
             texts = [main_text(html, _wrapper(w) if w is not None else None) for html, w in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return joined.select("page_id", "url", "html", "wrapper").mapInArrow(read, "page_id long, url string, text string, n_chars long")
+    return arrow_map(joined.select("page_id", "url", "html", "wrapper"), read, "page_id long, url string, text string, n_chars long")
 
 
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,11 +22,12 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import claim, table
+from .common import Batches, arrow_map, claim, sliced, table
 
 #: Bounds of the training sample (expected rows).
 LABELLED = 4000
@@ -35,6 +36,8 @@ ROUNDS = 4
 #: Pseudo-labels that each view hands over in a round, as a share of the pool, for each class.
 HANDED = 0.05
 KEEP_SCORE = 0.5
+#: Words whose hashes a task keeps, and the length up to which it does; a full cache starts anew. Neither changes a result.
+CACHE_WORDS, CACHE_LENGTH = 150_000, 64
 
 SHAPES, PAIRS, WORDS = 256, 1024, 1024
 SHARES = 8
@@ -57,11 +60,12 @@ class _Codes(dict):
     """For a word its hashes and what the shares need; starts anew when full."""
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) > 300_000:
+        if len(self) > CACHE_WORDS:
             self.clear()
         shape = zlib.crc32(_shape(word).encode())
         code = (shape % SHAPES) << 20 | zlib.crc32(word.lower().encode("utf-8", "replace")) % WORDS << 10 | (shape >> 10) % 1024
-        self[word] = code
+        if len(word) <= CACHE_LENGTH:
+            self[word] = code
         return code
 
 
@@ -81,9 +85,10 @@ def text_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     lines = [x for x in text.split("\n") if x.strip()]
     chars = max(1, len(text))
     distinct = len(set(words)) / n
+    blocks = [len(set(words[i : i + 100])) / 100 for i in range(0, n - n % 100, 100)]  # at one scale, over the whole text
     shares = [
         distinct,
-        distinct if n < 100 else len(set(words[:: max(1, n // 100)])) / len(words[:: max(1, n // 100)]),
+        sum(blocks) / len(blocks) if blocks else distinct,
         len(set(lines)) / max(1, len(lines)),
         min(1.0, 20 * sum(map(text.count, _SYMBOLS)) / chars),
         min(1.0, 20 * text.count("!") / chars),
@@ -186,24 +191,25 @@ def co_train(text: np.ndarray, meta: np.ndarray, labels: np.ndarray, folds: np.n
     return Model(weights[0], weights[1], *platt, tuple(float(x) for x in mix))
 
 
-def _featured() -> Column:
-    """struct of the sparse features of both views, as bytes."""
+def _inputs(*more: Column) -> list[Column]:
+    """What both views read, under names of their own, and further columns in front."""
+    return [*more, F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col("n_chars").cast("double").alias("n_chars")]
 
-    @F.pandas_udf("text_at binary, text_value binary, meta_at binary, meta_value binary")
-    def features(text: pd.Series, source: pd.Series, lang: pd.Series, n_chars: pd.Series) -> pd.DataFrame:
-        claim("quality", _forget)
-        rows = []
-        for t, s, g, n in zip(text, source, lang, n_chars, strict=True):
-            a, b = text_features(t if isinstance(t, str) else None)
-            c, d = meta_features(s, g, n)
-            rows.append((a.astype(np.int32).tobytes(), b.tobytes(), c.astype(np.int32).tobytes(), d.tobytes()))
-        return pd.DataFrame(rows, columns=["text_at", "text_value", "meta_at", "meta_value"])
 
-    return features(*_inputs()).alias("f")
+def _featured(rows: DataFrame) -> DataFrame:
+    """doc_id, label and the sparse features of both views, as bytes; rows has doc_id, label and the inputs."""
 
+    def features(batches: Batches) -> Batches:
+        claim("quality", _forget)
+        for batch in sliced(batches):
+            out = []
+            for t, s, g, n in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True):
+                a, b = text_features(t)
+                c, d = meta_features(s, g, n)
+                out.append((a.astype(np.int32).tobytes(), b.tobytes(), c.astype(np.int32).tobytes(), d.tobytes()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.binary()) for c in zip(*out, strict=True))], ["doc_id", "label", "text_at", "text_value", "meta_at", "meta_value"])
 
-def _inputs() -> list[Column]:
-    return [F.col("text").cast("string"), F.col("source").cast("string"), F.col("lang").cast("string"), F.col("n_chars").cast("double")]
+    return arrow_map(rows, features, "doc_id long, label int, text_at binary, text_value binary, meta_at binary, meta_value binary")
 
 
 def _drawn(df: DataFrame, rows: int, salt: int) -> DataFrame:
@@ -213,18 +219,20 @@ def _drawn(df: DataFrame, rows: int, salt: int) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> Model:
-    known = _drawn(labels.filter(F.col("quality").isNotNull()).select("doc_id", "quality"), labelled, 31)
+    named = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label"))
+    known = _drawn(named.filter(F.col("label").isNotNull()), labelled, 31)
+    rows = docs.select(*_inputs(F.col("doc_id").cast("long").alias("doc_id")))
     # `known` is bounded by its sample size
-    rows = docs.join(F.broadcast(known), "doc_id").select("doc_id", "quality", _featured()).collect()
-    free = _drawn(docs, pool, 32).select("doc_id", _featured()).collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["quality"]))
-    free.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"]))
+    met = rows.join(F.broadcast(known), "doc_id").select("doc_id", "label", "text", "source", "lang", "n_chars")
+    taught = sorted(_featured(met).collect(), key=lambda r: (r["doc_id"], r["label"]))
+    some = _drawn(rows, pool, 32).select("doc_id", F.lit(None).cast("int").alias("label"), "text", "source", "lang", "n_chars")
+    free = sorted(_featured(some).collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"]))
 
     def view(found: list, name: str, dim: int) -> np.ndarray:
-        return _dense([(np.frombuffer(r["f"][f"{name}_at"], np.int32), np.frombuffer(r["f"][f"{name}_value"], np.float32)) for r in found], dim)
+        return _dense([(np.frombuffer(r[f"{name}_at"], np.int32), np.frombuffer(r[f"{name}_value"], np.float32)) for r in found], dim)
 
-    folds = np.array([zlib.crc32(f"{r['doc_id']}/fold".encode()) % 3 for r in rows])
-    return co_train(view(rows, "text", TEXT_DIM), view(rows, "meta", META_DIM), np.array([int(r["quality"] > 0) for r in rows]), folds, view(free, "text", TEXT_DIM), view(free, "meta", META_DIM))
+    folds = np.array([zlib.crc32(f"{r['doc_id']}/fold".encode()) % 3 for r in taught])
+    return co_train(view(taught, "text", TEXT_DIM), view(taught, "meta", META_DIM), np.array([int(r["label"] > 0) for r in taught]), folds, view(free, "text", TEXT_DIM), view(free, "meta", META_DIM))
 
 
 @lru_cache(maxsize=2)
@@ -239,48 +247,59 @@ def _forget() -> None:
     _model.cache_clear()
 
 
-def scored(model: Model) -> Column:
-    """struct(p_text, p_meta, score) of a document."""
+def _scores(blob: bytes, inputs: list[list]) -> np.ndarray:
+    """p_text, p_meta and score of texts with their source, lang and n_chars."""
+    claim("quality", _forget)
+    own = _model(blob)
+    n = len(inputs[0])
+    raw, blank = np.zeros((2, n)), np.zeros(n, bool)
+    seen: dict[tuple, float] = {}
+    for i, (t, s, g, c) in enumerate(zip(*inputs, strict=True)):
+        where, values = text_features(t)
+        blank[i] = not len(where)
+        if own.text is None:
+            continue
+        raw[0, i] = values @ own.text[where]
+        key = (s, g, -1 if c is None or c != c else int(np.log2(max(1.0, c))))
+        if key not in seen:
+            at, value = meta_features(s, g, c)
+            seen[key] = float(value @ own.meta[at])
+        raw[1, i] = seen[key]
+    p = np.ones((3, n)) if own.text is None else np.array(own.views(raw[0], raw[1]))
+    p[:, blank] = 0.0
+    return p
+
+
+def scored(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, p_text, p_meta, score for every row of docs (doc_id, text, source, lang, n_chars)."""
     import pickle
 
     blob = pickle.dumps(model)
 
-    @F.pandas_udf("p_text double, p_meta double, score double")
-    def score(text: pd.Series, source: pd.Series, lang: pd.Series, n_chars: pd.Series) -> pd.DataFrame:
-        claim("quality", _forget)
-        own = _model(blob)
-        n = len(text)
-        raw, blank = np.zeros((2, n)), np.zeros(n, bool)
-        seen: dict[tuple, float] = {}
-        for i, (t, s, g, c) in enumerate(zip(text, source, lang, n_chars, strict=True)):
-            where, values = text_features(t if isinstance(t, str) else None)
-            blank[i] = not len(where)
-            if own.text is None:
-                continue
-            raw[0, i] = values @ own.text[where]
-            key = (s, g, -1 if c is None or c != c else int(np.log2(max(1.0, c))))
-            if key not in seen:
-                at, value = meta_features(s, g, c)
-                seen[key] = float(value @ own.meta[at])
-            raw[1, i] = seen[key]
-        if own.text is None:
-            p = np.ones((3, n))
-        else:
-            p = np.array(own.views(raw[0], raw[1]))
-        p[:, blank] = 0.0
-        return pd.DataFrame({"p_text": p[0], "p_meta": p[1], "score": p[2]})
+    def score(batches: Batches) -> Batches:
+        for batch in sliced(batches):
+            p = _scores(blob, [batch.column(i).to_pylist() for i in range(1, 5)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, p)], ["doc_id", "p_text", "p_meta", "score"])
 
-    return score(*_inputs())
+    return arrow_map(docs.select(*_inputs(F.col("doc_id").cast("long").alias("doc_id"))), score, "doc_id long, p_text double, p_meta double, score double")
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, the calibrated probability of each view, their combination and the verdict, for every document."""
     docs = table(spark, sf_dir, "documents")
-    found = docs.select("doc_id", scored(fit(docs, table(spark, sf_dir, "labels"))).alias("p"))
-    return found.select("doc_id", "p.p_text", "p.p_meta", "p.score", (F.col("p.score") >= KEEP_SCORE).alias("kept"))
+    return scored(docs, fit(docs, table(spark, sf_dir, "labels"))).withColumn("kept", F.col("score") >= KEEP_SCORE)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents that the combined views score as good."""
-    model = fit(docs, table(spark, sf_dir, "labels"))
-    return docs.withColumn("_p", scored(model)).filter(F.col("_p.score") >= KEEP_SCORE).drop("_p")
+    import pickle
+
+    blob = pickle.dumps(fit(docs, table(spark, sf_dir, "labels")))
+    at = [(docs.columns.index(c), kind) for c, kind in (("text", pa.string()), ("source", pa.string()), ("lang", pa.string()), ("n_chars", pa.float64()))]
+
+    def keep(batches: Batches) -> Batches:
+        for batch in sliced(batches):
+            p = _scores(blob, [batch.column(i).cast(kind).to_pylist() for i, kind in at])
+            yield batch.filter(pc.greater_equal(pa.array(p[2]), KEEP_SCORE))
+
+    return arrow_map(docs, keep, docs.schema)

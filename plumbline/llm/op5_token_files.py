@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import tokens
-from .common import scratch_path, sliced, table
+from .common import arrow_map, scratch_path, sliced, table
 
 END_ID = 2
 ROW_GROUP_BYTES = 32 << 20
@@ -51,7 +51,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "part", "part_start", "n_tokens", "ids"])
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    writer = ordered.mapInArrow(encode, _FILE).write
+    writer = arrow_map(ordered, encode, _FILE).write
     for key, value in {
         "compression": "zstd",
         "parquet.writer.version": "v2",  # delta packing where there is no dictionary
@@ -93,7 +93,7 @@ def digest(rows: DataFrame) -> DataFrame:
             sums = [zlib.crc32(flat[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return rows.mapInArrow(crc, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return arrow_map(rows, crc, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

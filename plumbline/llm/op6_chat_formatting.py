@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_path, sliced, table
+from .common import arrow_map, scratch_path, sliced, table
 from .templates import Escaper, compile_template
 
 TEMPLATE = """{% for m in messages %}{% if m.role == 'user' %}{{ '<s>' ~ '[INST] ' }}{{ m.text }} [/INST]{% elif m.role == 'assistant' %}{% generation %}{{ m.text }}{% endgeneration %}</s>{% else %}<s>[ROLE]{{ m.role }}[/ROLE]{{ m.text }}</s>{% endif %}{% endfor %}"""
@@ -90,7 +90,7 @@ def format_chats(turns: DataFrame, path: str, template: str = TEMPLATE, controls
             yield out()
 
     dealt = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")).repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    dealt.select("conv_id", "role", "text").mapInArrow(render, _FILE).write.option("compression", "zstd").parquet(path)
+    arrow_map(dealt.select("conv_id", "role", "text"), render, _FILE).write.option("compression", "zstd").parquet(path)
     return path
 
 
@@ -167,7 +167,7 @@ def digest(parts: DataFrame, controls: tuple[str, ...] = CONTROLS) -> DataFrame:
     # a conversation in one part needs no other row; the few long ones are brought together and read in order
     whole = (F.col("part") == 0) & F.col("last")
     long = parts.filter(~whole).repartition("conv_id").sortWithinPartitions("conv_id", "part")
-    return parts.filter(whole).mapInArrow(summed, _DIGEST).union(long.mapInArrow(summed, _DIGEST))
+    return arrow_map(parts.filter(whole), summed, _DIGEST).union(arrow_map(long, summed, _DIGEST))
 
 
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

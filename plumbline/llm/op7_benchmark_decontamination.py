@@ -7,7 +7,8 @@ window stays high. Windows and items get HASHES minima; one equal minimum makes
 with the exact share of the item's shingles that occur anywhere in the whole document. An item of which THRESHOLD is
 contained in one place is missed with a probability of at most (1 - THRESHOLD / 5) ** HASHES, under 0.00003.
 
-Items are the stated query set: they are held in blocks of bounded size, each block against all documents.
+Items are the stated query set: they are held in blocks of bounded size, each block against all documents. A task holds
+one block's index at a time; with several blocks it takes documents in groups of GROUP_BYTES through one after the other.
 
 Cases: null or blank texts contain nothing and are contained nowhere; items under five words are one shingle and are
 found in documents that consist of just these words; repeated items count once for each item_id; a null item_id is
@@ -16,15 +17,17 @@ ignored; an empty benchmark leaves all documents clean; further columns are igno
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_GAP, claim, crc_mod, table
+from .common import WORD_GAP, Batches, arrow_map, claim, crc_mod, sliced, table
 from .op8_ngram_jaccard_join import WORDS, mixed, shingles
 
 #: The least share of an item's shingles, as a fraction of 100.
@@ -34,6 +37,8 @@ HASHES = 64
 BLOCK_WORDS = 1_000_000
 #: Shingles of documents that are searched together.
 BATCH_SHINGLES = 1 << 17
+#: With several blocks: bytes of texts that go through one block before the next one's index is made.
+GROUP_BYTES = 32 << 20
 
 _BITS = 22
 _SCRAMBLE = np.uint64(0xD6E8FEB86659FD93)
@@ -141,37 +146,68 @@ def _index(ids: tuple[int, ...], texts: tuple[str, ...]) -> Index:
     return Index(list(ids), list(texts))
 
 
-def contained(ids: list[int], texts: list[str], spark: SparkSession) -> Column:
-    """array of (item_id, common, size) for the column text, over one block of items."""
-    held = spark.sparkContext.broadcast((tuple(ids), tuple(texts)))  # bounded by BLOCK_WORDS
+Found = list[tuple[int, int, int]]
 
-    @F.pandas_udf("array<struct<item_id:long,common:int,size:int>>")
-    def find(text: pd.Series) -> pd.Series:
-        claim("benchmark", _index.cache_clear)
-        index = _index(*held.value)
-        return pd.Series([[{"item_id": a, "common": b, "size": c} for a, b, c in x] for x in index.search([t if isinstance(t, str) else None for t in text])], dtype=object)
 
-    return find(F.col("text").cast("string"))
+def _shared(items: DataFrame) -> list[Broadcast]:
+    context = items.sparkSession.sparkContext
+    return [context.broadcast((tuple(ids), tuple(texts))) for ids, texts in blocks(items)]  # each is bounded by BLOCK_WORDS
+
+
+def _searched(batches: Batches, held: list[Broadcast], at: int) -> Iterator[tuple[pa.RecordBatch, list[Found]]]:
+    """Each batch with the items that its texts (column `at`) contain, from all blocks."""
+
+    def through(group: list[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[Found]]]:
+        found: list[list[Found]] = [[[] for _ in range(b.num_rows)] for b in group]
+        for block in held:
+            claim("benchmark", _index.cache_clear)
+            index = _index(*block.value)
+            for batch, own in zip(group, found, strict=True):
+                for mine, more in zip(own, index.search(batch.column(at).cast(pa.string()).to_pylist()), strict=True):
+                    mine += more
+        yield from zip(group, found, strict=True)
+
+    group, size = [], 0
+    for batch in sliced(batches):
+        group.append(batch)
+        size += batch.column(at).nbytes
+        if len(held) == 1 or size >= GROUP_BYTES:
+            yield from through(group)
+            group, size = [], 0
+    if group:
+        yield from through(group)
 
 
 def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """docs with a further column _found: the contained items, from all blocks."""
-    found = [contained(ids, texts, docs.sparkSession) for ids, texts in blocks(items)]
-    none = F.array().cast("array<struct<item_id:long,common:int,size:int>>")
-    return docs.withColumn("_found", F.concat(none, *found))
+    """doc_id and the items contained (item_id, common, size) for every row of docs (doc_id, text)."""
+    held = _shared(items)
+    kind = pa.list_(pa.struct([("item_id", pa.int64()), ("common", pa.int32()), ("size", pa.int32())]))
+
+    def find(batches: Batches) -> Batches:
+        for batch, found in _searched(batches, held, 1):
+            rows = [[{"item_id": a, "common": b, "size": c} for a, b, c in own] for own in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, kind)], ["doc_id", "found"])
+
+    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), find, "doc_id long, found array<struct<item_id:long,common:int,size:int>>")
 
 
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every document: whether it holds a benchmark item, how many, which, and the largest share."""
-    found = matches(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    ids = F.array_sort(F.array_distinct(F.transform("_found", lambda x: x["item_id"])))
-    share = F.array_max(F.transform("_found", lambda x: x["common"] / x["size"]))
-    return found.select("doc_id", (F.size("_found") > 0).alias("contaminated"), F.size(ids).cast("long").alias("n_items"), F.array_join(ids, ",").alias("item_ids"), F.coalesce(share, F.lit(0.0)).alias("containment"))
+    found = matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    ids = F.array_sort(F.array_distinct(F.transform("found", lambda x: x["item_id"])))
+    share = F.array_max(F.transform("found", lambda x: x["common"] / x["size"]))
+    return found.select("doc_id", (F.size("found") > 0).alias("contaminated"), F.size(ids).cast("long").alias("n_items"), F.array_join(ids, ",").alias("item_ids"), F.coalesce(share, F.lit(0.0)).alias("containment"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that hold a benchmark item."""
-    return matches(docs, table(spark, sf_dir, "benchmark")).filter(F.size("_found") == 0).drop("_found")
+    held, at = _shared(table(spark, sf_dir, "benchmark")), docs.columns.index("text")
+
+    def keep(batches: Batches) -> Batches:
+        for batch, found in _searched(batches, held, at):
+            yield batch.filter(pa.array([not own for own in found], pa.bool_()))
+
+    return arrow_map(docs, keep, docs.schema)
 
 
 _WORDS_SQL = """list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"""

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import claim, materialize, sliced, table
+from .common import arrow_map, claim, materialize, sliced, table
 from .components import connected_components
 
 WORDS = 5
@@ -144,7 +144,20 @@ def _sets(docs: DataFrame, schema: str, row) -> DataFrame:
             columns = [[x for r in out for x in r[k]] if not isinstance(out[0][k], np.ndarray) else np.concatenate([r[k] for r in out]) for k in range(len(names))]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return arrow_map(docs.select("doc_id", "text"), run, schema)
+
+
+def _whole_sets(docs: DataFrame) -> DataFrame:
+    """doc_id and its set as a list."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("sets")
+        for batch in sliced(batches, 128):
+            out = [shingles(t) for t in batch.column(1).to_pylist()]
+            ends = np.cumsum([0, *map(len, out)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(out).view(np.int64)))], ["doc_id", "shingles"])
+
+    return arrow_map(docs.select("doc_id", "text"), run, "doc_id long, shingles array<long>")
 
 
 def _signatures(docs: DataFrame) -> DataFrame:
@@ -186,7 +199,7 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Those pairs (a, b) whose sets link. Only the sets of documents in pairs are made and moved."""
     pairs = materialize(pairs, "pairs")
     ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted")
-    sets = materialize(_sets(_without(docs, ids, "left_semi", ids.count()), "doc_id long, shingles array<long>", lambda i, s: ([i], [s.view(np.int64).tolist()])), "sets")
+    sets = materialize(_whole_sets(_without(docs, ids, "left_semi", ids.count())), "sets")
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
     overlap = F.size(F.array_intersect("x", "y"))

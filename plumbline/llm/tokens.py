@@ -15,8 +15,8 @@ from functools import lru_cache
 
 from .common import claim
 
-#: Words kept by a task; beyond it the cache starts anew, which bounds memory and changes no result.
-CACHE_WORDS = 400_000
+#: Words kept by a task, and the length up to which they are; a full cache starts anew. Both bound memory and change no result.
+CACHE_WORDS, CACHE_LENGTH = 250_000, 64
 
 #: Fixed value: the tokenizer's split pattern, to check that a file fits the cached path.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -65,7 +65,9 @@ class WordEncoder(dict):
             if len(self.pieces) >= CACHE_WORDS:
                 self.pieces.clear()
             spelled = word if word.isascii() else "".join([self.letters[b] for b in word.encode()])
-            ids = self.pieces[word] = pack([x.id for x in self.model.tokenize(spelled)])
+            ids = pack([x.id for x in self.model.tokenize(spelled)])
+            if len(word) <= CACHE_LENGTH:
+                self.pieces[word] = ids
         return ids
 
     def __missing__(self, word: str) -> bytes:
@@ -77,7 +79,8 @@ class WordEncoder(dict):
             ids = b"".join(map(self.piece, self.split.findall(word)))
         if len(self) >= CACHE_WORDS:
             self.clear()
-        self[word] = ids
+        if len(word) <= CACHE_LENGTH:
+            self[word] = ids
         return ids
 
     def encode(self, text: str | None) -> bytes:

@@ -46,15 +46,15 @@ def test_equals_all_pairs(spark, monkeypatch, seed, block):
     monkeypatch.setattr(op7, "BLOCK_WORDS", block)
     docs, items = corpus(seed)
     found = op7.matches(spark.createDataFrame([(i, t, 1) for i, t in docs], "doc_id long, text string, item_id int"), spark.createDataFrame(items, "item_id long, text string"))
-    assert found.columns == ["doc_id", "text", "item_id", "_found"]
+    assert found.columns == ["doc_id", "found"]
     rows = found.collect()
     assert len(rows) == len(docs)
-    assert {r.doc_id: sorted({x.item_id for x in r._found}) for r in rows} == brute(docs, items)
+    assert {r.doc_id: sorted({x.item_id for x in r.found}) for r in rows} == brute(docs, items)
 
 
 def test_empty_tables(spark, documents):
     none = spark.createDataFrame([], "item_id long, text string")
-    assert op7.matches(documents, none).filter("size(_found) > 0").count() == 0
+    assert op7.matches(documents, none).filter("size(found) > 0").count() == 0
     assert op7.matches(documents.limit(0), spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")).count() == 0
 
 

@@ -17,16 +17,16 @@ def test_held_out_language_accuracy(spark):
 
 def test_language_ignores_other_columns_and_covers_all_rows(spark, documents):
     net = op10.fit(spark.read.parquet(f"{SF}/documents.parquet"), per_language=150)
-    rows = documents.select("doc_id", op10.predicted(net).alias("p")).collect()
+    rows = op10.identified(documents, net).collect()
     assert len(rows) == documents.count()
-    by = {r.doc_id: r.p for r in rows}
-    assert all(by[k].lang_pred == "und" and by[k].score == 0 for k in (1, 2, 7))
-    assert {r.p for r in rows if r.doc_id == 5} == {by[6]}
+    by = {r.doc_id: (r.lang_pred, r.score) for r in rows}
+    assert all(by[k] == ("und", 0) for k in (1, 2, 7))
+    assert {(r.lang_pred, r.score) for r in rows if r.doc_id == 5} == {by[6]}
 
 
 def test_language_without_labels(spark, documents):
     net = op10.fit(documents.withColumn("lang", F.lit(None).cast("string")))
-    assert {r.p.lang_pred for r in documents.select(op10.predicted(net).alias("p")).collect()} == {"und"}
+    assert {r.lang_pred for r in op10.identified(documents, net).collect()} == {"und"}
     assert op10.fit(documents.limit(0)).languages == ()
 
 
@@ -52,19 +52,19 @@ def test_quality_against_held_out_labels(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     even = labels.filter("doc_id % 2 = 0")
     model = op3.fit(docs, even)
-    rows = docs.select("doc_id", op3.scored(model).alias("p")).join(labels.filter("doc_id % 2 = 1"), "doc_id").collect()
-    good, bad = [r.p.score >= 0.5 for r in rows if r.quality], [r.p.score >= 0.5 for r in rows if not r.quality]
+    rows = op3.scored(docs, model).join(labels.filter("doc_id % 2 = 1"), "doc_id").collect()
+    good, bad = [r.score >= 0.5 for r in rows if r.quality], [r.score >= 0.5 for r in rows if not r.quality]
     assert np.mean(good) > 0.98 and np.mean(bad) < 0.2
 
 
 def test_quality_edge_cases(spark, documents):
     labels = spark.createDataFrame([(0, 1), (4, 0), (4, 1), (None, 1), (5, None)], "doc_id long, quality int")
     for own in (labels, labels.filter("quality = 1"), labels.limit(0)):
-        rows = documents.select("doc_id", op3.scored(op3.fit(documents, own)).alias("p")).collect()
+        rows = op3.scored(documents, op3.fit(documents, own)).collect()
         assert len(rows) == documents.count()
-        assert all(r.p.score == 0 for r in rows if r.doc_id in (1, 2, 7))
-        assert all(0 <= x <= 1 for r in rows for x in r.p)
-    assert documents.limit(0).select(op3.scored(op3.fit(documents.limit(0), labels)).alias("p")).count() == 0
+        assert all(r.score == 0 for r in rows if r.doc_id in (1, 2, 7))
+        assert all(0 <= x <= 1 for r in rows for x in (r.p_text, r.p_meta, r.score))
+    assert op3.scored(documents.limit(0), op3.fit(documents.limit(0), labels)).count() == 0
 
 
 def test_sure_labels_teach_the_other_view():
@@ -78,6 +78,14 @@ def test_sure_labels_teach_the_other_view():
     assert np.mean((p_meta > 0.5) == y[60:]) > 0.75 and np.mean((both > 0.5) == y[60:]) > 0.97
 
 
+@pytest.mark.parametrize("stage", [op3.stage, op10.stage])
+def test_stages_keep_columns_with_clashing_names(spark, stage):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    more = docs.withColumns({c: F.lit(7) for c in ("_p", "_found", "quality", "label", "score", "text_at", "lang_pred")})
+    assert stage(spark, more, SF).select(*docs.columns).subtract(stage(spark, docs, SF)).count() == 0
+    assert stage(spark, more, SF).columns == more.columns
+
+
 @pytest.mark.parametrize("stage", [op3.stage, op10.stage])
 def test_stages_keep_columns_and_good_rows(spark, stage):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
