@@ -25,7 +25,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     last = None
     for _ in range(MAX_ROUNDS):
         both = current.select(F.col("v").alias("u"), F.col("m").alias("v")).union(current.select(F.col("m").alias("u"), F.col("v")))
-        large = both.join(_minima(both), "u").filter("v > u").select("v", "m").distinct()
+        large = both.join(_minima(both), "u").filter("v > u").select("v", "m")
         down = large.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         small = down.join(_minima(down), "u")
         current = materialize(small.select(F.col("v"), "m").union(small.select(F.col("u").alias("v"), "m")).filter("v <> m").distinct(), "edges")

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Batches, arrow_map, claim, sliced, table
+from .common import Batches, arrow_map, claim, release, sliced, table
 
 #: Bounds of the training sample (expected rows).
 LABELLED = 4000
@@ -119,15 +119,20 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, weights: np.ndarray | None = None, l2: float = 1e-3, steps: int = 250) -> np.ndarray:
-    """Weights of a regularised logistic regression, by Nesterov's accelerated gradient."""
-    w = np.zeros(x.shape[1], np.float32)
+def logistic(x: np.ndarray | list[np.ndarray], y: np.ndarray, weights: np.ndarray | None = None, l2: float = 1e-3, steps: int = 250) -> np.ndarray:
+    """Weights of a regularised logistic regression, by Nesterov's accelerated gradient; x may be in several blocks of rows."""
+    blocks = x if isinstance(x, list) else [x]
+    w = np.zeros(blocks[0].shape[1], np.float32)
     ahead, last = w.copy(), w
     weights = np.ones(len(y), np.float32) if weights is None else weights.astype(np.float32)
     weights = weights / weights.sum()
-    rate = 1 / (0.25 * float(weights @ (x * x).sum(axis=1)) + l2)  # of the curvature's upper bound
+    rate = 1 / (0.25 * float(weights @ np.concatenate([np.einsum("ij,ij->i", b, b) for b in blocks])) + l2)  # of the curvature's upper bound
     for i in range(steps):
-        grad = x.T @ (weights * (_sigmoid(x @ ahead) - y)) + l2 * ahead
+        error = weights * (_sigmoid(np.concatenate([b @ ahead for b in blocks])) - y)
+        grad, at = l2 * ahead, 0
+        for b in blocks:
+            grad = grad + b.T @ error[at : at + len(b)]
+            at += len(b)
         w = ahead - rate * grad
         ahead, last = w + i / (i + 3) * (w - last), w
     return last
@@ -168,7 +173,7 @@ def co_train(text: np.ndarray, meta: np.ndarray, labels: np.ndarray, folds: np.n
 
     def fitted(view: int) -> np.ndarray:
         own = learnt[view]
-        x = np.concatenate([views[view], pools[view][list(own)]]) if own else views[view]
+        x = [views[view], pools[view][list(own)]] if own else [views[view]]
         target = np.concatenate([y, np.array(list(own.values()), np.float32)])
         trust = np.concatenate([np.ones(len(y)), np.full(len(own), 0.3)])
         share = np.clip(target @ trust / trust.sum(), 0.05, 0.95)
@@ -232,7 +237,10 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int
         return _dense([(np.frombuffer(r[f"{name}_at"], np.int32), np.frombuffer(r[f"{name}_value"], np.float32)) for r in found], dim)
 
     folds = np.array([zlib.crc32(f"{r['doc_id']}/fold".encode()) % 3 for r in taught])
-    return co_train(view(taught, "text", TEXT_DIM), view(taught, "meta", META_DIM), np.array([int(r["label"] > 0) for r in taught]), folds, view(free, "text", TEXT_DIM), view(free, "meta", META_DIM))
+    model = co_train(view(taught, "text", TEXT_DIM), view(taught, "meta", META_DIM), np.array([int(r["label"] > 0) for r in taught]), folds, view(free, "text", TEXT_DIM), view(free, "meta", META_DIM))
+    del taught, free
+    release()  # the driver's memory is as scarce as a task's
+    return model
 
 
 @lru_cache(maxsize=2)

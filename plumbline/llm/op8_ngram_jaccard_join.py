@@ -11,8 +11,12 @@
    all in one component are done. From the others, all pairs across components are compared exactly. A pair within a
    component needs no comparison: it cannot change the result. So a list of m near copies costs m comparisons.
 5. A pair is compared only if the number of first shingles that it has in common leaves room for a link. In a long
-   list, it meets only if what follows the shared shingle in both sets does: a pair that links passes at the first
-   shingle that it shares, so none is lost, and documents that merely share a passage are not paired.
+   list, it meets only members of a like size (an equi-join), and only if what follows the shared shingle in both sets
+   leaves room: a pair that links passes at the first shingle that it shares, so none is lost, and documents that merely
+   share a passage are not paired.
+
+No key fills a task: classes of very many copies are few and are broadcast; a list that is expected to have more than
+PART entries is dealt out in parts, each with a member that the others are compared with, and these members meet.
 
 Cases: null or blank texts have the empty set and link with nothing; texts under five words are one shingle; rows with
 a null doc_id have no component; rows that share a doc_id share its component (any of their texts may link it);
@@ -28,9 +32,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 from pyspark.sql.window import Window
 
-from .common import arrow_map, claim, materialize, sliced, table
+from .common import arrow_map, claim, materialize, release, sliced, table
 from .components import connected_components
 
 WORDS = 5
@@ -44,6 +49,10 @@ FREQUENT = 1_000_000
 BROADCAST_IDS = 2_000_000
 MAX_BOUNDARY = 32
 HUB_ROUNDS = 3
+#: Entries of a list that are handled in one task; longer lists are dealt out in parts.
+PART = 1024
+#: A class with more copies than this and a millionth of all rows counts as large; so there are at most a million.
+LARGE_CLASS, LARGE_SHARE = 256, 1_000_000
 #: Lists with more members are met by place: all pairs of a shorter one are at most so many times its members.
 LONG_LIST = 64
 #: Comparisons that end the rounds with hubs, as a share of the list entries (and at least this many).
@@ -100,21 +109,23 @@ class Frequencies:
         return found[np.argsort(self.of(found), kind="stable")[:many]]
 
 
-def keys(found: np.ndarray, boundary: int, order: Frequencies) -> tuple[np.ndarray, np.ndarray]:
-    """The list keys of a set and their places in it: its first shingles, or hashes of pairs of them (place 0), or both near the boundary."""
+def keys(found: np.ndarray, boundary: int, order: Frequencies) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The list keys of a set, its places in them and their expected entries: its first shingles, or hashes of pairs of them (place 0), or both near the boundary."""
     n = len(found)
     out = []
     if n < 2:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int32)  # links with its equals only
+        return np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int64)  # links with its equals only
     if n <= boundary:
         first = np.sort(order.first(found, n - needed(n) + 2))
+        many = order.of(first)
         i, j = np.triu_indices(len(first), 1)
-        out.append((mixed(first[i] * _MULTIPLIER + first[j]), np.zeros(len(i), np.int32)))
+        out.append((mixed(first[i] * _MULTIPLIER + first[j]), np.zeros(len(i), np.int32), np.minimum(many[i], many[j])))
     # single shingles meet the sets above the boundary, which are too large for sets under three quarters of it
     if n > boundary or DENOMINATOR * n >= NUMERATOR * (boundary + 1):
         singles = order.first(found, n - needed(n) + 1)
-        out.append((singles, np.arange(len(singles), dtype=np.int32)))
-    return np.concatenate([k for k, _ in out]), np.concatenate([p for _, p in out])
+        out.append((singles, np.arange(len(singles), dtype=np.int32), order.of(singles)))
+    key, place, many = (np.concatenate(x) for x in zip(*out, strict=True))
+    return key, place, many * SAMPLE_RATE
 
 
 def choose_boundary(sizes: dict[int, int], scanned: dict[int, float], limit: int = MAX_BOUNDARY) -> int:
@@ -217,20 +228,96 @@ def _order(docs: DataFrame) -> tuple[Frequencies, dict[int, float]]:
     return order, {int(k): float(v) for k, v in scanned.items()}
 
 
+def _with_classes(rows: DataFrame, classes: DataFrame, total: int) -> DataFrame:
+    """rows (signature) with rep and copies of their class; a large class is not brought together."""
+    large = classes.filter(F.col("copies") > max(LARGE_CLASS, total // LARGE_SHARE))  # at most a million by this bound
+    few = rows.join(F.broadcast(large), "signature")
+    rest = rows.join(F.broadcast(large.select("signature")), "signature", "left_anti")
+    return few.unionByName(rest.join(classes.filter(F.col("copies") <= max(LARGE_CLASS, total // LARGE_SHARE)), "signature", "left"))
+
+
+_PART = "pmod(xxhash64(doc), parts)"
+
+
+def _hub_pairs(lists: DataFrame, turn: int, dealt: bool) -> DataFrame:
+    """Pairs of each member and one member of its part (another one in each turn) and, of lists in parts, of these members."""
+    order = F.col("doc") if turn == 0 else F.xxhash64("doc", F.lit(turn))
+    names = ["doc", "n", "component"]
+    part = lists.withColumn("hub", F.min(F.struct(order.alias("h"), *names)).over(Window.partitionBy("key", "part")))
+    pairs = part.select(*names, F.col("hub.doc").alias("hub"), F.col("hub.n").alias("n_hub"), F.col("hub.component").alias("c_hub"))
+    if dealt:
+        # one row for each part of the lists that have several
+        heads = part.filter("parts > 1 and doc = hub.doc").select("key", "hub")
+        firsts = heads.groupBy("key").agg(F.min("hub").alias("first"))
+        met = heads.join(firsts, "key")
+        pairs = pairs.union(met.select(*[F.col(f"hub.{c}") for c in names], "first.doc", "first.n", "first.component"))
+    return pairs.filter("doc <> hub and component <> c_hub").filter(_close(F.col("n"), F.col("n_hub")))
+
+
+def _open_lists(lists: DataFrame, dealt: bool) -> DataFrame:
+    """The lists with members of several components."""
+    part = Window.partitionBy("key", "part")
+    marked = lists.withColumn("lo", F.min("component").over(part)).withColumn("hi", F.max("component").over(part))
+    kept = marked.filter("parts = 1 and lo <> hi").select(*lists.columns)
+    if not dealt:
+        return kept
+    several = marked.filter("parts > 1")
+    parts = several.groupBy("key", "part").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    still = parts.groupBy("key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo <> hi").select("key")
+    return kept.union(several.select(*lists.columns).join(parts.join(still, "key").select("key", "part"), ["key", "part"], "left_semi").select(*lists.columns))
+
+
+def _size_class(n: Column) -> Column:
+    """Sets that link are of the same class or of neighbouring ones."""
+    return F.floor(F.ln(n.cast("double")) / F.ln(F.lit(DENOMINATOR / NUMERATOR)) + 1e-9).cast("int")
+
+
+def _exact_pairs(lists: DataFrame, dealt: bool, boundary: int) -> DataFrame:
+    """All pairs (a, b) across the components of each list that can link. Members outside a list's largest component meet all members of other components."""
+    by = lists.groupBy("key", "component").agg(F.count("*").alias("k"))
+    largest = by.groupBy("key").agg(F.max_by("component", F.struct("k", "component")).alias("most"), F.sum("k").alias("size"))
+    if dealt:
+        largest = lists.select("key", "part").distinct().join(largest, "key")
+    told = lists.join(largest, ["key", "part"] if dealt else "key").withColumn("minor", F.col("component") != F.col("most")).withColumn("long", F.col("size") > LONG_LIST)
+    told = told.select("key", "part", "parts", "doc", "n", "place", "component", "minor", "long")
+    in_long = materialize(told.filter("long").groupBy("doc").agg(F.count("*").alias("k")), "long")
+    # in long lists members of like sizes meet; a minor member goes to all parts of its list
+    own = _size_class(F.col("n"))
+    two = told.withColumn("like", F.when(F.col("long"), own).otherwise(0)).alias("two")
+    near = F.when(F.col("long"), F.array(own - 1, own, own + 1)).otherwise(F.array(F.lit(0)))
+    one = told.filter("minor").withColumn("part", F.explode(F.sequence(F.lit(0), (F.col("parts") - 1).cast("int")))).withColumn("part", F.col("part").cast("long")).withColumn("like", F.explode(near)).alias("one")
+    meet = (F.col("one.key") == F.col("two.key")) & (F.col("one.part") == F.col("two.part")) & (F.col("one.like") == F.col("two.like"))
+    meet = meet & (F.col("one.component") != F.col("two.component")) & (~F.col("two.minor") | (F.col("one.doc") < F.col("two.doc"))) & _close(F.col("one.n"), F.col("two.n"))
+    # and only where the shingle can be the first one that both have
+    rest = F.least(F.col("one.n") - F.col("one.place"), F.col("two.n") - F.col("two.place"))
+    meet = meet & (~F.col("one.long") | (rest >= _overlap(F.col("one.n"), F.col("two.n"))))
+    swap = F.col("one.doc") > F.col("two.doc")
+    pairs = one.join(two, meet).select(F.least("one.doc", "two.doc").alias("a"), F.greatest("one.doc", "two.doc").alias("b"), F.when(swap, F.col("two.n")).otherwise(F.col("one.n")).alias("n"), F.when(swap, F.col("one.n")).otherwise(F.col("two.n")).alias("m"), F.col("one.long").alias("long"))
+    # every list that both are in is still there: they have as many first shingles in common as short lists, and at most
+    # as many more as either has long ones (sizes are part of the key, as rows that share a doc_id can differ in size)
+    pairs = pairs.groupBy("a", "b", "n", "m").agg(F.count_if(~F.col("long")).alias("short"))
+    for end in ("a", "b"):
+        pairs = pairs.join(in_long.select(F.col("doc").alias(end), F.col("k").alias(f"long_{end}")), end, "left")
+    pairs = pairs.withColumn("count", F.col("short") + F.least(F.coalesce("long_a", F.lit(0)), F.coalesce("long_b", F.lit(0))))
+    return pairs.filter(_possible(F.col("n"), F.col("m"), F.col("count"), boundary)).select("a", "b").distinct()
+
+
 def similarity_classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs (doc_id, text)."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = materialize(_signatures(docs), "signatures")
-    classes = rows.filter("n > 0 and doc_id is not null").groupBy("signature").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    member = rows.filter("doc_id is not null").join(classes, "signature", "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"), "copies")
-    member = materialize(member, "members")
-    others = member.filter("n = 0 or rep <> doc_id").select("doc_id").distinct()
+    named = rows.filter("doc_id is not null")
+    classes = materialize(named.filter("n > 0").groupBy("signature").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).filter("copies > 1"), "classes")
+    member = materialize(_with_classes(named, classes, rows.count()).select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "members")
     # a doc_id whose rows differ stays in with all of its texts
-    several = materialize(member.groupBy("doc_id").agg(F.countDistinct("rep").alias("k")).filter("k > 1").select("doc_id"), "several")
-    links = [member.join(several, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))]
-    others = materialize(others.join(several, "doc_id", "left_anti"), "others")
-    single = _without(docs.filter("doc_id is not null"), others, "left_anti", others.count())
+    each = materialize(member.groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.max("n").alias("n")).filter("lo <> hi or n = 0 or hi <> doc_id"), "each")
+    links = [member.join(each.filter("lo <> hi").select("doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))]
+    others = each.filter("lo = hi").select("doc_id")
+    n_others = others.count()
+    single = _without(docs.filter("doc_id is not null"), others, "left_anti", n_others)
+    if n_others > BROADCAST_IDS:  # texts are moved once
+        single = materialize(single, "single")
 
     order, met = _order(single)
     sizes = {r["n"]: r["count"] for r in member.filter(f"rep = doc_id and n between 2 and {MAX_BOUNDARY * 2}").groupBy("n").count().collect()}
@@ -238,54 +325,35 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
     shared = spark.sparkContext.broadcast(order)  # bounded by FREQUENT
 
     def entries(i: int, found: np.ndarray) -> tuple:
-        own, place = keys(found, boundary, shared.value)
-        return own.view(np.int64), np.full(len(own), i, np.int64), np.full(len(own), len(found), np.int32), place
+        own, place, many = keys(found, boundary, shared.value)
+        return own.view(np.int64), np.full(len(own), i, np.int64), np.full(len(own), len(found), np.int32), place, np.maximum(1, -(-many // PART)).astype(np.int32)
 
-    every = Window.partitionBy("key")
-    lists = _sets(single, "key long, doc long, n int, place int", entries)
-    lists = materialize(lists.withColumn("m", F.count("*").over(every)).withColumn("hub", F.min(F.struct("doc", "n")).over(every)).filter("m > 1"), "lists")
+    lists = _sets(single, "key long, doc long, n int, place int, parts int", entries).withColumn("part", F.expr(_PART))
+    lists = lists.withColumn("m", F.count("*").over(Window.partitionBy("key", "part"))).filter("m > 1 or parts > 1").drop("m")
+    lists = materialize(lists.withColumn("component", F.col("doc")), "lists")
+    dealt = not lists.filter("parts > 1").isEmpty()
 
-    labels = None
     for turn in range(HUB_ROUNDS):
-        if turn:
-            # another member of each list: the one with the least hash in this turn
-            pick = F.min(F.struct(F.xxhash64("doc", F.lit(turn)).alias("h"), "doc", "n", "component")).over(every)
-            pairs = lists.withColumn("hub", pick).filter("component <> hub.component")
-        else:
-            pairs = lists.filter("doc <> hub.doc")
-        pairs = pairs.filter(_close(F.col("n"), F.col("hub.n"))).groupBy("doc", F.col("hub.doc").alias("hub")).agg(F.count("*").alias("count"), F.first("n").alias("n"), F.first("hub.n").alias("n_hub"))
+        pairs = _hub_pairs(lists, turn, dealt).groupBy("doc", "hub").agg(F.count("*").alias("count"), F.first("n").alias("n"), F.first("n_hub").alias("n_hub"))
         # a pair that is left out here is met again below, unless both join one component
         pairs = pairs.filter(_possible(F.col("n"), F.col("n_hub"), F.col("count"), boundary))
         best = pairs.groupBy("doc").agg(F.max_by("hub", F.struct("count", -F.col("hub"))).alias("hub"))
         links.append(_verified(best.select(F.col("doc").alias("a"), F.col("hub").alias("b")), single))
         labels = materialize(connected_components(reduce(DataFrame.union, links)), "labels")
+        links = [labels.select(F.col("node").alias("a"), F.col("component").alias("b"))]  # all that is known so far, as stars
         # what is left: lists with members of several components
-        marked = lists.select("key", "doc", "n", "place").join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", "n", "place", F.coalesce("component", "doc").alias("component"))
-        split = marked.withColumn("lo", F.min("component").over(every)).withColumn("hi", F.max("component").over(every))
-        lists = materialize(split.filter("lo <> hi").select("key", "doc", "n", "place", "component"), "lists")
+        marked = lists.drop("component").join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+        lists = materialize(_open_lists(marked.select(*lists.columns), dealt), "lists")
         by = lists.groupBy("key", "component").agg(F.count("*").alias("k"))
         left = by.groupBy("key").agg(((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("pairs"), F.sum("k").alias("k")).agg(F.sum("pairs"), F.sum("k")).first()
         if not left[0] or left[0] <= max(EXACT_LEAST, EXACT_SHARE * left[1]):
             break
-    # exactly: members outside a list's largest component meet all members of other components
-    largest = lists.groupBy("key", "component").agg(F.count("*").alias("k")).groupBy("key").agg(F.max_by("component", F.struct("k", "component")).alias("most"), F.sum("k").alias("size"))
-    told = lists.join(largest, "key").withColumn("minor", F.col("component") != F.col("most")).withColumn("long", F.col("size") > LONG_LIST)
-    in_long = materialize(told.filter("long").groupBy("doc").agg(F.count("*").alias("k")), "long")
-    one, two = told.filter("minor").alias("one"), told.alias("two")
-    meet = (F.col("one.key") == F.col("two.key")) & (F.col("one.component") != F.col("two.component")) & (~F.col("two.minor") | (F.col("one.doc") < F.col("two.doc"))) & _close(F.col("one.n"), F.col("two.n"))
-    # in long lists a pair meets only where the shingle can be the first one that both have
-    rest = F.least(F.col("one.n") - F.col("one.place"), F.col("two.n") - F.col("two.place"))
-    meet = meet & (~F.col("one.long") | (rest >= _overlap(F.col("one.n"), F.col("two.n"))))
-    pairs = one.join(two, meet).select(F.least("one.doc", "two.doc").alias("a"), F.greatest("one.doc", "two.doc").alias("b"), F.col("one.n").alias("n"), F.col("two.n").alias("m"), F.col("one.long").alias("long"))
-    # every list that both are in is still there: they have as many first shingles in common as short lists, and at most
-    # as many more as either has long ones (sizes are part of the key, as rows that share a doc_id can differ in size)
-    pairs = pairs.groupBy("a", "b", "n", "m").agg(F.count_if(~F.col("long")).alias("short"))
-    for end in ("a", "b"):
-        pairs = pairs.join(in_long.select(F.col("doc").alias(end), F.col("k").alias(f"long_{end}")), end, "left")
-    pairs = pairs.withColumn("count", F.col("short") + F.least(F.coalesce("long_a", F.lit(0)), F.coalesce("long_b", F.lit(0))))
-    links.append(_verified(pairs.filter(_possible(F.col("n"), F.col("m"), F.col("count"), boundary)).select("a", "b").distinct(), single))
-    labels = connected_components(reduce(DataFrame.union, links))
-    found = member.select("doc_id", "n", "rep", "copies").join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    if left[0]:
+        links.append(_verified(_exact_pairs(lists, dealt, boundary), single))
+        labels = connected_components(reduce(DataFrame.union, links))
+    shared.unpersist()
+    release()
+    found = member.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
     found = found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "rep")).alias("component_id"))
     blank = rows.filter("doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
     return found.union(blank)
@@ -295,13 +363,37 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity_classes(table(spark, sf_dir, "documents"))
 
 
+def _first_of_texts(docs: DataFrame) -> DataFrame:
+    """Of rows that share an id, one for each different text (as sets of shingles): the first one by all its columns."""
+    from xxhash import xxh3_128_digest
+
+    at = docs.columns.index("text")
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("sets")
+        for batch in sliced(batches):
+            own = [xxh3_128_digest(shingles(t).tobytes()) for t in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.binary())], [*batch.schema.names, mark])
+
+    mark = "_" + "_".join(docs.columns)  # no column's name
+    signed = arrow_map(docs, sign, StructType([*docs.schema.fields, StructField(mark, BinaryType())]))
+    first = Window.partitionBy("doc_id", mark).orderBy(*[F.to_json(F.struct(F.col(f"`{c}`"))) for c in docs.columns])
+    return signed.withColumn(f"{mark}_n", F.row_number().over(first)).filter(F.col(f"{mark}_n") == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the least doc_id of each group; documents without words and without an id stay."""
+    """Keep the document with the least doc_id of each group; documents without words and without an id stay.
+
+    Of rows that share the id that is kept, one for each different text stays.
+    """
     found = materialize(similarity_classes(docs), "classes")
-    gone = found.filter("component_id <> doc_id").select("doc_id").distinct()
-    kept = _without(docs, gone, "left_anti", gone.count())
-    # rows that share an id are one group, too
-    return kept if found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty() else kept.filter("doc_id is null").union(kept.filter("doc_id is not null").dropDuplicates(["doc_id"]))
+    gone = materialize(found.filter("component_id <> doc_id").select("doc_id").distinct(), "gone")
+    kept = _without(docs, gone, "left_anti", gone.count()).select(*[F.col(f"`{c}`") for c in docs.columns])
+    repeated = materialize(found.filter("doc_id is not null and doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
+    n = repeated.count()
+    if not n:
+        return kept
+    return _without(kept, repeated, "left_anti", n).select(*kept.columns).union(_first_of_texts(_without(kept, repeated, "left_semi", n).select(*kept.columns)))
 
 
 ORACLE_SQL = """

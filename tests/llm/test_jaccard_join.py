@@ -125,3 +125,27 @@ def test_stage_keeps_one_of_each_group(spark):
     rows = [(1, "a b c d e f g"), (2, "a b c d e f g"), (3, "other words that are here only"), (4, None), (5, ""), (3, "other words that are here only")]
     kept = op8.stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 4, 5]
+
+
+def test_stage_keeps_different_texts_of_one_id(spark):
+    rows = [(1, "a b c d e f", "x"), (1, "p q r s t u", "x"), (1, "P q r s t u", "y"), (2, "a b c d e f", "x"), (None, "a b c d e f", "x")]
+    kept = op8.stage(spark, spark.createDataFrame(rows, "doc_id long, text string, _signature string"), "")
+    assert kept.columns == ["doc_id", "text", "_signature"]
+    assert sorted(map(tuple, kept.collect()), key=repr) == sorted([rows[0], rows[2], rows[4]], key=repr)
+
+
+@pytest.mark.parametrize("boundary", [0, 12])
+def test_lists_in_parts_lose_no_link(spark, monkeypatch, boundary):
+    for name, value in {"PART": 2, "SAMPLE_RATE": 1, "LONG_LIST": 3, "EXACT_LEAST": 0, "EXACT_SHARE": 0.0, "HUB_ROUNDS": 2, "LARGE_CLASS": 1, "LARGE_SHARE": 10**9}.items():
+        monkeypatch.setattr(op8, name, value)
+    monkeypatch.setattr(op8, "choose_boundary", lambda *a, **k: boundary)
+    rows = corpus(5 + boundary)
+    found = result(op8.similarity_classes(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert sorted(found, key=repr) == sorted(brute(rows), key=repr)
+
+
+def test_whole_table_with_both_kinds_of_keys(spark, monkeypatch):
+    monkeypatch.setattr(op8, "choose_boundary", lambda *a, **k: 28)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    found = result(op8.similarity_classes(docs))
+    assert sorted(found, key=repr) == sorted(brute([tuple(r) for r in docs.collect()]), key=repr)
