@@ -1,15 +1,17 @@
 """Quality rules with risk-controlled thresholds, in DataFrame operations only.
 
 Base counts of every whole text give the base verdict. On top of it, RULES reject documents by ratios of these counts.
-How far a rule may go is learnt: in each stratum (language), the labelled good documents that pass the base rules are
-the holdout. For each rule its cutoffs are tested from the most lenient to the strictest: a cutoff passes if, were its
-true rate of false rejections above ALPHA, so few rejected good documents would be seen with a probability of at most
-the rule's share of DELTA (an exact binomial tail). The strictest cutoff before the first failure is selected; testing
-in this order needs no correction within a rule, and DELTA is divided among rules and strata. ALPHA is divided among
-the rules, so that with a confidence of 1 - DELTA no stratum loses more than ALPHA of its good documents.
-
-All labelled rows count, at every size. Counts of good documents for each cutoff are aggregated before they are
-shuffled. Only the selected cutoffs (strata times rules) are broadcast, if there are at most BROADCAST_STRATA strata.
+How far the rules may go is learnt: in each stratum (language), the labelled good documents that pass the base rules are
+the holdout. All rules are tightened together along one fixed sequence of steps, from the most lenient to the strictest:
+each step tightens one rule by one cutoff. A step passes if, were the true rate of good documents that the rules reject
+up to here above ALPHA, so few of them would be seen with a probability of at most DELTA divided by the number of strata
+(an exact binomial tail). The last step before the first failure is selected. Testing in a fixed order up to the first
+failure needs no further correction within a stratum, and DELTA is divided among the strata; so with a confidence of
+1 - DELTA no stratum loses more than ALPHA of its good documents to all rules together. A stratum without good
+rejections needs ln(DELTA / strata) / ln(1 - ALPHA) good documents for its first step (183 with four strata).
+
+All labelled rows count, at every size. Good documents are counted by stratum and step before they are shuffled. Only
+the selected steps (one for each stratum) are broadcast, if there are at most BROADCAST_STRATA strata.
 
 Cases: a null or blank text has no words and fails the base rules; a null language is a stratum of its own; strata
 without enough labels get no cutoff; repeated doc_ids are judged one by one, each with all its labels (a document is
@@ -37,8 +39,8 @@ LOOKED_UP = 32
 #: Rules: a ratio and its cutoffs, from lenient to strict; a document with a ratio above the cutoff is rejected.
 RULES = {
     "symbols": ("n_symbols / word_chars", [0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1, 0.075, 0.05, 0.03, 0.02, 0.01]),
-    "dup_lines": ("n_dup_lines / n_lines", [0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1, 0.05]),
-    "repeats": ("n_repeat_words / n_words", [0.45, 0.4, 0.35, 0.3, 0.25, 0.2, 0.15, 0.1, 0.075, 0.05]),
+    "dup_lines": ("n_dup_lines / n_lines", [0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3]),
+    "repeats": ("n_repeat_words / n_words", [0.45, 0.4, 0.35, 0.3, 0.25]),
     "long_words": ("word_chars / n_words", [40.0, 30.0, 25.0, 20.0, 17.5, 15.0, 14.0, 13.0, 12.0, 11.0, 10.0]),
     "bangs": ("n_bangs / n_words", [1.5, 1.0, 0.75, 0.5, 0.3, 0.2, 0.1, 0.05]),
 }
@@ -129,30 +131,36 @@ def _ratio(rule: str) -> Column:
     return F.coalesce(F.try_divide(F.col(top).cast("double"), F.col(bottom).cast("double")), F.lit(0.0))
 
 
-def cutoffs(counted: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, stratum: str = "stratum") -> DataFrame:
-    """(stratum, rule, cutoff): the strictest cutoffs whose false rejections are bounded; counted has doc_id, stratum and the counts."""
+#: The fixed sequence: each step is a rule and its next cutoff, one rule after the other, from lenient to strict.
+SEQUENCE = [(rule, cuts[level]) for level in range(max(len(cuts) for _, cuts in RULES.values())) for rule, (_, cuts) in RULES.items() if level < len(cuts)]
+
+
+def first_step(rule: str) -> Column:
+    """The first step at which a rule rejects a document; null if none does."""
+    return F.coalesce(*[F.when(_ratio(rule) > cut, F.lit(i)) for i, (r, cut) in enumerate(SEQUENCE) if r == rule])
+
+
+def selected_steps(counted: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, stratum: str = "stratum") -> DataFrame:
+    """(stratum, step): the last step whose false rejections are bounded; counted has doc_id, stratum and the counts."""
     good = labels.groupBy("doc_id").agg(F.max("quality").alias("quality")).filter("quality > 0").select("doc_id")
     held = counted.filter(~base_failed()).join(good, "doc_id", "left_semi")
-    # for each stratum and rule: in how many good documents the ratio exceeds each cutoff
-    over = [F.sum(F.when(_ratio(rule) > cut, 1).otherwise(0)).alias(f"{rule}_{i}") for rule, (_, cuts) in RULES.items() for i, cut in enumerate(cuts)]
-    sums = held.groupBy(stratum).agg(F.count("*").alias("n"), *over)
-    tests = F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(i).alias("step"), F.lit(cut).alias("cutoff"), F.col(f"{rule}_{i}").alias("k")) for rule, (_, cuts) in RULES.items() for i, cut in enumerate(cuts)])
-    rows = sums.select(stratum, "n", F.explode(tests).alias("t")).select(stratum, "n", "t.*")
-    strata = sums.agg(F.count("*").alias("strata"))
-    level = delta / (len(RULES) * F.greatest(F.col("strata"), F.lit(1)))
-    tested = rows.crossJoin(F.broadcast(strata)).withColumn("passed", binomial_tail(F.col("k"), F.col("n"), F.lit(alpha / len(RULES))) <= level)  # `strata` is one row
-    first = Window.partitionBy(stratum, "rule").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    return tested.withColumn("sound", F.min("passed").over(first)).filter("sound").groupBy(stratum, "rule").agg(F.min("cutoff").alias("cutoff"))
+    met = held.select(stratum, F.least(*[first_step(r) for r in RULES]).alias("step")).groupBy(stratum, "step").agg(F.count("*").alias("k"))
+    strata = met.groupBy(stratum).agg(F.sum("k").alias("n"))
+    steps = strata.select(stratum, "n", F.explode(F.sequence(F.lit(0), F.lit(len(SEQUENCE) - 1))).alias("step"))
+    upto = Window.partitionBy(stratum).orderBy("step").rowsBetween(Window.unboundedPreceding, 0)  # as many rows as steps
+    rows = steps.join(met, [stratum, "step"], "left").withColumn("k", F.sum(F.coalesce("k", F.lit(0))).over(upto))
+    many = strata.agg(F.count("*").alias("strata"))
+    tested = rows.crossJoin(F.broadcast(many)).withColumn("passed", binomial_tail(F.col("k"), F.col("n"), F.lit(alpha)) <= delta / F.col("strata"))  # `many` is one row
+    return tested.withColumn("sound", F.min("passed").over(upto)).filter("sound").groupBy(stratum).agg(F.max("step").alias("step"))
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The counts, base_failed, kept and the rules that reject, for every row of docs (doc_id, text, lang)."""
     counted = materialize(counts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("stratum"), "text")), "counts")
-    chosen = cutoffs(counted, labels.select("doc_id", "quality")).groupBy("stratum").pivot("rule", list(RULES)).agg(F.min("cutoff"))
-    chosen = materialize(chosen.select(F.col("stratum"), *[F.col(r).alias(f"cut_{r}") for r in RULES]), "cutoffs")
+    chosen = materialize(selected_steps(counted, labels.select("doc_id", "quality")), "steps")
     few = chosen.count() <= BROADCAST_STRATA
     rows = counted.join(F.broadcast(chosen) if few else chosen, "stratum", "left")
-    rejecting = F.filter(F.array(*[F.when(_ratio(r) > F.col(f"cut_{r}"), F.lit(r)) for r in RULES]), lambda x: x.isNotNull())
+    rejecting = F.array_compact(F.array(*[F.when(first_step(r) <= F.col("step"), F.lit(r)) for r in RULES]))
     return rows.withColumn("base_failed", base_failed()).withColumn("rejected_by", rejecting).withColumn("kept", ~F.col("base_failed") & (F.size("rejected_by") == 0))
 
 
@@ -162,10 +170,9 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
-    cells = [(rule, f"coalesce({expr.split(' / ')[0]}::DOUBLE / nullif({expr.split(' / ')[1]}, 0)::DOUBLE, 0.0)", i, cut) for rule, (expr, cuts) in RULES.items() for i, cut in enumerate(cuts)]
-    tests = ", ".join(f"('{rule}', {i}, {cut!r}::DOUBLE)" for rule, _, i, cut in cells)
-    ratio = "CASE rule " + " ".join(f"WHEN '{r}' THEN {x}" for r, x in {r: x for r, x, _, _ in cells}.items()) + " END"
-    p = ALPHA / len(RULES)
+    ratio = {rule: f"coalesce({expr.split(' / ')[0]}::DOUBLE / nullif({expr.split(' / ')[1]}, 0)::DOUBLE, 0.0)" for rule, (expr, _) in RULES.items()}
+    steps = ", ".join(f"('{rule}', {i}, {cut!r}::DOUBLE)" for i, (rule, cut) in enumerate(SEQUENCE))
+    case = "CASE rule " + " ".join(f"WHEN '{r}' THEN {x}" for r, x in ratio.items()) + " END"
     return f"""
 WITH w AS MATERIALIZED (
   SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws,
@@ -179,15 +186,17 @@ f AS MATERIALIZED (
   FROM w LEFT JOIN c USING (doc_id)),
 b AS MATERIALIZED (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f),
 good AS (SELECT DISTINCT doc_id FROM labels WHERE quality > 0),
-cuts AS (SELECT * FROM (VALUES {tests}) x(rule, step, cutoff)),
-k AS MATERIALIZED (
-  SELECT stratum, rule, step, cutoff, count(*) AS n, count(*) FILTER (WHERE {ratio} > cutoff) AS k
-  FROM b SEMI JOIN good USING (doc_id), cuts WHERE NOT base_failed GROUP BY ALL),
+seq AS (SELECT * FROM (VALUES {steps}) x(rule, step, cutoff)),
+met AS MATERIALIZED (SELECT b.doc_id, stratum, rule, min(step) AS step FROM b, seq WHERE {case} > cutoff GROUP BY ALL),
+held AS MATERIALIZED (SELECT doc_id, stratum FROM b SEMI JOIN good USING (doc_id) WHERE NOT base_failed),
+n AS MATERIALIZED (SELECT stratum, count(*) AS n FROM held GROUP BY stratum),
+firsts AS (SELECT h.doc_id, h.stratum, min(step) AS first FROM held h JOIN met USING (doc_id) GROUP BY ALL),
+k AS (SELECT n.stratum, n.n, s.step, (SELECT count(*) FROM firsts f WHERE f.stratum = n.stratum AND f.first <= s.step) AS k FROM n, seq s),
 tail AS (
-  SELECT stratum, rule, step, cutoff, k > n * {p!r} OR list_sum(list_transform(range(0, k + 1), lambda i:
-    exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({p!r}::DOUBLE) + (n - i) * ln(1 - {p!r}::DOUBLE)))) > {DELTA!r} / ({len(RULES)} * (SELECT count(DISTINCT stratum) FROM k)) AS failed FROM k),
-chosen AS (SELECT stratum, rule, min(cutoff) AS cutoff FROM (SELECT *, bool_or(failed) OVER (PARTITION BY stratum, rule ORDER BY step) AS bad FROM tail) WHERE NOT bad GROUP BY ALL),
-hits AS (SELECT doc_id, string_agg(rule, ',' ORDER BY list_position({list(RULES)!r}, rule)) AS rejected_by FROM b JOIN chosen USING (stratum) WHERE {ratio} > cutoff GROUP BY doc_id)
+  SELECT stratum, step, k > n * {ALPHA!r} OR list_sum(list_transform(range(0, k + 1), lambda i:
+    exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({ALPHA!r}::DOUBLE) + (n - i) * ln(1 - {ALPHA!r}::DOUBLE)))) > {DELTA!r} / (SELECT count(*) FROM n) AS failed FROM k),
+chosen AS (SELECT stratum, max(step) AS last FROM (SELECT *, bool_or(failed) OVER (PARTITION BY stratum ORDER BY step) AS bad FROM tail) WHERE NOT bad GROUP BY stratum),
+hits AS (SELECT doc_id, string_agg(rule, ',' ORDER BY list_position({list(RULES)!r}, rule)) AS rejected_by FROM met JOIN chosen USING (stratum) WHERE step <= last GROUP BY doc_id)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rejected_by IS NULL AS kept, coalesce(rejected_by, '') AS rejected_by
 FROM b LEFT JOIN hits USING (doc_id)
 """

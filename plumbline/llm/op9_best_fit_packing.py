@@ -2,14 +2,16 @@
 
 The plan is made from the histogram of piece lengths, which has at most `capacity` entries at any corpus size:
 
-1. lengths above a share of the capacity are large; sorted, they are cut into groups of equal cardinality and each is
+1. lengths above a share of the capacity are large (LARGE_SHARES are tried); sorted, they are cut into groups of equal cardinality and each is
    rounded up to the largest of its group, so that only a few sizes remain;
-2. configurations of these few sizes are chosen by filling a sequence as full as possible around the largest size
-   left, each used as often as the group counts allow;
+2. configurations of these few sizes are optimised: the linear program of how often each is used, solved by column
+   generation (each new configuration is the best filling by the sizes' prices, found by dynamic programming). Whole
+   multiples are taken; what is left of the groups is filled, largest size first, as full as possible;
 3. the actual lengths take the places of the rounded ones, which gives the true gaps;
 4. small lengths go, longest first, to the tightest gap that holds them.
 
-All four steps work on runs of equal sequences, so the plan is a short list of rows (length, first rank, count, first
+A plan without large lengths is best-fit decreasing; it is made too, and the plan with fewer sequences is taken, so that
+rounding never costs a sequence. All steps work on runs of equal sequences, so the plan is a short list of rows (length, first rank, count, first
 sequence, offset). Documents get a rank among those of their length from counts for each task and length, and look
 their place up in the plan: nothing but the histogram and the plan passes the driver.
 
@@ -23,6 +25,7 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -30,12 +33,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import tokens
-from .common import arrow_map, materialize, sliced, table
+from .common import arrow_map, materialize, release, sliced, table
 
 CAPACITY = 2048
 END_ID = 0
-LARGE_SHARE = 1 / 8
-GROUPS = 160
+#: Shares of the capacity above which lengths are large; each is tried and the plan with fewest sequences is taken.
+LARGE_SHARES = (0.4, 0.5)
+GROUPS = 128
+#: Configurations that column generation tries at most; it ends by itself when none improves the program.
+COLUMNS = 300
 
 
 def _best_fill(sizes: list[int], counts: list[int], room: int) -> list[int]:
@@ -57,6 +63,62 @@ def _best_fill(sizes: list[int], counts: list[int], room: int) -> list[int]:
     return picked
 
 
+class _Fillings:
+    """Finds the configuration with the largest sum of prices, by dynamic programming over its number of items."""
+
+    def __init__(self, sizes: np.ndarray, capacity: int):
+        self.sizes, self.capacity = sizes, capacity
+        room = np.arange(capacity + 1, dtype=np.int32)[:, None] - sizes.astype(np.int32)
+        self.rest, self.shut = np.maximum(room, 0), room < 0
+
+    def best(self, prices: np.ndarray) -> tuple[float, list[int]]:
+        every, best, layers = np.arange(self.capacity + 1), np.zeros(self.capacity + 1), []
+        for _ in range(self.capacity // int(self.sizes.min())):
+            # one more item: for each room the best item before the best filling of what it leaves
+            value = best[self.rest] + prices
+            value[self.shut] = 0.0
+            pick = value.argmax(axis=1)
+            more = value[every, pick]
+            gain = more > best + 1e-12
+            layers.append(np.where(gain, pick, -1))
+            best = np.where(gain, more, best)
+        chosen, room = [], self.capacity
+        for pick in reversed(layers):
+            if pick[room] >= 0:
+                chosen.append(int(pick[room]))
+                room -= int(self.sizes[pick[room]])
+        return float(best[self.capacity]), chosen
+
+
+def optimised(sizes: list[int], counts: list[int], capacity: int, columns: int = COLUMNS) -> list[tuple[dict[int, int], int]]:
+    """Configurations (items of each group) and how often each is used, within the counts: the program's whole multiples."""
+    if not sizes:
+        return []
+    size, demand, n = np.array(sizes), np.array(counts, float), len(sizes)
+    basis = np.diag((capacity // size).astype(float))  # one column for each configuration in use
+    fillings = _Fillings(size, capacity)
+    for _ in range(columns):
+        prices = np.linalg.solve(basis.T, np.ones(n))
+        value, items = fillings.best(prices)
+        if value <= 1 + 1e-9:
+            break
+        column = np.bincount(items, minlength=n).astype(float)
+        amount, change = np.linalg.solve(basis, demand), np.linalg.solve(basis, column)
+        ratio = np.where(change > 1e-9, amount / np.where(change > 1e-9, change, 1.0), np.inf)
+        basis[:, int(ratio.argmin())] = column
+    used = np.floor(np.linalg.solve(basis, demand) + 1e-9).astype(int)
+    out = []
+    left = list(counts)
+    for k in np.argsort(-used, kind="stable"):
+        config = {i: int(c) for i, c in enumerate(basis[:, k]) if c}
+        times = min([int(used[k]), *(left[i] // c for i, c in config.items())])
+        if times > 0:
+            out.append((config, times))
+            for i, c in config.items():
+                left[i] -= c * times
+    return out
+
+
 class _Plan:
     """Runs of equal sequences and the placements in them."""
 
@@ -99,8 +161,16 @@ class _Plan:
             count -= take
 
 
-def plan_packing(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, large_share: float = LARGE_SHARE) -> tuple[list[tuple[int, int, int, int, int]], int]:
-    """Placements (length, first rank, count, first sequence, offset) and the number of sequences."""
+Placement = tuple[int, int, int, int, int]
+
+
+def plan_packing(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, large_shares: tuple[float, ...] = LARGE_SHARES) -> tuple[list[Placement], int]:
+    """Placements (length, first rank, count, first sequence, offset) and the number of sequences: of the best grouped plan, or of best-fit decreasing if that has fewer."""
+    best = min((_planned(histogram, capacity, groups, share) for share in (*large_shares, 1.0)), key=lambda p: p.sequences)
+    return best.rows, best.sequences
+
+
+def _planned(histogram: dict[int, int], capacity: int, groups: int, large_share: float) -> _Plan:
     plan = _Plan(capacity)
     if full := histogram.get(capacity, 0):
         plan.place(capacity, full, plan.new(full), 0)
@@ -120,12 +190,8 @@ def plan_packing(histogram: dict[int, int], capacity: int = CAPACITY, groups: in
                 room = width
     members = [g for g in members if g]
     sizes, counts = [g[0][0] for g in members], [sum(c for _, c in g) for g in members]
-    while any(counts):
-        first = next(i for i, c in enumerate(counts) if c)
-        alive = [i for i, c in enumerate(counts) if c]
-        rest = _best_fill([sizes[i] for i in alive], [counts[i] - (i == first) for i in alive], capacity - sizes[first])
-        config = {i: k + (i == first) for i, k in zip(alive, rest, strict=True) if k + (i == first)}
-        times = min(counts[i] // k for i, k in config.items())
+
+    def use(config: dict[int, int], times: int) -> None:
         base = plan.new(times)
         # each slot takes the next members of its group; runs end where a slot's actual length changes
         slots = []
@@ -152,16 +218,23 @@ def plan_packing(histogram: dict[int, int], capacity: int = CAPACITY, groups: in
                     runs.pop(0)
             plan.leave(capacity - offset, base + done, take)
             done += take
-    for length in sorted((n for n in histogram if n <= capacity * large_share), reverse=True):
+
+    for config, times in optimised(sizes, counts, capacity):
+        use(config, times)
+    while any(counts):
+        alive = [i for i, c in enumerate(counts) if c]
+        first = alive[0]
+        rest = _best_fill([sizes[i] for i in alive], [counts[i] - (i == first) for i in alive], capacity - sizes[first])
+        config = {i: k + (i == first) for i, k in zip(alive, rest, strict=True) if k + (i == first)}
+        use(config, min(counts[i] // k for i, k in config.items()))
+    for length in sorted((n for n in histogram if n <= capacity * large_share and n < capacity), reverse=True):
         if histogram[length]:
             plan.best_fit(length, histogram[length])
-    return plan.rows, plan.sequences
+    return plan
 
 
 def _by_length(rows: list[tuple[int, int, int, int, int]]) -> dict[int, tuple]:
     """For each length the first ranks, sequences and offsets of its runs, by rank."""
-    import numpy as np
-
     found = defaultdict(list)
     for length, rank, _, sequence, offset in rows:
         found[length].append((rank, sequence, offset))
@@ -176,8 +249,6 @@ def cut(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, cap
     tokenizer = tokenizer or tokens.default_path()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
         enc, part, ranks = tokens.encoder(tokenizer), TaskContext.get().partitionId(), defaultdict(int)
         end, wide = np.uint32(end_id).tobytes(), 4 * capacity
         for batch in sliced(batches):
@@ -205,11 +276,10 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, ca
     bases = materialize(counts.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))), "ranks")
     histogram = {r["length"]: r["n"] for r in bases.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
     placed, _ = plan_packing(histogram, capacity)
+    release()
     plan = spark.sparkContext.broadcast(_by_length(placed))  # bounded: its size depends on the capacity and the groups
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
         for batch in batches:
             length, rank = np.asarray(batch.column(3), dtype=np.int64), np.asarray(batch.column(5), dtype=np.int64)
             sequence, offset = np.empty(len(length), np.int64), np.empty(len(length), np.int64)
@@ -220,7 +290,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, ca
                 sequence[own], offset[own] = sequences[i] + rank[own] - ranks[i], places[i]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(length), batch.column(4), pa.array(sequence), pa.array(offset)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    ranked = rows.join(bases.select("part", "length", "base"), ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("part_rank")).alias("rank"))
+    # merged, not broadcast: it has a row for each length in each task
+    ranked = rows.join(bases.select("part", "length", "base").hint("merge"), ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("part_rank")).alias("rank"))
     return arrow_map(ranked, look_up, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 

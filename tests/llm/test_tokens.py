@@ -91,7 +91,7 @@ def test_packing(spark, documents, encode):
 def test_packing_is_tight(spark):
     rows = op9.op9_best_fit_packing(spark, "/root/testdata/sf0.01").collect()
     used = check_packing(rows, 2048)
-    assert used <= -(-sum(r.length for r in rows) // 2048) * 1.01 + 1
+    assert used == -(-sum(r.length for r in rows) // 2048)  # the least possible
 
 
 @pytest.mark.parametrize("seed", range(4))
@@ -106,4 +106,4 @@ def test_plan_fits(seed):
         fill[sequence : sequence + count] += length
         placed[length] += count
     assert placed == histogram and fill.max() <= 2048
-    assert n <= -(-lengths.sum() // 2048) * 1.01 + 1
+    assert n <= op9._planned(histogram, 2048, 128, 1.0).sequences  # best-fit decreasing
