@@ -41,7 +41,7 @@ def affected_url(resource: Column) -> Column:
 def assemble(hits: DataFrame, catalog: DataFrame) -> DataFrame:
     """One finding for each hit whose rule is known (the newest version), with its evidence; the catalog has a bounded number of rules."""
     meta = rules.latest_versions(catalog).select("rule_id", F.col("version").alias("rule_version"), "category", "severity", "confidence", "actionability")
-    joined = hits.join(meta, "rule_id")
+    joined = hits.join(F.broadcast(meta), "rule_id")  # one row for each rule
     excerpt = F.concat_ws(" ", F.lit("observed"), F.coalesce("observed_value", F.lit("nothing")), F.lit("where"), "expected_condition", F.lit("was expected"))
     return joined.select(
         finding_id(F.col("rule_id"), F.col("affected_resource")).alias("finding_id"),
@@ -78,7 +78,7 @@ def prioritized(findings: DataFrame, reach_scope: str = "run", condition: Column
         findings, condition = findings.filter(condition), None
     # counted by an aggregate that is joined back: a rule with most of the findings must not fill one task, as a window over it would
     counts = findings.groupBy("rule").agg(F.count("*").alias("affected_pages"))
-    rows = findings.join(counts, "rule")
+    rows = findings.join(F.broadcast(counts), "rule")  # one row for each rule
     if condition is not None:
         rows = rows.filter(condition)
     rows = rows.withColumns(

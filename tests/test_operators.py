@@ -232,7 +232,7 @@ def test_term_queries_take_every_document(spark, tmp_path):
     from plumbline.plans import catalog
 
     assert {r["doc_id"] for r in catalog.QUERIES["keyword_candidates"](spark, str(tmp_path)).collect()} == {1, 2, 3}
-    terms = sorted((r["doc_id"], r["term"], r["n"]) for r in catalog.QUERIES["term_frequency_all"](spark, str(tmp_path)).collect())
+    terms = sorted((r["doc_id"], r["term"], r["n"]) for r in catalog.QUERIES["term_frequency"](spark, str(tmp_path)).collect())
     assert terms == [(1, "criminal", 1), (1, "criminal law", 1), (1, "flaw", 1), (1, "law", 1), (1, "law flaw", 1), (2, "gesetz", 1), (2, "recht", 1), (2, "recht und", 1), (2, "und", 1), (2, "und gesetz", 1), (3, "droit", 1)]
 
 
@@ -243,6 +243,6 @@ def test_impressions_of_all_findings_and_callers_of_all_targets(spark):
     ids = {r["finding_id"] for r in catalog.QUERIES["finding_ids"](spark, sf).select("finding_id").collect()}
     got = catalog.QUERIES["findings_with_impressions"](spark, sf).collect()
     assert {r["finding_id"] for r in got} == ids and any(r["impressions"] % 20 == 10 for r in got if r["impressions"] is not None)
-    callers = {r["dst"]: r["n"] for r in catalog.QUERIES["graph_callers_all"](spark, sf).collect()}
+    callers = {r["dst"]: r["n"] for r in catalog.QUERIES["graph_callers"](spark, sf).collect()}
     some = {r["dst"]: r["n"] for r in catalog.QUERIES["graph_callers"](spark, sf).collect()}
     assert some.items() <= callers.items() and any(not t.endswith("3") for t in callers)

@@ -57,7 +57,7 @@ def test_page_rules(spark):
     found = rules.evaluate(model(spark, page(body, head)))
     assert hits_of(found, "SEO-H1-MULTIPLE-001") == ["https://e.com/a"]
     assert hits_of(found, "SEO-HEADING-SKIP-001") == ["https://e.com/a"]
-    assert hits_of(found, "SEO-IMAGE-ALT-001") == ["https://e.com/a img:https://e.com/i.png"]
+    assert hits_of(found, "SEO-IMAGE-ALT-001") == ["https://e.com/a img:https://e.com/i.png", "https://e.com/a img:https://e.com/no"]
     assert hits_of(found, "SEO-STRUCTUREDDATA-INVALID-001") == ["https://e.com/a structured_data[0]"]
     assert hits_of(found, "SEO-CANONICAL-CROSSDOMAIN-001") == ["https://e.com/a"]
     og = found.filter("rule_id = 'SEO-OG-INCOMPLETE-001'").first()

@@ -53,7 +53,6 @@ def test_page_model(spark):
     assert [(x["href"], x["internal"]) for x in row["links"]] == [("https://e.com/menu", True), ("https://other.org/x", False)]
     assert [(i["src"], i["alt"], i["width"], i["height"]) for i in row["images"]] == [("https://e.com/i.png", "", None, None), ("data:x", None, None, None), ("https://e.com/j.png", None, 10, 20)]
     assert [b["parse_error"] is None for b in row["structured_data"]] == [True, False]
-    assert [(e["name"], e["type"]) for e in row["entities"]] == [("Acme", "Organization")]
     assert [(q["text"], q["answer"]) for q in row["questions"]] == [("What is it?", "It is this.")]
     assert row["open_graph"] == {"og:title": "T2", "og:url": "u"}
     assert [(h["lang"], h["href"]) for h in row["hreflang"]] == [("de", "https://e.com/de")]
