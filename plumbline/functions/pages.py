@@ -57,7 +57,7 @@ def attribute(tag: Column, name: str) -> Column:
 
 def visible_text(html: Column) -> Column:
     """What a reader sees as content: no comments, scripts, styles, navigation, footer or head."""
-    return plain(F.regexp_replace(F.regexp_replace(html, _COMMENT, " "), rf"(?is)<({'|'.join(CHROME)})\b[^>]*>.*?</\1\s*>", " "))
+    return plain(F.regexp_replace(html, rf"(?is)<({'|'.join(CHROME)})\b[^>]*>.*?</\1\s*>", " "))
 
 
 def word_count(text: Column) -> Column:
@@ -267,9 +267,10 @@ def merged_tools(declared: Column, runtime: Column) -> Column:
 
 def page_model(pages: DataFrame) -> DataFrame:
     """Page records from pages (url, html); other columns are kept, html is not."""
-    html, url, base = F.coalesce(F.col("html"), F.lit("")), F.col("url"), F.col("_base")
-    # what later fields read several times comes first, so that none computes it anew
-    rows = pages.withColumns({"_base": urls.parts(url), "_metas": metas(html), "_links": tags(html, "link"), "content": visible_text(html), "structured_data": structured_data(json_ld(html)), "headings": headings(html)})
+    whole, html, url, base = F.coalesce(F.col("html"), F.lit("")), F.col("_html"), F.col("url"), F.col("_base")
+    # comments say nothing; what later fields read several times comes first, so that none computes it anew
+    rows = pages.withColumn("_html", F.regexp_replace(whole, _COMMENT, " "))
+    rows = rows.withColumns({"_base": urls.parts(url), "_metas": metas(html), "_links": tags(html, "link"), "content": visible_text(html), "structured_data": structured_data(json_ld(html)), "headings": headings(html)})
     rows = rows.withColumn("_faq", faq_pairs(F.col("structured_data")))
     return rows.withColumns(
         {
@@ -287,10 +288,10 @@ def page_model(pages: DataFrame) -> DataFrame:
             "twitter": _prefixed(F.col("_metas"), "name", "twitter:"),
             "viewport": meta(F.col("_metas"), "viewport"),
             "word_count": word_count(F.col("content")),
-            "raw_html_hash": F.sha2(html, 256),
+            "raw_html_hash": F.sha2(whole, 256),
             "agent_tools": agent_tools(html),
         }
-    ).drop("html", "_base", "_metas", "_links", "_faq")
+    ).drop("html", "_html", "_base", "_metas", "_links", "_faq")
 
 
 def crawled_rows(crawl: DataFrame) -> DataFrame:
