@@ -7,15 +7,21 @@
    how much of its text is links. Folding is associative up to ties, so each task folds the pages it meets, then
    partial wrappers are folded by (host, salt) and last by host: a host with a third of all pages sends one small
    partial wrapper from each task.
-3. Each page is aligned with its host's wrapper. Nodes that are constant over the host become template; among the
-   varying slots, the article is the slot marked as such or else the one with most of the text that is not links, and
-   menus, notices, adverts, forms or comments in it, told by tag or class, are left out.
+3. Each page is aligned with its host's wrapper. Nodes that are constant over the host become template. Among the
+   varying slots the article is the one with most of the text that is not links; where a host has too little evidence,
+   it is the element marked as such, if there is one. Menus, notices, adverts, forms or comments that vary from page to
+   page are told by tag or class and left out.
+
+Wrappers count by lossy counting: nodes that under a share of RARE of the pages have met so far are dropped after each
+fold, at every size, so a node's count is off by at most that share of the pages.
 
 Constancy counts as evidence only where at least EVIDENCE different pages of the host agree, and not where it would
-take over half of the article (hosts of copies); pages of hosts without such evidence are read by step 3's slots alone.
+leave less than a share of LEAST_LEFT of the article (hosts of copies); pages of hosts without such evidence are read by
+step 3's slots alone.
 
 Cases: a null or empty html gives the empty text; a null url belongs to no host; text without markup is one block;
-elements nested deeper than MAX_DEPTH are flattened; repeated rows give repeated results; an empty table gives no
+elements nested deeper than MAX_DEPTH are flattened into their ancestor there, block by block, and what is beside the
+article stays apart at any depth; reading takes time in proportion to the html, however broken; repeated rows give repeated results; an empty table gives no
 rows; further columns are ignored.
 """
 
@@ -40,8 +46,10 @@ from .common import arrow_map, materialize, sliced, table
 MAX_DEPTH = 150
 #: Different pages that must agree before a node counts as template, and the least share of the host's pages.
 EVIDENCE, SUPPORT = 3, 0.6
-#: Wrappers above this many nodes lose those that under a fiftieth of the pages have.
-WRAPPER_NODES = 1500
+#: The share of the article that the template has to leave.
+LEAST_LEFT = 0.1
+#: The share of a host's pages below which a node is not counted on.
+RARE = 1 / 50
 SALTS = 16
 #: Hosts that a task folds at once; beyond it partial wrappers are handed on.
 TASK_HOSTS = 4000
@@ -65,17 +73,20 @@ BESIDE = frozenset(
 )
 BODY_CLASSES = frozenset(["article-body", "article-content", "post-content", "post-body", "entry-content", "story-body", "page-content", "main-content"])
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
-_ATTRIBUTE = re.compile(r"([\w-]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)")
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_STOP = re.compile("[>\"']")
+_ATTRIBUTE = re.compile(r"(?<![\w-])([\w-]++)\s*+=\s*+(\"[^\"]*\"|'[^']*'|[^\s>\"']+)")
+_ENDS = {t: re.compile(rf"</{t}(?![a-z0-9])", re.I | re.A) for t in RAW}
 _PIECES = re.compile(r"[^a-z]+")
 
 
 class Node:
-    __slots__ = ("kids", "label", "marks", "tag")
+    """An element; holder is the node that takes what stands in it: itself, or an ancestor where it is nested too deep."""
+
+    __slots__ = ("holder", "kids", "label", "marks", "tag")
 
     def __init__(self, tag: str, attributes: str = ""):
-        self.tag, self.label, self.marks = tag, tag, frozenset()
+        self.tag, self.label, self.marks, self.holder = tag, tag, frozenset(), self
         self.kids: list[Node | str] = []
         if attributes and not attributes.isspace():
             self.label, self.marks = _marks(tag, attributes)
@@ -92,77 +103,143 @@ def _marks(tag: str, attributes: str) -> tuple[str, frozenset[str]]:
     return label, frozenset(words | extra)
 
 
+class _Open:
+    """The open elements, with the number of each tag."""
+
+    def __init__(self, root: Node):
+        self.stack, self.counts = [root], {root.tag: 1}
+
+    def push(self, node: Node) -> None:
+        top = self.stack[-1]
+        if len(self.stack) < MAX_DEPTH:
+            top.holder.kids.append(node)
+        else:
+            # too deep: its text goes to the holder above, as blocks of its own, but for what is beside the article
+            apart = node.tag in NO_TEXT or _is_beside(node)
+            if top.holder is self.stack[MAX_DEPTH - 1] and apart:
+                top.holder.kids.append(node)
+            else:
+                node.holder = top.holder
+                self._break(node)
+        self.stack.append(node)
+        self.counts[node.tag] = self.counts.get(node.tag, 0) + 1
+
+    def _break(self, node: Node) -> None:
+        if node.tag in BLOCKS:
+            node.holder.kids.append(Node("div"))
+
+    def cut(self, at: int) -> None:
+        """Close everything from a place on."""
+        for node in self.stack[at:]:
+            self.counts[node.tag] -= 1
+            if node.holder is not node:
+                self._break(node)
+        del self.stack[at:]
+
+    def make_room(self, tag: str) -> None:
+        """Close what a start tag ends without an end tag: a paragraph before a block, an item before an item."""
+        if tag in BLOCKS and self.counts.get("p"):
+            for i in range(len(self.stack) - 1, 0, -1):
+                if self.stack[i].tag == "p":
+                    self.cut(i)
+                    break
+                if self.stack[i].tag in BLOCKS:
+                    break
+        if tag in _CLOSED_BY and any(self.counts.get(t) for t in _CLOSED_BY[tag]):
+            for i in range(len(self.stack) - 1, 0, -1):
+                if self.stack[i].tag in _CLOSED_BY[tag]:
+                    self.cut(i)
+                    if tag not in ("tr", "tbody"):
+                        break
+                elif self.stack[i].tag in _SCOPES:
+                    break
+
+    def close(self, tag: str) -> None:
+        if not self.counts.get(tag):
+            return
+        for i in range(len(self.stack) - 1, 0, -1):
+            if self.stack[i].tag == tag:
+                self.cut(i)
+                return
+            if tag not in BLOCKS and self.stack[i].tag in BLOCKS:
+                return  # an inline element's end tag closes no block
+
+
+def _tag_end(html: str, at: int, missing: dict[str, int]) -> int:
+    """The place of the > that ends a tag, quoted ones left out; -1 if there is none. missing: from where on there is no such quote."""
+    first = html.find(">", at)
+    if first < 0:
+        return -1
+    while True:
+        stop = _STOP.search(html, at)
+        if stop is None:
+            return first
+        mark, at = stop[0], stop.end()
+        if mark == ">":
+            return at - 1
+        if at >= missing.get(mark, len(html) + 1):
+            continue
+        close = html.find(mark, at)
+        if close < 0:
+            missing[mark] = at
+            return first  # an open quote: the tag ends where it looks as if it did
+        at = close + 1
+
+
 def parse(html: str) -> Node:
     """The tree below a root node; never fails, whatever the markup."""
     root = Node("html")
-    stack = [root]
-    at, end = 0, len(html)
-    lower = None
+    doors = _Open(root)
+    stack = doors.stack
+    at, end, missing = 0, len(html), {}
+
+    def say(text: str) -> None:
+        stack[-1].holder.kids.append(entities.unescape(text))
+
     while at < end:
         lt = html.find("<", at)
         if lt < 0:
-            stack[-1].kids.append(entities.unescape(html[at:]))
+            say(html[at:])
             break
         if lt > at:
-            stack[-1].kids.append(entities.unescape(html[at:lt]))
-        match = _TOKEN.match(html, lt) or _LOOSE.match(html, lt)
+            say(html[at:lt])
+        if html.startswith("<!--", lt):
+            close = html.find("-->", lt + 4)
+            at = end if close < 0 else close + 3
+            continue
+        if html.startswith(("<!", "<?"), lt):
+            close = html.find(">", lt)
+            at = end if close < 0 else close + 1
+            continue
+        match = _TAG.match(html, lt)
+        gt = _tag_end(html, match.end(), missing) if match else -1
+        if match and gt < 0:
+            say(html[lt:])  # no tag ends any more
+            break
         if match is None:
-            stack[-1].kids.append("<")
+            stack[-1].holder.kids.append("<")
             at = lt + 1
             continue
-        at = match.end()
-        if match.lastindex is None or match[2] is None:
-            continue
-        tag = match[2].lower()
+        at, tag, attributes = gt + 1, match[2].lower(), html[match.end() : gt]
         if match[1]:
-            _close(stack, tag)
+            doors.close(tag)
             continue
-        if tag == "html" or tag == "body" and any(x.tag == "body" for x in stack):
+        if tag == "html" or tag == "body" and doors.counts.get("body"):
             continue
-        _make_room(stack, tag)
-        node = Node(tag, match[3])
-        stack[-1].kids.append(node)
+        doors.make_room(tag)
+        node = Node(tag, attributes)
         if tag in RAW:
-            lower = html.lower() if lower is None or len(lower) != end else lower
-            stop = lower.find(f"</{tag}", at) if len(lower) == end else -1
-            if stop < 0:
-                at = end
-            else:
-                close = html.find(">", stop)
-                at = end if close < 0 else close + 1
-        elif tag not in VOID and not match[3].endswith("/") and len(stack) < MAX_DEPTH:
-            stack.append(node)
+            stack[-1].holder.kids.append(node)
+            stop = _ENDS[tag].search(html, at)
+            close = html.find(">", stop.start()) if stop else -1
+            at = end if close < 0 else close + 1
+        elif tag in VOID or attributes.endswith("/"):
+            stack[-1].holder.kids.append(node)
+        else:
+            doors.push(node)
     return root
 
 
-def _make_room(stack: list[Node], tag: str) -> None:
-    """Close what a start tag ends without an end tag: a paragraph before a block, an item before an item."""
-    if tag in BLOCKS:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag == "p":
-                del stack[i:]
-                break
-            if stack[i].tag in BLOCKS:
-                break
-    if tag in _CLOSED_BY:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in _CLOSED_BY[tag]:
-                del stack[i:]
-                if tag not in ("tr", "tbody"):
-                    break
-            elif stack[i].tag in _SCOPES:
-                break
-
-
-def _close(stack: list[Node], tag: str) -> None:
-    for i in range(len(stack) - 1, 0, -1):
-        if stack[i].tag == tag:
-            del stack[i:]
-            return
-        if tag not in BLOCKS and stack[i].tag in BLOCKS:
-            return  # an inline element's end tag closes no block
-
-
 class Slot:
     """A node of a wrapper: pages that have it, its text's hash (0: varies), characters in text and in links, children, and the hashes of members that all of its pages have; of a page also its DOM nodes and their hashes."""
 
@@ -331,8 +408,7 @@ class Wrapper:
 
     def fold(self, other: Wrapper) -> Wrapper:
         root = merged(self.root, other.root)
-        if _count(root) > WRAPPER_NODES:
-            _prune(root, root.pages / 50)
+        _prune(root, root.pages * RARE)
         return Wrapper(root, set(sorted(self.different | other.different)[:EVIDENCE]))
 
     def packed(self) -> bytes:
@@ -344,10 +420,6 @@ class Wrapper:
         return Wrapper(Slot.unpacked(root), set(different))
 
 
-def _count(slot: Slot) -> int:
-    return 1 + sum(map(_count, slot.kids))
-
-
 def _prune(slot: Slot, least: float) -> None:
     slot.kids = [k for k in slot.kids if k.pages >= least]
     for k in slot.kids:
@@ -394,8 +466,8 @@ class _Reader:
         self.own = slots(root)
         proven = wrapper is not None and len(wrapper.different) >= EVIDENCE
         self._align(self.own, wrapper.root if proven else None, {})
-        self.region = _marked(root) or self._slot(self.own)
-        if self.constant and 2 * self._text(self.region, True) < self._text(self.region, False):
+        self.region = self._slot(self.own) if proven else _marked(root) or self._slot(self.own)
+        if self.constant and self._text(self.region, True) < LEAST_LEFT * self._text(self.region, False):
             self.constant = set()
 
     def _align(self, own: Slot, slot: Slot | None, known: dict) -> None:

@@ -92,3 +92,45 @@ def test_long_lists_are_aligned_like_short_ones(monkeypatch):
         exact = weight()
         monkeypatch.setattr(op, "MATCH_CELLS", -1)
         assert weight() == exact
+
+
+def _planted(k: int) -> tuple[str, str]:
+    """A page of a host whose template has neither telling tags nor telling names, and its article."""
+    own = [f"Paragraph {i} of page {k} says {' '.join(f'w{(k * 31 + i * 7 + j) % 997}' for j in range(12 + (k + i) % 9))}." for i in range(4 + k % 5)]
+    legal = "".join(f"<p>The company that runs this site is at number {i} and has been so for many years, as all will agree.</p>" for i in range(6))
+    top = "<div class=q1><div class=q2>Welcome to the site where you can read a great many things of all kinds</div></div>"
+    return f"<html><body>{top}<div class=q3><div class=q4><p>Read more of what we have</p>{''.join(f'<p>{p}</p>' for p in own)}{legal}</div></div><div class=q5>All of this is what it is and nothing else at all</div></body></html>", "\n".join(own)
+
+
+def test_wrapper_decides_on_unmarked_templates():
+    pages = [_planted(k) for k in range(24)]
+    wrapper = None
+    for html, _ in pages:
+        own = op.Wrapper.of(op._bare(op.slots(op.parse(html))))
+        wrapper = own if wrapper is None else wrapper.fold(own)
+
+    def measured(with_wrapper):
+        told = [(set(op.main_text(html, wrapper if with_wrapper else None).split("\n")), set(text.split("\n"))) for html, text in pages]
+        return sum(len(a & b) for a, b in told) / sum(len(a) for a, _ in told), sum(len(a & b) for a, b in told) / sum(len(b) for _, b in told)
+
+    precision, recall = measured(True)
+    assert precision >= 0.9 and recall >= 0.9
+    assert measured(False)[0] < 0.9  # the words of tags and classes alone do not find it
+
+
+def test_deep_menus_stay_apart():
+    html = "<div>" * 1000 + "<nav><ul><li>menu</li></ul></nav><p>one</p><span>two</span> three<div>four</div>five" + "</div>" * 1000
+    assert op.main_text(html) == "one\ntwo three\nfour\nfive"
+
+
+def test_letters_that_grow_in_lower_case():
+    assert op.main_text("<title>a</title><p>Hello İstanbul one.</p><SCRIPT>x</script ><p>two</p>") == "Hello İstanbul one.\ntwo"
+
+
+def test_broken_markup_is_read_in_linear_time():
+    import time
+
+    for html in ("<a '" * 250_000, "<a '" * 250_000 + ">", "<b>" * 200_000 + "</i>" * 100_000, "<div " + "a" * 1_000_000 + ">x", "<" * 500_000):
+        began = time.time()
+        op.parse(html)
+        assert time.time() - began < 10
