@@ -109,23 +109,21 @@ class Frequencies:
         return found[np.argsort(self.of(found), kind="stable")[:many]]
 
 
-def keys(found: np.ndarray, boundary: int, order: Frequencies) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The list keys of a set, its places in them and their expected entries: its first shingles, or hashes of pairs of them (place 0), or both near the boundary."""
+def keys(found: np.ndarray, boundary: int, order: Frequencies) -> tuple[np.ndarray, np.ndarray]:
+    """The list keys of a set and its places in them: its first shingles, or hashes of pairs of them (place 0), or both near the boundary."""
     n = len(found)
     out = []
     if n < 2:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int64)  # links with its equals only
+        return np.zeros(0, np.uint64), np.zeros(0, np.int32)  # links with its equals only
     if n <= boundary:
         first = np.sort(order.first(found, n - needed(n) + 2))
-        many = order.of(first)
         i, j = np.triu_indices(len(first), 1)
-        out.append((mixed(first[i] * _MULTIPLIER + first[j]), np.zeros(len(i), np.int32), np.minimum(many[i], many[j])))
+        out.append((mixed(first[i] * _MULTIPLIER + first[j]), np.zeros(len(i), np.int32)))
     # single shingles meet the sets above the boundary, which are too large for sets under three quarters of it
     if n > boundary or DENOMINATOR * n >= NUMERATOR * (boundary + 1):
         singles = order.first(found, n - needed(n) + 1)
-        out.append((singles, np.arange(len(singles), dtype=np.int32), order.of(singles)))
-    key, place, many = (np.concatenate(x) for x in zip(*out, strict=True))
-    return key, place, many * SAMPLE_RATE
+        out.append((singles, np.arange(len(singles), dtype=np.int32)))
+    return np.concatenate([k for k, _ in out]), np.concatenate([p for _, p in out])
 
 
 def choose_boundary(sizes: dict[int, int], scanned: dict[int, float], limit: int = MAX_BOUNDARY) -> int:
@@ -217,10 +215,21 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return materialize(pairs.join(left, "a").join(right, "b").filter(_linked(F.size("x"), F.size("y"), overlap)).select("a", "b"), "links")
 
 
+def _drawn(docs: DataFrame) -> DataFrame:
+    """The documents that are counted: one in SAMPLE_RATE."""
+    return docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE_RATE)) == 0)
+
+
+def _long_keys(docs: DataFrame, boundary: int, order: Frequencies) -> Frequencies:
+    """The keys whose lists are expected to have more than PART entries, with their sampled entries; at most FREQUENT, others stay whole."""
+    rows = _sets(_drawn(docs), "key long", lambda i, found: (keys(found, boundary, order)[0].view(np.int64),))
+    found = rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") * SAMPLE_RATE > PART).orderBy(F.desc("n"), "key").limit(FREQUENT).toPandas()  # bounded by FREQUENT
+    return Frequencies(found["key"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int64))
+
+
 def _order(docs: DataFrame) -> tuple[Frequencies, dict[int, float]]:
     """Frequencies from a sample of the documents, and for small sizes the mean list entries a set would meet."""
-    drawn = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE_RATE)) == 0)
-    rows = _sets(drawn, "shingle long, n int", lambda i, s: (s.view(np.int64), np.full(len(s), min(len(s), MAX_BOUNDARY * 2), np.int32)))
+    rows = _sets(_drawn(docs), "shingle long, n int", lambda i, s: (s.view(np.int64), np.full(len(s), min(len(s), MAX_BOUNDARY * 2), np.int32)))
     counts = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("n").alias("least")).filter("n >= 2").orderBy(F.desc("n"), "shingle").limit(FREQUENT)
     found = counts.toPandas()  # bounded by FREQUENT
     order = Frequencies(found["shingle"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int64))
@@ -322,11 +331,13 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
     order, met = _order(single)
     sizes = {r["n"]: r["count"] for r in member.filter(f"rep = doc_id and n between 2 and {MAX_BOUNDARY * 2}").groupBy("n").count().collect()}
     boundary = choose_boundary(sizes, {n: met.get(n, 0.0) / max(1, SAMPLE_RATE * count) for n, count in sizes.items()})
-    shared = spark.sparkContext.broadcast(order)  # bounded by FREQUENT
+    shared = spark.sparkContext.broadcast((order, _long_keys(single, boundary, order)))  # both are bounded by FREQUENT
 
     def entries(i: int, found: np.ndarray) -> tuple:
-        own, place, many = keys(found, boundary, shared.value)
-        return own.view(np.int64), np.full(len(own), i, np.int64), np.full(len(own), len(found), np.int32), place, np.maximum(1, -(-many // PART)).astype(np.int32)
+        ordered, long = shared.value
+        own, place = keys(found, boundary, ordered)
+        parts = np.maximum(1, -(-long.of(own) * SAMPLE_RATE // PART)).astype(np.int32)
+        return own.view(np.int64), np.full(len(own), i, np.int64), np.full(len(own), len(found), np.int32), place, parts
 
     lists = _sets(single, "key long, doc long, n int, place int, parts int", entries).withColumn("part", F.expr(_PART))
     lists = lists.withColumn("m", F.count("*").over(Window.partitionBy("key", "part"))).filter("m > 1 or parts > 1").drop("m")
