@@ -1,5 +1,10 @@
 """The training-data pipeline: documents that are in a known language, of good quality, unlike each other and free of
-benchmark items, packed into sequences. Each stage works on all rows that its predecessor kept."""
+benchmark items, packed into sequences. Each stage works on all rows that its predecessor kept.
+
+Cases: null and blank texts have no language and go with the first stage; rows that share a doc_id and differ in text all
+stay (with equal texts, one does), as do rows with a null doc_id; further columns, whatever their names, are handed on
+unchanged up to packing; an empty table, or one of which nothing is kept, gives no rows; without labels no row is
+rejected by the quality stage, and without languages all are by the first."""
 
 from __future__ import annotations
 
