@@ -19,18 +19,21 @@ def windowed(events: DataFrame, late: str = "1 day", length: str = "1 day") -> D
     return events.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late).groupBy(F.window("at", length).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
-def daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Replays events as a stream until all are read; each micro-batch replaces the result table."""
+def daily_counts(spark: SparkSession, sf_dir: str, late: str = "1 day") -> DataFrame:
+    """Replays events as a stream until all are read: windows that changed are handed on after each micro-batch (update mode, so
+    that the watermark drops the state of closed windows) and the last count of each window is kept."""
     out, state = scratch(spark, "daily"), scratch(spark, "daily-state")
 
-    def keep(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
+    def keep(batch: DataFrame, number: int) -> None:
+        # a batch that is run again after a failure replaces its own folder
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    query = windowed(event_stream(spark, sf_dir)).writeStream.outputMode("complete").option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(keep).start()
+    query = windowed(event_stream(spark, sf_dir), late).writeStream.outputMode("update").option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(keep).start()
     query.awaitTermination()
-    return spark.read.parquet(out).select(F.col("w.start").cast("date").cast("string").alias("day"), "event_type", "n", F.round("total", 6).alias("total"))
+    rows = spark.read.parquet(out).groupBy("w", "event_type").agg(F.max_by(F.struct("n", "total"), "batch").alias("r"))
+    return rows.select(F.col("w.start").cast("date").cast("string").alias("day"), "event_type", "r.n", F.round("r.total", 6).alias("total"))
 
 
-def progress_changes(stream: DataFrame) -> DataFrame:
-    """job_id, stage, percent of a progress stream without repeats of what was already told."""
-    return stream.dropDuplicates(["job_id", "stage", "percent"])
+def progress_changes(stream: DataFrame, late: str = "1 hour") -> DataFrame:
+    """job_id, stage, percent, at of a progress stream: a value told again within the watermark is dropped, one that returns later is told."""
+    return stream.withWatermark("at", late).dropDuplicatesWithinWatermark(["job_id", "stage", "percent"])
