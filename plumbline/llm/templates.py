@@ -2,7 +2,7 @@
 
 The language has text, `{{ expression }}`, `{% if %} {% elif %} {% else %} {% endif %}`, `{% for x in y %}
 {% endfor %}`, `{% set x = expression %}` and `{% generation %} {% endgeneration %}`, which marks what a model has to
-produce. Expressions know strings, integers, names, `a.b` (a key of a mapping), `+` and `~` (joining), `==`, `!=`,
+produce; `{%-`, `-%}`, `{{-` and `-}}` take away the white space beside them. Expressions know strings, integers, names, `a.b` (a key of a mapping), `+` and `~` (joining), `==`, `!=`,
 `in`, `not`, `and`, `or`, brackets, and the filters trim, upper and lower. There are no calls, no Python attributes
 and no indexing, so a template can reach nothing but the values it is given.
 
@@ -107,7 +107,8 @@ class Generation:
     body: tuple
 
 
-_TAGS = re.compile(r"\{\{(.*?)\}\}|\{%-?(.*?)-?%\}|\{#.*?#\}", re.S)
+#: A dash inside a tag's bracket takes the white space on that side away.
+_TAGS = re.compile(r"\{\{(-?)(.*?)(-?)\}\}|\{%(-?)(.*?)(-?)%\}|\{#.*?#\}", re.S)
 _LEX = re.compile(r"\s*(?:(?P<string>'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|(?P<int>\d+)|(?P<name>[A-Za-z][A-Za-z0-9_]*)|(?P<op>==|!=|[+~().|]))")
 _FILTERS: dict[str, Callable[[str], str]] = {"trim": str.strip, "upper": str.upper, "lower": str.lower}
 _ESCAPES = {"n": "\n", "t": "\t", "\\": "\\", "'": "'", '"': '"'}
@@ -215,15 +216,17 @@ class _Parser:
     at: int = 0
 
     def __post_init__(self) -> None:
-        last = 0
+        last, trim = 0, False
         for m in _TAGS.finditer(self.source):
-            self.items.append(("text", self.source[last : m.start()]))
-            if m[1] is not None:
-                self.items.append(("out", m[1]))
-            elif m[2] is not None:
-                self.items.append(("tag", m[2].strip()))
-            last = m.end()
-        self.items.append(("text", self.source[last:]))
+            text = self.source[last : m.start()]
+            text = text.lstrip() if trim else text
+            self.items.append(("text", text.rstrip() if m[1] or m[4] else text))
+            if m[2] is not None:
+                self.items.append(("out", m[2]))
+            elif m[5] is not None:
+                self.items.append(("tag", m[5].strip()))
+            last, trim = m.end(), bool(m[3] or m[6])
+        self.items.append(("text", self.source[last:].lstrip() if trim else self.source[last:]))
 
     def body(self, *ends: str) -> tuple[tuple, str]:
         """Statements up to one of the end tags, and that tag."""

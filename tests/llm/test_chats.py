@@ -65,3 +65,11 @@ def test_query_on_edge_rows(spark, tmp_path):
     assert got[4]["n_turns"] == 2 and got[5]["turns_sha256"] == sha("system\n[INST]\n")
     empty = op.format_chats(df.limit(0), str(tmp_path / "none"))
     assert op.digest(op.read_chats(spark, empty)).count() == 0
+
+
+def test_dashes_take_white_space_away():
+    from plumbline.llm.templates import compile_template
+
+    shown = lambda t: "".join(x for x, _ in compile_template(t, ())([{"text": "a"}, {"text": "b"}]))
+    assert shown("x \n{%- for m in messages -%}  {{ m.text }} {%- endfor -%}\n y") == "xaby"
+    assert shown("x {{- 'q' -}} y") == "xqy" and shown("x {{ 'q' }} y") == "x q y"
