@@ -16,6 +16,7 @@ NAMES = [
     "op8_ngram_jaccard_join",
     "op9_best_fit_packing",
     "op10_language_id",
+    "op11_vector_codes",
 ]
 
 
