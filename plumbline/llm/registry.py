@@ -17,6 +17,7 @@ NAMES = [
     "op9_best_fit_packing",
     "op10_language_id",
     "op11_vector_codes",
+    "op12_conversation_repair",
 ]
 
 
