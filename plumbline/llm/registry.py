@@ -18,6 +18,7 @@ NAMES = [
     "op10_language_id",
     "op11_vector_codes",
     "op12_conversation_repair",
+    "op13_substring_dedup",
 ]
 
 
