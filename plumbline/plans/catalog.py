@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import fixtures, pages, retrieval, search
+from . import fixtures, pages, retrieval, search, stores
 
-_PARTS = (pages, search, retrieval, fixtures)
+_PARTS = (pages, search, retrieval, stores, fixtures)
 QUERIES: dict = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 ORACLES: dict = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}
 FLAGSHIP = "audit_ranked_findings"

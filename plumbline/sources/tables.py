@@ -13,6 +13,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stream(spark: SparkSession, path: str, files: int = 1000) -> DataFrame:
+    """A table as a stream of its files, so many in a batch: a folder of part files, or one file (then its folder is read, by its name)."""
+    source = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isFile():
+        return source.option("pathGlobFilter", at.getName()).parquet(at.getParent().toString())
+    return source.parquet(path)
+
+
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page records of the pages table."""
     return page_functions.page_model(table(spark, sf_dir, "pages"))

@@ -39,25 +39,26 @@ def test_hosts_and_routes(spark):
     assert [_one(spark, urls.is_private_host(F.col("h")), h=h) for h in ("127.0.0.1", "10.1.2.3", "localhost", "example.com", "172.20.0.1")] == [True, True, True, False, True]
 
 
+LEAD = " ".join(["It is this and that."] * 5)
 HTML = """<html lang="en"><head><title> A  &amp; B </title><meta name="description" content="about"><meta property="og:title" content="T1"><meta property="og:title" content="T2">
 <meta property="og:url" content="u"><link rel="canonical" href="/canon"><link rel="alternate" hreflang="de" href="/de">
 <script type="application/ld+json">{"@type": "Organization", "name": "Acme"}</script><script type="application/ld+json">{bad</script></head>
-<body><nav><a href="/menu">m</a></nav><h1>One</h1><h3>What is it?</h3><p>It is this.</p><img src="/i.png" alt=""><img src="data:x"><img src="/j.png" width="10" style="height: 20px">
-<a href="https://other.org/x">o</a><script>navigator.registerTool({name: "buy", description: "Buy it"})</script><form toolname="find"></form></body></html>"""
+<body><nav><a href="/menu">m</a></nav><h1>One</h1><h3>What is it?</h3><p>{LEAD}</p><h3>Why so short?</h3><p>It is this.</p><img src="/i.png" alt=""><img src="data:x"><img src="/j.png" width="10" style="height: 20px">
+<a href="https://other.org/x">o</a><script>navigator.registerTool({name: "buy", description: "Buy it"})</script><form toolname="find"></form></body></html>""".replace("{LEAD}", LEAD)
 
 
 def test_page_model(spark):
     row = pages.page_model(spark.createDataFrame([(1, "https://e.com/a", HTML)], "page_id long, url string, html string")).first()
     assert (row["language"], row["meta_description"], row["canonical"]) == ("en", "about", "https://e.com/canon")
-    assert [(h["level"], h["text"]) for h in row["headings"]] == [(1, "One"), (3, "What is it?")]
+    assert [(h["level"], h["text"]) for h in row["headings"]] == [(1, "One"), (3, "What is it?"), (3, "Why so short?")]
     assert [(x["href"], x["internal"]) for x in row["links"]] == [("https://e.com/menu", True), ("https://other.org/x", False)]
     assert [(i["src"], i["alt"], i["width"], i["height"]) for i in row["images"]] == [("https://e.com/i.png", "", None, None), ("data:x", None, None, None), ("https://e.com/j.png", None, 10, 20)]
     assert [b["parse_error"] is None for b in row["structured_data"]] == [True, False]
-    assert [(q["text"], q["answer"]) for q in row["questions"]] == [("What is it?", "It is this.")]
+    assert [(q["text"], q["answer"]) for q in row["questions"]] == [("What is it?", LEAD), ("Why so short?", None)]
     assert row["open_graph"] == {"og:title": "T2", "og:url": "u"}
     assert [(h["lang"], h["href"]) for h in row["hreflang"]] == [("de", "https://e.com/de")]
     assert [(t["name"], t["registration"], t["description_missing"]) for t in row["agent_tools"]] == [("buy", "imperative", False), ("find", "declarative", True)]
-    assert "menu" not in row["content"] and "It is this." in row["content"]
+    assert "menu" not in row["content"] and LEAD in row["content"]
 
 
 def test_empty_and_null_pages(spark):
