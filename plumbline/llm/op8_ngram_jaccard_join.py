@@ -49,6 +49,8 @@ FREQUENT = 1_000_000
 BROADCAST_IDS = 2_000_000
 MAX_BOUNDARY = 32
 HUB_ROUNDS = 3
+#: Neighbours in long lists that a member is compared with in each round but the first.
+TRIALS = 8
 #: Entries of a list that are handled in one task; longer lists are dealt out in parts.
 PART = 1024
 #: A class with more copies than this and a millionth of all rows counts as large; so there are at most a million.
@@ -263,6 +265,22 @@ def _hub_pairs(lists: DataFrame, turn: int, dealt: bool) -> DataFrame:
     return pairs.filter("doc <> hub and component <> c_hub").filter(_close(F.col("n"), F.col("n_hub")))
 
 
+def _neighbours(lists: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) of members that stand beside each other in long lists, in an order by a hash; TRIALS of each member.
+
+    Where many near copies share their lists and no member is like most others, these join components before all pairs
+    that are left are compared.
+    """
+    own = Window.partitionBy("key", "part")
+    order = own.orderBy(F.xxhash64("doc", "key", F.lit(turn)), "doc")
+    there = [F.lead(c).over(order).alias(f"{c}_2") for c in ("doc", "n", "place", "component")]
+    near = lists.withColumn("m", F.count("*").over(own)).select("doc", "n", "place", "component", "m", *there).filter(f"m > {LONG_LIST} and component <> component_2")
+    rest = F.least(F.col("n") - F.col("place"), F.col("n_2") - F.col("place_2"))
+    near = near.filter(_close(F.col("n"), F.col("n_2"))).filter(rest >= _overlap(F.col("n"), F.col("n_2"))).groupBy("doc", "doc_2").agg(F.count("*").alias("count"))
+    nth = Window.partitionBy("doc").orderBy(F.desc("count"), F.xxhash64("doc_2", F.lit(turn)))
+    return near.withColumn("nth", F.row_number().over(nth)).filter(F.col("nth") <= TRIALS).select(F.least("doc", "doc_2").alias("a"), F.greatest("doc", "doc_2").alias("b")).distinct()
+
+
 def _open_lists(lists: DataFrame, dealt: bool) -> DataFrame:
     """The lists with members of several components."""
     part = Window.partitionBy("key", "part")
@@ -349,7 +367,8 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
         # a pair that is left out here is met again below, unless both join one component
         pairs = pairs.filter(_possible(F.col("n"), F.col("n_hub"), F.col("count"), boundary))
         best = pairs.groupBy("doc").agg(F.max_by("hub", F.struct("count", -F.col("hub"))).alias("hub"))
-        links.append(_verified(best.select(F.col("doc").alias("a"), F.col("hub").alias("b")), single))
+        tried = best.select(F.col("doc").alias("a"), F.col("hub").alias("b"))
+        links.append(_verified(tried.union(_neighbours(lists, turn)).distinct() if turn else tried, single))
         labels = materialize(connected_components(reduce(DataFrame.union, links)), "labels")
         links = [labels.select(F.col("node").alias("a"), F.col("component").alias("b"))]  # all that is known so far, as stars
         # what is left: lists with members of several components
