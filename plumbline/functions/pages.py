@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import urls
+from .agent_tools import detected
 
 SPACES = r"[ \t\n\r\f]+"
 #: Elements whose text a reader does not see as content.
@@ -234,23 +235,6 @@ def observations(html: Column) -> Column:
     return F.struct(asked.alias("question_headings"), answer_lead(html).alias("answer_lead"), authorship.alias("authorship"), dates.alias("dates"), spa_shell_reason(html).alias("spa_shell"))
 
 
-def _tool(name: Column, kind: str, said: Column, schema: Column, marked: Column) -> Column:
-    return F.struct(name.alias("name"), F.lit(kind).alias("registration"), said.alias("description"), said.isNull().alias("description_missing"), schema.alias("input_schema"), marked.alias("semantic_annotation"))
-
-
-def agent_tools(html: Column) -> Column:
-    """Tools that a page offers to agents: registered by script, or declared by a form; the first of a name and kind."""
-
-    def quoted(body: Column, key: str) -> Column:
-        return blank_to_null(F.regexp_extract(body, rf"(?is)\b{key}\s*:\s*[\"']([^\"']*)[\"']", 1))
-
-    scripted = lambda body: _tool(quoted(body, "name"), "imperative", quoted(body, "description"), body.rlike(r"(?is)\binputSchema\s*:"), body.rlike(r"(?is)\bannotations\s*:"))
-    declared = lambda tag: _tool(attribute(tag, "toolname"), "declarative", blank_to_null(F.trim(attribute(tag, "tooldescription"))), F.lit(True), F.lit(True))
-    forms = F.filter(tags(html, "form"), lambda t: attribute(t, "toolname") != "")
-    calls = F.regexp_extract_all(html, F.lit(r"(?is)registerTool\(\s*\{(.*?)\}\s*\)"), F.lit(1))
-    return first_tools(F.concat(F.transform(calls, scripted), F.transform(forms, declared)))
-
-
 def first_tools(tools: Column) -> Column:
     """The first tool of each registration and name."""
     key = lambda t: F.struct(t["registration"], t["name"])
@@ -289,7 +273,7 @@ def page_model(pages: DataFrame) -> DataFrame:
             "viewport": meta(F.col("_metas"), "viewport"),
             "word_count": word_count(F.col("content")),
             "raw_html_hash": F.sha2(whole, 256),
-            "agent_tools": agent_tools(html),
+            "agent_tools": detected(html),
         }
     ).drop("html", "_html", "_base", "_metas", "_links", "_faq")
 

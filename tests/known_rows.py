@@ -10,9 +10,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import pages as page_functions
-from ..functions import urls
-from ..operators import changes, crawl, findings, graph, index, records, retrieval, rules, search, text
+from plumbline.functions import pages as page_functions
+from plumbline.functions import urls
+from plumbline.operators import changes, crawl, findings, graph, index, records, retrieval, rules, search, text
 
 SITE = "https://site.test"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}

@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from plumbline.plans import fixtures
+import known_rows as fixtures
 
 
 @pytest.mark.parametrize("name", sorted(fixtures.QUERIES))
