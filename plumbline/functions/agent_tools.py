@@ -173,8 +173,10 @@ def scan(html: str | None) -> list[tuple]:
     page.close()
     if page.script:
         page.scripts.append("".join(page.script))
-    tools = [*(t for s in page.scripts for t in registered(s)), *page.declared()]
-    return list({(t[1], t[0]): t for t in reversed(tools)}.values())[::-1]
+    first: dict[tuple, tuple] = {}
+    for tool in (*(t for s in page.scripts for t in registered(s)), *page.declared()):
+        first.setdefault(tool[1::-1], tool)
+    return list(first.values())
 
 
 class ToolFunction:

@@ -124,6 +124,59 @@ def bfs(links: DataFrame, seeds: DataFrame, blocked: DataFrame | None = None, ma
     return found
 
 
+def ordered(rows: DataFrame, order: list[str]) -> DataFrame:
+    """rows with `place`, their number in the order of some columns, from 0; no task sees more than its share.
+
+    Rows are dealt out in ranges of the order and numbered in each; the counts of the ranges (one row for each) tell
+    how many come before.
+    """
+    # no column of rows is named so
+    dealt = materialized(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("range", F.spark_partition_id()), "ranges")
+    counts = dealt.groupBy("range").agg(F.count("*").alias("n"))
+    before = counts.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))
+    numbered = dealt.withColumn("nth", F.row_number().over(Window.partitionBy("range").orderBy(*order)) - 1)
+    return numbered.join(F.broadcast(before), "range").withColumn("place", F.col("before") + F.col("nth")).drop("range", "before", "nth")
+
+
+def bounded(links: DataFrame, seeds: DataFrame, failed: DataFrame, refused: DataFrame, max_urls: int = MAX_URLS, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """A crawl under a budget, replayed: url, depth, outcome and, for pages, their number.
+
+    links (source, target, nth: the target's number on its page) and seeds (url, nth) are queued in the order in which
+    a crawler that works through its queue meets them, each url once. A url deeper than max_depth is skipped, one in
+    refused (by robots rules) is not fetched, one in failed could not be; what is left is a page, whose links are queued.
+    Once there are max_urls pages the rest of the queue stays. Outcomes: page, failed, robots_disallow, max_depth, url_cap.
+    One level of depth at a time: its urls are numbered in their order over all tasks, so exactly the first pages enter.
+    """
+    links = materialized(links.select("source", "target", "nth").filter("source is not null and target is not null"), "links")
+    told = failed.select("url", F.lit("failed").alias("told")).union(refused.select("url", F.lit("robots_disallow").alias("told")))
+    told = materialized(told.groupBy("url").agg(F.max("told").alias("told")), "told")  # refused ones are not fetched
+    queue = seeds.filter("url is not null").groupBy("url").agg(F.min("nth").alias("by"), F.lit(0).cast("long").alias("nth"))
+    seen, pages, capped = None, 0, False
+    for depth in range(max_depth + 2):
+        level = ordered(queue.join(told, "url", "left"), ["by", "nth", "url"])
+        if depth > max_depth:
+            # all of these are beyond the depth, and none takes of the budget
+            level = level.select("url", F.lit(depth).alias("depth"), F.lit("url_cap" if capped else "max_depth").alias("outcome"), F.lit(None).cast("long").alias("page"))
+        else:
+            # a url is taken from the queue while there are fewer pages than the budget
+            fetched = ordered(level.filter("told is null").select("url", F.col("place").alias("at")), ["at"]).select("url", "place")
+            last = fetched.join(level.select("url", F.col("place").alias("at")), "url").filter(F.col("place") == max_urls - pages - 1).select("at").first()
+            end = -1 if pages >= max_urls else last["at"] if last else None
+            within = F.lit(True) if end is None else F.col("place") <= end
+            own = level.join(fetched.select("url", F.col("place").alias("page")), "url", "left").withColumn("outcome", F.when(~within, "url_cap").otherwise(F.coalesce("told", F.lit("page"))))
+            level = own.select("url", F.lit(depth).alias("depth"), "outcome", F.when(F.col("outcome") == "page", F.col("page") + pages).alias("page"))
+        level = materialized(level, "level")
+        seen = level if seen is None else seen.union(level)
+        entered = level.filter("outcome = 'page'")
+        pages += entered.count()
+        capped = capped or not level.filter("outcome = 'url_cap'").isEmpty() or pages >= max_urls
+        queue = links.join(entered.select(F.col("url").alias("source"), F.col("page").alias("by")), "source").select(F.col("target").alias("url"), "by", "nth").join(seen.select("url"), "url", "left_anti")
+        queue = materialized(queue.groupBy("url").agg(F.min(F.struct("by", "nth")).alias("first")).select("url", "first.by", F.col("first.nth").cast("long").alias("nth")), "queue")
+        if queue.isEmpty():
+            break
+    return seen
+
+
 def rendered(pages: DataFrame, renders: DataFrame) -> DataFrame:
     """Pages with a rendered extraction in place of the raw one where it changed; crawl columns stay. renders has url and rendered_* columns."""
     names = [c.removeprefix("rendered_") for c in renders.columns if c.startswith("rendered_") and c.removeprefix("rendered_") in pages.columns]

@@ -86,3 +86,15 @@ def changes_only(rows: DataFrame, key: str, order: str, value: str) -> DataFrame
     first = F.row_number().over(w) == 1
     marked = rows.withColumn("_new", first | ~F.col(value).eqNullSafe(before))
     return marked.filter("_new").drop("_new")
+
+
+#: The namespace of urls for name-based ids (RFC 9562).
+NAMESPACE_URL = "6ba7b811-9dad-11d1-80b4-00c04fd430c8"
+
+
+def point_id(key: Column, namespace: str = NAMESPACE_URL) -> Column:
+    """The name-based UUID (version 5) of a key: a row that is stored again has the same id. Null for a null key."""
+    digest = F.sha1(F.concat(F.unhex(F.lit(namespace.replace("-", ""))), F.encode(key, "UTF-8")))
+    part = lambda at, n: F.substring(digest, at, n)
+    variant = F.translate(part(17, 1), "0123456789abcdef", "89ab89ab89ab89ab")  # the two high bits are 10
+    return F.when(key.isNotNull(), F.concat(part(1, 8), F.lit("-"), part(9, 4), F.lit("-5"), part(14, 3), F.lit("-"), variant, part(18, 3), F.lit("-"), part(21, 12)))
