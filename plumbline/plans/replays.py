@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import urls
 from ..operators import block_diff, crawl, index
+from ..session import scratch
+from ..sources.store import KeyedStore
 from ..sources.tables import pages, table
 from ..streaming import ticks
 
@@ -59,11 +61,24 @@ def point_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", index.point_id(_chunk_key()).alias("id"))
 
 
-QUERIES = {q.__name__: q for q in (crawl_bounded, change_units, schedule_slots, point_ids)}
+def store_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A graph of customers and nations in a store: a third is written again with another type, new ones are added, some are deleted."""
+    edges = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("src"), F.concat(F.lit("n"), "c_nationkey").alias("dst"), F.lit("IN").alias("type"), "c_custkey")
+    own = KeyedStore(spark, scratch(spark, "graph"), ["src", "dst"], edges.drop("c_custkey").schema, buckets=16)
+    own.merge(edges.filter("c_custkey % 5 <> 4"))
+    own.merge(edges.filter("c_custkey % 3 = 0").withColumn("type", F.lit("AT")))
+    own.delete(F.col("dst") == "n7")
+    own.merge(edges.filter("c_custkey = 1").withColumn("type", F.lit("ONE")))
+    return own.read()
+
+
+QUERIES = {q.__name__: q for q in (crawl_bounded, change_units, schedule_slots, point_ids, store_merged)}
 
 ORACLES = {
     "schedule_slots": """WITH s AS (SELECT n_nationkey::BIGINT AS schedule_id, epoch_us(TIMESTAMP '2024-01-03 00:00:00' + to_hours(n_nationkey)) AS start, (3600 + n_nationkey * 1800)::BIGINT * 1000000 AS every FROM nation WHERE n_nationkey % 6 <> 5)
 SELECT schedule_id, ((epoch_us(ts) - start) // every)::BIGINT AS slot, min(epoch_us(ts)) AS micros FROM events, s WHERE epoch_us(ts) >= start GROUP BY 1, 2""",
+    "store_merged": """SELECT 'c' || c_custkey AS src, 'n' || c_nationkey AS dst, CASE WHEN c_custkey = 1 THEN 'ONE' WHEN c_custkey % 3 = 0 THEN 'AT' ELSE 'IN' END AS type
+FROM customer WHERE (c_custkey % 5 <> 4 OR c_custkey % 3 = 0) AND c_nationkey <> 7 OR c_custkey = 1""",
     "point_ids": r"""WITH k AS (SELECT page_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('7:3:' || coalesce(nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), ''), '/') || ':page::' || page_id)) AS h FROM pages)
 SELECT page_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || CASE WHEN substr(h, 17, 1) IN ('0', '4', '8', 'c') THEN '8' WHEN substr(h, 17, 1) IN ('1', '5', '9', 'd') THEN '9' WHEN substr(h, 17, 1) IN ('2', '6', 'a', 'e') THEN 'a' ELSE 'b' END || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS id FROM k""",
 }
