@@ -31,7 +31,8 @@ import html as entities
 import json
 import re
 import zlib
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -104,10 +105,12 @@ def _marks(tag: str, attributes: str) -> tuple[str, frozenset[str]]:
 
 
 class _Open:
-    """The open elements, with the number of each tag."""
+    """The open elements, with the places in the stack of each tag, of blocks and of scopes (but the root's): the nearest is found at once."""
 
     def __init__(self, root: Node):
-        self.stack, self.counts = [root], {root.tag: 1}
+        self.stack, self.places = [root], defaultdict(list)
+        self.blocks: list[int] = [0]
+        self.scopes: list[int] = [0]
 
     def push(self, node: Node) -> None:
         top = self.stack[-1]
@@ -121,8 +124,12 @@ class _Open:
             else:
                 node.holder = top.holder
                 self._break(node)
+        for at in self._lists(node.tag):
+            at.append(len(self.stack))
         self.stack.append(node)
-        self.counts[node.tag] = self.counts.get(node.tag, 0) + 1
+
+    def _lists(self, tag: str) -> list[list[int]]:
+        return [self.places[tag], *([self.blocks] if tag in BLOCKS else []), *([self.scopes] if tag in _SCOPES else [])]
 
     def _break(self, node: Node) -> None:
         if node.tag in BLOCKS:
@@ -131,38 +138,30 @@ class _Open:
     def cut(self, at: int) -> None:
         """Close everything from a place on."""
         for node in self.stack[at:]:
-            self.counts[node.tag] -= 1
+            for places in self._lists(node.tag):
+                places.pop()
             if node.holder is not node:
                 self._break(node)
         del self.stack[at:]
 
+    def _nearest(self, tags: Iterable[str]) -> int:
+        """The place of the innermost open element of these tags; 0 if there is none."""
+        return max((self.places[t][-1] for t in tags if self.places[t]), default=0)
+
     def make_room(self, tag: str) -> None:
         """Close what a start tag ends without an end tag: a paragraph before a block, an item before an item."""
-        if tag in BLOCKS and self.counts.get("p"):
-            for i in range(len(self.stack) - 1, 0, -1):
-                if self.stack[i].tag == "p":
-                    self.cut(i)
-                    break
-                if self.stack[i].tag in BLOCKS:
-                    break
-        if tag in _CLOSED_BY and any(self.counts.get(t) for t in _CLOSED_BY[tag]):
-            for i in range(len(self.stack) - 1, 0, -1):
-                if self.stack[i].tag in _CLOSED_BY[tag]:
-                    self.cut(i)
-                    if tag not in ("tr", "tbody"):
-                        break
-                elif self.stack[i].tag in _SCOPES:
+        if tag in BLOCKS and (p := self._nearest("p")) and p >= self.blocks[-1]:
+            self.cut(p)
+        if tag in _CLOSED_BY:
+            while (at := self._nearest(_CLOSED_BY[tag])) and at >= self.scopes[-1]:
+                self.cut(at)
+                if tag not in ("tr", "tbody"):
                     break
 
     def close(self, tag: str) -> None:
-        if not self.counts.get(tag):
-            return
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i].tag == tag:
-                self.cut(i)
-                return
-            if tag not in BLOCKS and self.stack[i].tag in BLOCKS:
-                return  # an inline element's end tag closes no block
+        at = self._nearest([tag])
+        if at and (tag in BLOCKS or self.blocks[-1] < at):  # an inline element's end tag closes no block
+            self.cut(at)
 
 
 def _tag_end(html: str, at: int, missing: dict[str, int]) -> int:
@@ -224,7 +223,7 @@ def parse(html: str) -> Node:
         if match[1]:
             doors.close(tag)
             continue
-        if tag == "html" or tag == "body" and doors.counts.get("body"):
+        if tag == "html" or tag == "body" and doors.places["body"]:
             continue
         doors.make_room(tag)
         node = Node(tag, attributes)

@@ -134,3 +134,14 @@ def test_broken_markup_is_read_in_linear_time():
         began = time.time()
         op.parse(html)
         assert time.time() - began < 10
+
+
+def test_broken_markup_is_read_in_proportion():
+    """End tags that close nothing, and items below a scope, cost no walk over what is open."""
+    import time
+
+    n = 120_000
+    for html in ("<b><div>" + "<i>" * n + "</b>" * n, "<ul><li><ul>" + "<i>" * n + "<li></li>" * n, "<p><div>" + "<i>" * n + "<p></p>" * n):
+        began = time.time()
+        op.parse(html)
+        assert len(html) > 900_000 and time.time() - began < 20
