@@ -10,7 +10,7 @@
 3. On a fifth of these rows, which takes no part in fitting, the largest probability is calibrated (Platt scaling with
    smoothed targets). A paragraph whose calibrated probability of being right is under one half is `unknown`.
 4. A prediction is confirmed if at least CONFIRM of the word bigrams of one of the family's notices are in the
-   paragraph. A family's notices of a run are those of its lines or those of the whole run, whichever are more; places
+   paragraph, and OWN of those that no other family's notices have ("public license, version 2.0" alone names none). A family's notices of a run are those of its lines or those of the whole run, whichever are more; places
    that overlap count once. Lines with a word of TRIGGER that are in no confirmed place count as unknown notices.
 
 Cases: null, empty and blank texts hold no notice; a text may hold notices of several families; rows that share a
@@ -32,11 +32,13 @@ FEATURES = 1 << 13
 #: Bound of the corpus sample that teaches `unknown` (expected documents).
 PROSE = 1500
 CONFIRM = 0.6
+#: The share of a notice's bigrams which no other family has that confirms it.
+OWN = 0.5
 UNKNOWN = "unknown"
 #: Words that speak of licences: without a confirmed notice they make an unknown one.
 TRIGGER = r"(?i)licen[cs]|lizenz|copyright|copyleft|spdx|warrant|permission|redistribut|commons|gnu|\bgpl|\bcc0|\bcc-by|public-domain"
 #: With further words of the notices below: of each notice less than CONFIRM of the bigrams have none.
-CUES = TRIGGER + r"|\b(?:bsd|cc|compliance|conditions|copy|distributed|domain|except|hereby|identifier|law|mozilla|noncommercial|notice|person|provided|released|sharealike|should|software|source|substantial|terms|without)\b"
+CUES = TRIGGER + r"|\b(?:apache|artistic|boost|bsd|cc|compliance|conditions|copy|development|distributed|distribution|domain|eclipse|eupl|european|except|hereby|identifier|law|mozilla|noncommercial|notice|person|provided|released|sharealike|should|software|source|substantial|terms|without|wtfpl|zlib)\b"
 #: Comment marks and list numbers before a line's text, and what ends a comment.
 MARKS = r"(?m)^[ \t]*(?:(?:/\*+|//+!?|\*+/?|#+|;+|--+|>+|%+|\|+|<!--+|[\u2022\u00b7\u2013-]+|(?:dnl|rem|REM)\b|\(?(?:[0-9]{1,2}|[a-zA-Z]|[ivx]{1,4})[.)](?=[ \t]))[ \t]*){1,4}+|(?:\*/|-->)[ \t]*$"
 
@@ -72,7 +74,23 @@ NOTICES = [
     ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
     ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("cc0", "To the extent possible under law, the author has waived all copyright under the CC0 Public Domain Dedication."),
-    ("cc0", "This is free and unencumbered software released into the public domain under the Unlicense license."),
+    ("unlicense", "This is free and unencumbered software released into the public domain under the Unlicense license."),
+    ("unlicense", "Released under the Unlicense."),
+    ("unlicense", "SPDX-License-Identifier: Unlicense"),
+    ("apache-2.0", "Released under the Apache 2 license."),
+    ("epl", "Licensed under the Eclipse Public License, version 2.0."),
+    ("epl", "Made available under the terms of the Eclipse Public License 2.0"),
+    ("epl", "SPDX-License-Identifier: EPL-2.0"),
+    ("boost", "Distributed under the Boost Software License, Version 1.0."),
+    ("boost", "SPDX-License-Identifier: BSL-1.0"),
+    ("zlib", "Released under the zlib License."),
+    ("zlib", "Provided as-is, without any express or implied warranty."),
+    ("wtfpl", "Released under the WTFPL, version 2."),
+    ("artistic", "Licensed under the Artistic License 2.0."),
+    ("artistic", "SPDX-License-Identifier: Artistic-2.0"),
+    ("cddl", "Licensed under the Common Development and Distribution License, version 1.0."),
+    ("eupl", "Licensed under the EUPL, version 1.2."),
+    ("eupl", "Licensed under the European Union Public License, version 1.2."),
 ]
 #: Paragraphs with the words of notices that are none.
 DECOYS = [
@@ -105,7 +123,8 @@ def _pairs(words: Column) -> Column:
 
 
 def bigrams(text: Column) -> Column:
-    return F.array_distinct(_pairs(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))))
+    spelled = F.regexp_replace(F.lower(text), "licence", "license")
+    return F.array_distinct(_pairs(F.regexp_extract_all(spelled, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))))
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
@@ -190,10 +209,15 @@ class Classifier:
 
 
 def confirmed(predicted: DataFrame) -> DataFrame:
-    """Adds share: the largest share of a notice of the predicted family that the paragraph holds."""
-    grams = _notices(predicted.sparkSession).select("family", bigrams(F.col("notice")).alias("g")).groupBy("family").agg(F.collect_list("g").alias("notices"))
+    """Adds share: the largest share of a notice of the predicted family that the paragraph holds, with OWN of what only this family's notices have of it."""
+    grams = _notices(predicted.sparkSession).select("family", "notice", bigrams(F.col("notice")).alias("g"))
+    owners = grams.select("family", F.explode("g").alias("x")).groupBy("x").agg(F.count_distinct("family").alias("n"), F.min("family").alias("family"))
+    own = owners.filter("n = 1").groupBy("family").agg(F.collect_set("x").alias("only"))
+    grams = grams.groupBy("family").agg(F.collect_list("g").alias("notices")).join(own, "family", "left")
     told = predicted.join(F.broadcast(grams), "family", "left").withColumn("own", bigrams(F.col("paragraph")))  # one row for each family
-    share = F.array_max(F.transform(F.col("notices"), lambda g: F.size(F.array_intersect(g, F.col("own"))) / F.size(g)))
+    named = lambda g: F.array_intersect(g, F.col("only"))
+    held = lambda g: (F.size(named(g)) > 0) & (F.size(F.array_intersect(named(g), F.col("own"))) >= OWN * F.size(named(g)))
+    share = F.array_max(F.transform(F.col("notices"), lambda g: F.when(held(g), F.size(F.array_intersect(g, F.col("own"))) / F.size(g)).otherwise(0.0)))
     return told.select(*predicted.columns, F.coalesce(share, F.lit(0.0)).alias("share"))
 
 
