@@ -210,6 +210,21 @@ _LINES = "l AS (SELECT doc_id, unnest(ls) AS value, unnest(range(1, len(ls) + 1)
 _RUNS = f"{_LINES}, r AS (SELECT doc_id, min(line)::INT AS first, max(line)::INT AS last FROM (SELECT doc_id, line, line - row_number() OVER (PARTITION BY doc_id ORDER BY line) AS g FROM l WHERE trim(value, ' ') <> '') GROUP BY doc_id, g)"
 _KEY_STOP = ", ".join(f"'{w}'" for w in text.KEYWORD_STOP_WORDS)
 
+_CONTENT_STOP = ", ".join(f"'{w}'" for w in text.CONTENT_STOP_WORDS)
+
+
+def _content(x: str) -> str:
+    """What content rules read of a text, for the shapes that the test data have."""
+    for pattern, by in ((r"(?is)<(?:script|style)\b[^>]*>.*?</(?:script|style)>", " "), ("<[^>]+>", " "), (r"\[([^\]]+)\]\([^)]+\)", r"\1"), (r"(?i)(?:https?://|www\.)[^\s\"''<>)\]]+", " "), (r"\b[A-Za-z0-9_.+-]+@[A-Za-z0-9_.-]+\.[A-Za-z]{2,}\b", " ")):
+        x = f"regexp_replace({x}, '{pattern}', '{by}', 'g')"
+    return x
+
+
+def _new(pattern: str) -> str:
+    every = lambda x: f"list_distinct(list_transform(regexp_extract_all({x}, '{pattern}'), lambda m: lower(m)))"
+    return f"list_sort(list_filter({every('y')}, lambda m: NOT list_contains({every('x')}, m)))"
+
+
 ORACLES = {
     "query_understanding": rf"""WITH t AS (SELECT item_id, trim(regexp_replace(text || ' check SEO-TITLE-MISSING-001 in app/shop/page.tsx for ProductPage', '[ \t\n\r\f]+', ' ', 'g')) AS q FROM benchmark)
 SELECT item_id, array_to_string(list_filter(list_transform(list_filter(regexp_extract_all(q, '[a-zA-Z0-9_]+'), lambda w: length(w) >= 3), lambda w: lower(w)), lambda w: w NOT IN ({_STOP})), ' ') AS tokens, array_to_string(regexp_extract_all(q, '{retrieval.RULE_ID}'), ' ') AS rule_ids,
@@ -244,5 +259,19 @@ u AS (SELECT doc_id, unnest(t) AS term FROM t UNION ALL SELECT doc_id, unnest(li
     "scope_check": "SELECT l_orderkey, CASE WHEN bool_or(l_tax > 0.07) THEN 'path_traversal' WHEN bool_or(l_returnflag = 'R') THEN 'forbidden_directory' WHEN count(*) > 5 THEN 'too_many_files' WHEN sum(l_quantity) > 120 THEN 'too_many_lines' END AS violation FROM lineitem GROUP BY 1",
     "schedule_due": "SELECT event_id FROM events WHERE minute(ts) % 15 = 0 AND hour(ts) BETWEEN 9 AND 17 AND month(ts) IN (1, 2) AND dayofweek(ts) BETWEEN 1 AND 5",
     "job_transitions": "SELECT * FROM (SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN 'queued' ELSE 'running' END AS source, CASE WHEN o_orderkey % 3 = 0 THEN 'succeeded' ELSE 'cancelled' END AS target FROM orders) WHERE source = 'queued' AND target = 'succeeded'",
+    "content_change_claims": rf"""WITH b AS (SELECT doc_id, coalesce(text, '') AS before, CASE WHEN doc_id % 17 = 0 THEN '' ELSE coalesce(text || CASE doc_id % 5 WHEN 0 THEN ' According to experts, 50% of 3 million agree.' WHEN 1 THEN ' cheap cheap cheap cheap cheap cheap' ELSE '' END, '') END AS after FROM documents),
+t AS MATERIALIZED (SELECT doc_id, {_content('before')} AS x, {_content('after')} AS y, trim(before, ' ') <> '' AND trim(after, ' ') = '' AS gone FROM b),
+u AS (SELECT doc_id, gone, {_new(text.STATISTIC)} AS stats, {_new(text.ATTRIBUTION)} AS said FROM t),
+w AS (SELECT doc_id, unnest(regexp_extract_all(lower(y), '[a-z][a-z''-]{{2,}}')) AS word, 1 AS a, 0 AS b FROM t WHERE NOT gone UNION ALL SELECT doc_id, unnest(regexp_extract_all(lower(x), '[a-z][a-z''-]{{2,}}')), 0, 1 FROM t WHERE NOT gone),
+c AS (SELECT doc_id, word, sum(a) AS a, sum(b) AS b FROM w WHERE word NOT IN ({_CONTENT_STOP}) GROUP BY 1, 2)
+SELECT doc_id, 'content_removed' AS rule, '' AS detail FROM u WHERE gone
+UNION ALL SELECT doc_id, 'unsupported_statistic', array_to_string(stats, ',') FROM u WHERE NOT gone AND len(stats) > 0
+UNION ALL SELECT doc_id, 'unsupported_attribution', array_to_string(said, ',') FROM u WHERE NOT gone AND len(said) > 0
+UNION ALL SELECT doc_id, 'keyword_stuffing', word || ' ' || a || ' ' || b FROM c WHERE a >= {text.STUFFED} AND (b = 0 OR a / b >= {text.STUFFING})""",
+    "budget_packing": """WITH RECURSIVE r AS MATERIALIZED (SELECT conv_id, turn, length(text) // 4 AS tokens, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations),
+w(conv_id, turn, tokens, k, batch, n, total) AS (SELECT conv_id, turn, tokens, k, 0, 1, coalesce(tokens, 0) FROM r WHERE k = 1
+UNION ALL SELECT r.conv_id, r.turn, r.tokens, r.k, CASE WHEN w.n >= 3 OR w.total + coalesce(r.tokens, 0) > 300 THEN w.batch + 1 ELSE w.batch END, CASE WHEN w.n >= 3 OR w.total + coalesce(r.tokens, 0) > 300 THEN 1 ELSE w.n + 1 END,
+  CASE WHEN w.n >= 3 OR w.total + coalesce(r.tokens, 0) > 300 THEN coalesce(r.tokens, 0) ELSE w.total + coalesce(r.tokens, 0) END FROM w JOIN r ON r.conv_id = w.conv_id AND r.k = w.k + 1)
+SELECT conv_id, turn, tokens::BIGINT AS tokens, batch::INT AS batch FROM w""",
     "budgeted_loop": "SELECT conv_id, turn, total_tokens::BIGINT AS total_tokens, CASE WHEN n > 6 THEN 'iterations' WHEN total_tokens > 3000 THEN 'tokens' END AS exceeded FROM (SELECT conv_id, turn, sum(length(text)) OVER w AS total_tokens, count(*) OVER w AS n FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))",
 }

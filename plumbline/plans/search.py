@@ -9,6 +9,7 @@ from ..functions import urls
 from ..operators import findings, search
 from ..sources.tables import table
 from ..streaming import events as stream
+from . import sql
 
 
 def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,6 +128,12 @@ def _period(half: str, low: str, high: str) -> str:
     return f"(SELECT length, min(day) AS {half}_start, max(day) AS {half}_end, {_RAW.replace(' AS impressions', f' AS {half}_impressions').replace(' AS clicks', f' AS {half}_clicks').replace(' AS ctr', f' AS {half}_ctr').replace(' AS position', f' AS {half}_position')} FROM n, w WHERE n.n > {low} AND n.n <= {high} GROUP BY length)"
 
 
+
+def _key(u: str) -> str:
+    """The page key of a full URL."""
+    return f"({sql.origin(u)} || regexp_replace({sql.part(u, 4)}, '/+$', ''))"
+
+
 ORACLES = {
     "search_facts": f"WITH {_FACTS} SELECT day::VARCHAR AS day, page, query, impressions, clicks, round(position, 6) AS position FROM f",
     "search_dimensions": f"WITH {_FACTS} SELECT 'date' AS dimension, day::VARCHAR AS day, NULL AS page, NULL AS query, {_TOTALS} FROM f GROUP BY day UNION ALL SELECT 'page', NULL, page, NULL, {_TOTALS} FROM f GROUP BY page UNION ALL SELECT 'query', NULL, NULL, query, {_TOTALS} FROM f GROUP BY query UNION ALL SELECT 'page_query', NULL, page, query, {_TOTALS} FROM f GROUP BY page, query",
@@ -151,5 +158,10 @@ SELECT key, CASE WHEN m.before IS NULL THEN 'unavailable' ELSE 'observed' END AS
     "experiment_confidence": f"""WITH {_FACTS}, c AS (SELECT query, sum(impressions)::BIGINT AS after FROM f WHERE day(day) > 15 GROUP BY query), b AS (SELECT query, sum(impressions)::BIGINT AS before FROM f WHERE day(day) <= 15 AND query::INT % 5 <> 0 GROUP BY query)
 SELECT query, before, after, CASE WHEN before IS NULL OR after IS NULL THEN 0.2 WHEN least(before, after) >= 10000 THEN 0.7 WHEN least(before, after) >= 1000 THEN 0.5 WHEN least(before, after) >= 100 THEN 0.35 ELSE 0.25 END::DOUBLE AS confidence FROM c LEFT JOIN b USING (query)""",
     "search_page_keys": "SELECT 'https://site.example/P' || (user_id % 50) AS page_key, count(*) FILTER (WHERE event_type = 'view') AS impressions, count(*) FILTER (WHERE event_type = 'click') AS clicks, round(coalesce(count(*) FILTER (WHERE event_type = 'click') / nullif(count(*) FILTER (WHERE event_type = 'view'), 0), 0.0), 6) AS ctr, round(coalesce(sum(value) FILTER (WHERE event_type = 'view') / nullif(count(*) FILTER (WHERE event_type = 'view'), 0), 0.0), 6) AS position FROM events GROUP BY 1",
+    "findings_with_impressions": f"""WITH {sql.FINDINGS}, fu AS (SELECT finding_id, CASE WHEN regexp_matches(string_split(affected_resource, ' ')[1], '^https?://') THEN string_split(affected_resource, ' ')[1] END AS u FROM f),
+m AS (SELECT page_id, page_id * 10 AS impressions, {_key("url")} AS page_key, {sql.path("url")} AS path FROM pages),
+mk AS (SELECT page_key, arg_min(impressions, page_id) AS by_key FROM m GROUP BY 1), ml AS (SELECT path, arg_min(impressions, page_id) AS by_path FROM m GROUP BY 1),
+j AS (SELECT finding_id, coalesce(by_key, by_path) AS impressions FROM fu LEFT JOIN mk ON mk.page_key = {_key("u")} LEFT JOIN ml ON ml.path = {sql.path("u")})
+SELECT finding_id, impressions, round(CASE WHEN impressions <= 0 THEN 0.0 ELSE least(1.0, ln(1.0 + impressions) / ln(1.0 + {float(findings.IMPRESSIONS_CAP)})) END, 9) AS reach FROM j""",
     "stream_daily_counts": "SELECT ts::DATE::VARCHAR AS day, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL",
 }
