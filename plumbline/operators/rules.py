@@ -149,7 +149,7 @@ def _types() -> Column:
 
 
 def _has_type(names: tuple[str, ...]) -> Column:
-    return F.exists("structured_data", lambda b: F.coalesce(b["type"].isin(list(names)), F.lit(False)))  # unreadable blocks have no type
+    return F.exists("structured_data", lambda b: F.coalesce(F.arrays_overlap(F.split(b["type"], r"[,\s]+"), F.array(*map(F.lit, names))), F.lit(False)))  # unreadable blocks have no type
 
 
 def heading_skips(levels: Column) -> Column:

@@ -183,8 +183,10 @@ _IMG = f"{SITE}/size img:{SITE}/b.png"
     ("SEO-STRUCTUREDDATA-MISSING-001", f"{SITE}/dense"),
     ("GEO-ENTITY-CLARITY-001", f"{SITE}/dense"),
     ("AGENT-TOOL-ANNOTATION-001", f"{SITE}/tools tool:x"),
+    ("AGENT-TOOL-ANNOTATION-001", f"{SITE}/tools tool:y"),
     ("AGENT-TOOL-DESCRIPTION-001", f"{SITE}/tools tool:x"),
     ("AGENT-TOOL-INPUT-SCHEMA-001", f"{SITE}/tools tool:x"),
+    ("AGENT-TOOL-INPUT-SCHEMA-001", f"{SITE}/tools tool:y"),
     ("AGENT-TOOLS-DISCOVERED-001", f"{SITE}/tools"),
     ("SEO-ROBOTS-UNAVAILABLE-001", SITE),
     ("GEO-AI-CRAWLER-ACCESS-001", SITE),
@@ -193,7 +195,7 @@ _IMG = f"{SITE}/size img:{SITE}/b.png"
 def rules_on_generated_site(spark: SparkSession) -> DataFrame:
     """Every mechanical rule on a site in which each page breaks one rule, and the first one none."""
     failed = spark.createDataFrame([(f"{SITE}/gone",), (f"{SITE}/cdn-cgi/gone",)], "url string")
-    from ..session import materialized
+    from plumbline.session import materialized
 
     hits = rules.evaluate(materialized(rules.judged_records(_site(spark)), "generated"), failed, _crawl(spark))
     return hits.select(F.col("rule_id").alias("item"), F.col("affected_resource").alias("value"))
