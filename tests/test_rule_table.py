@@ -101,3 +101,16 @@ def test_table_function_and_array(spark):
     assert [tuple(r)[1:] for r in rows] == TOOLS and {r["page_id"] for r in rows} == {1}
     arrays = {r["page_id"]: [tuple(t) for t in r["tools"]] for r in pages.select("page_id", agent_tools.detected(F.col("html")).alias("tools")).collect()}
     assert arrays == {1: TOOLS, 2: [], 3: []}
+
+
+def test_paths_beyond_those_in_the_plan(spark, monkeypatch):
+    rules = [rule for rule, _ in CASES] + [(f"o.deep.x{k}", "is_null", None) for k in range(3)]
+    found = sorted(map(str, judged(spark, rules).collect()))
+    monkeypatch.setattr(rule_table, "LITERAL_PATHS", 2)
+    assert sorted(map(str, judged(spark, rules).collect())) == found
+
+
+def test_a_path_is_read_once_for_all_its_rules(spark):
+    plan = lambda rules: judged(spark, rules)._jdf.queryExecution().optimizedPlan().toString()
+    read = lambda rules: sum(plan(rules).lower().count(x) for x in ("variant_get(record", "variant_get(lambda"))
+    assert read([("s", "gt", "1"), ("s", "contains", '"a"'), ("s", "not_contains", '"b"')]) == 1
