@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +35,7 @@ class _Told(StatefulProcessor):
         self.handle = handle
         self.last = handle.getValueState("last", "at long, value string")
         self.waiting = handle.getListState("waiting", "at long, number long, value string")
+        self.wake = handle.getValueState("wake", "at long, timer long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         if key[0] is None:  # only moves the watermark
@@ -43,9 +45,14 @@ class _Told(StatefulProcessor):
         # value and number may be null
         fresh = [(int(a), None if pd.isna(n) else int(n), None if pd.isna(v) else v) for part in rows for a, n, v in zip(part["micros"], part["number"], part["value"])]
         if self.event_time:
-            for row in fresh:
-                self.waiting.appendValue(row)
-            yield from self._told(key, self._now(timerValues))
+            if not fresh:
+                return
+            now, first, wake = self._now(timerValues), min(r[0] for r in fresh), self._wake()
+            self.waiting.appendList(fresh)
+            if min(first, wake[0] if wake else first) < now:
+                yield from self._told(key, now)
+            elif wake is None or first < wake[0]:  # nothing is due: what is kept is not read
+                self._wake_at(first, now)
         else:
             now = self._now(timerValues)
             yield from self._told(key, now, [(now, n, v) for _, n, v in sorted(fresh, key=_in_order)])
@@ -59,13 +66,33 @@ class _Told(StatefulProcessor):
     def _now(self, timers) -> int:
         return 1000 * (timers.getCurrentWatermarkInMs() if self.event_time else timers.getCurrentProcessingTimeInMs())
 
+    def _wake(self) -> tuple | None:
+        """When the key has something to tell next (microseconds), and the timer (milliseconds) that is set for it."""
+        found = self.wake.get()
+        return None if found is None else tuple(found)
+
+    def _wake_at(self, at: int | None, now: int) -> None:
+        """Set the key's timer anew, or delete it."""
+        before, timer = self._wake(), None if at is None else max(at, now) // 1000 + 1
+        if before and before[1] != timer:
+            self.handle.deleteTimer(before[1])
+        if at is None:
+            if before:
+                self.wake.clear()
+            return
+        if not before or before[1] != timer:
+            self.handle.registerTimer(timer)
+        if before != (at, timer):
+            self.wake.update((at, timer))
+
     def _told(self, key, now: int, rows: list[tuple] | None = None) -> Iterator[pd.DataFrame]:
         """Tell what is due before now (microseconds), keep the rest and set the key's timer."""
         later: list[tuple] = []
         if rows is None:
-            held = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
+            held = [tuple(r) for r in self.waiting.get()]
             rows, later = sorted((r for r in held if r[0] < now), key=_in_order), [r for r in held if r[0] >= now]
-        last, out = tuple(self.last.get()) if self.last.exists() else None, []
+        found, out = self.last.get(), []
+        before = last = None if found is None else tuple(found)
         for at, number, value in rows:
             out += self._beats(last, at)
             base = last and self._base(last[0], at)
@@ -78,19 +105,16 @@ class _Told(StatefulProcessor):
         out += self._beats(last, now)
         if last:
             last = (self._base(last[0], now), last[1])
-        self.last.update(last) if last else self.last.clear()
+        if last != before:
+            self.last.update(last) if last else self.last.clear()
         if self.event_time:
             self.waiting.put(later) if later else self.waiting.clear()
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
         due = [r[0] for r in later] + ([last[0] + self.beat] if last else [])
-        if due:
-            self.handle.registerTimer(max(min(due), now) // 1000 + 1)
+        self._wake_at(min(due) if due else None, now)
         if out:
-            frame = pd.DataFrame(out, columns=["at", "number", "value", "kind"]).astype({"number": "Int64"})
-            frame["at"] = pd.to_datetime(frame["at"], unit="us", utc=True)
-            frame.insert(0, self.key, key[0])
-            yield frame
+            at, number, value, kind = zip(*out, strict=True)
+            at = pd.DatetimeIndex(np.array(at, "datetime64[us]"), tz="UTC")
+            yield pd.DataFrame({self.key: [key[0]] * len(out), "at": at, "number": pd.array(number, "Int64"), "value": list(value), "kind": list(kind)})
 
     def _beats(self, last: tuple | None, until: int) -> list[tuple]:
         """The heartbeats after the last news and before a time."""

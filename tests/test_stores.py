@@ -79,6 +79,32 @@ def test_closed_keys_leave_no_state(spark, tmp_path):
         spark.conf.set(changes._STATE, before) if before else spark.conf.unset(changes._STATE)
 
 
+def test_rows_that_are_not_due_are_kept_in_one_call():
+    calls = []
+
+    class State:
+        def get(self):
+            calls.append("get")
+
+        def appendList(self, rows):
+            calls.append(("appendList", len(rows)))
+
+        def update(self, row):
+            calls.append("update")
+
+        def registerTimer(self, at):
+            calls.append(("registerTimer", at))
+
+        def getCurrentWatermarkInMs(self):
+            return 0
+
+    told = changes._Told("user_id", (), DAY, True)
+    told.handle = told.last = told.waiting = told.wake = State()
+    rows = changes.pd.DataFrame({"micros": [5_000_000, 3_000_000, 4_000_000], "number": [1, None, 3], "value": ["a", None, "b"]})
+    assert list(told.handleInputRows((7,), iter([rows]), State())) == []
+    assert ("appendList", 3) in calls and ("registerTimer", 3001) in calls and len(calls) <= 5
+
+
 def test_empty_streams(spark, tmp_path):
     spark.createDataFrame([], EVENTS).write.parquet(f"{tmp_path}/events.parquet")
     assert changes.replayed(spark, f"{tmp_path}/events.parquet", "user_id", "ts", "event_id", "event_type").collect() == []
