@@ -159,15 +159,19 @@ def content_text(html: Column) -> Column:
 
 
 def new_matches(before: Column, after: Column, pattern: str) -> Column:
-    every = lambda x: F.array_distinct(F.transform(F.regexp_extract_all(content_text(F.coalesce(x, F.lit(""))), F.lit(pattern), F.lit(0)), lambda m: F.lower(m)))
+    """What a pattern finds in the content text after a change and not before."""
+    every = lambda x: F.array_distinct(F.transform(F.regexp_extract_all(x, F.lit(pattern), F.lit(0)), lambda m: F.lower(m)))
     return F.array_sort(F.array_except(every(after), every(before)))
 
 
 def content_changes(pairs: DataFrame, key: str = "doc_id") -> DataFrame:
     """What a change of text adds without support: pairs (key, before, after) -> key, rule, detail."""
     gone = (F.trim(F.coalesce("before", F.lit(""))) != "") & (F.trim(F.coalesce("after", F.lit(""))) == "")
-    stats, said = new_matches(F.col("before"), F.col("after"), STATISTIC), new_matches(F.col("before"), F.col("after"), ATTRIBUTION)
-    found = pairs.select(
+    # what is read several times is a column of its own, so that it is worked out once
+    pairs = pairs.select(key, gone.alias("_gone"), *[content_text(F.coalesce(c, F.lit(""))).alias(f"_{c}") for c in ("before", "after")])
+    gone, stats, said = F.col("_gone"), F.col("_stats"), F.col("_said")
+    told = pairs.select(key, "_gone", new_matches(F.col("_before"), F.col("_after"), STATISTIC).alias("_stats"), new_matches(F.col("_before"), F.col("_after"), ATTRIBUTION).alias("_said"))
+    found = told.select(
         key,
         F.explode(
             F.array_compact(
@@ -179,9 +183,10 @@ def content_changes(pairs: DataFrame, key: str = "doc_id") -> DataFrame:
             )
         ).alias("v"),
     ).select(key, "v.*")
-    words = lambda c: F.filter(F.regexp_extract_all(F.lower(content_text(F.coalesce(F.col(c), F.lit("")))), F.lit("[a-z][a-z'-]{2,}"), F.lit(0)), lambda w: ~w.isin(CONTENT_STOP_WORDS))
-    both = pairs.filter(~gone).select(key, F.explode(words("after")).alias("word"), F.lit(1).alias("a"), F.lit(0).alias("b")).union(pairs.filter(~gone).select(key, F.explode(words("before")), F.lit(0), F.lit(1)))
-    counts = both.groupBy(key, "word").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z][a-z'-]{2,}"), F.lit(0))
+    sides = F.array(*[F.struct(F.lit(after).alias("a"), words(F.col(c)).alias("words")) for after, c in ((True, "_after"), (False, "_before"))])
+    both = pairs.filter(~gone).select(key, F.inline(sides)).select(key, "a", F.explode("words").alias("word")).filter(~F.col("word").isin(CONTENT_STOP_WORDS))
+    counts = both.groupBy(key, "word").agg(F.count_if("a").alias("a"), F.count_if(~F.col("a")).alias("b"))
     stuffed = counts.filter((F.col("a") >= STUFFED) & ((F.col("b") == 0) | (F.col("a") / F.col("b") >= STUFFING)))
     return found.union(stuffed.select(key, F.lit("keyword_stuffing"), F.concat_ws(" ", "word", F.col("a").cast("string"), F.col("b").cast("string"))))
 

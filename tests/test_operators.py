@@ -144,6 +144,12 @@ def test_content_changes(spark):
     assert got == {(1, "unsupported_statistic"), (1, "unsupported_attribution"), (2, "content_removed"), (3, "keyword_stuffing")}
 
 
+def test_content_text_is_worked_out_once_for_each_side(spark):
+    pairs = spark.createDataFrame([(1, "a", "b")], "doc_id long, before string, after string")
+    plan = text.content_changes(pairs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(?i)(?:https?://") == 4  # two branches of two texts
+
+
 def test_packing(spark):
     rows = spark.createDataFrame([(1, i, c) for i, c in enumerate([10, 20, 30, 5, 5])], "k long, turn int, tokens long")
     got = [r["batch"] for r in text.packed(rows, "k", "turn", "tokens", most=3, budget=40).orderBy("turn").collect()]
