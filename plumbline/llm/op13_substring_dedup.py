@@ -262,8 +262,11 @@ def repeats(docs: DataFrame) -> DataFrame | None:
         runs = materialize(_in_shards(cold.unionByName(_different(singles))), "runs")
         of_whole = singles.select("whole", F.col("at").alias("before"), "piece").join(runs, "piece").select(F.col("whole").alias("piece"), (F.col("before") + F.col("at")).alias("at"), "n", "lo")
         runs = materialize(runs.union(of_whole), "runs")
-    gone = places.select("doc_id", "own", "start", "piece").join(runs, "piece").filter("lo < doc_id")
-    return gone.groupBy("doc_id", "own").agg(F.collect_list(F.struct((F.col("start") + F.col("at")).alias("start"), "n")).alias("spans"))  # of one document
+    # a piece's runs (at most one for each of its windows) are one row, so a place meets one row however many runs there are
+    by_piece = runs.groupBy("piece").agg(F.collect_list(F.struct("at", "n", "lo")).alias("runs"))
+    own = F.transform(F.filter("runs", lambda r: r["lo"] < F.col("doc_id")), lambda r: F.struct((F.col("start") + r["at"]).alias("start"), r["n"].alias("n")))
+    gone = places.select("doc_id", "own", "start", "piece").join(by_piece, "piece").select("doc_id", "own", own.alias("spans")).filter(F.size("spans") > 0)
+    return gone.groupBy("doc_id", "own").agg(F.flatten(F.collect_list("spans")).alias("spans"))  # of one document
 
 
 _KEPT = "doc_id long, n_words long, n_removed long, kept string"

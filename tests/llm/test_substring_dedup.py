@@ -69,6 +69,23 @@ def test_equals_brute_force(spark, monkeypatch, seed, part):
     assert sum(r[2] for r in want) > 2000
 
 
+def test_a_place_meets_one_row_of_its_piece(spark, monkeypatch):
+    """The runs of a piece are brought together before its places, of which there may be very many, meet them."""
+    met = []
+    own = type(spark.range(1))
+    join = own.join
+
+    def counted(left, right, on=None, how=None):
+        if on == "piece" and "start" in left.columns:
+            met.append(right.groupBy("piece").count().filter("count > 1").count())
+        return join(left, right, on, how)
+
+    monkeypatch.setattr(own, "join", counted)
+    rows = corpus(1)
+    assert result(spark, rows) == brute(rows)
+    assert met == [0]
+
+
 def test_nothing_common_and_empty_table(spark):
     rng = random.Random(3)
     rows = [(k, " ".join(f"x{rng.random()}" for _ in range(70))) for k in range(4)]
