@@ -42,19 +42,20 @@ def _in_order(found: pd.DataFrame) -> pd.DataFrame:
 
 def _stretched(blocks: DataFrame, matches: DataFrame) -> DataFrame:
     """The blocks that are not matched, with their stretch (how many matches of their pair come before) and places in it from both ends."""
-    sides = matches.select("pair", F.lit(0).alias("side"), F.col("one").alias("place"), F.lit(1).alias("hit")).union(matches.select("pair", F.lit(1), F.col("two"), F.lit(1)))
-    told = blocks.join(sides, ["pair", "side", "place"], "left")
+    sides = matches.select("pair", F.inline(F.array(F.struct(F.lit(0).alias("side"), F.col("one").alias("place")), F.struct(F.lit(1).alias("side"), F.col("two").alias("place"))))).withColumn("hit", F.lit(1))
+    # dealt out by pair once: all windows and groupings of a round are finer and move nothing
+    told = blocks.withColumn("hit", F.lit(0)).unionByName(sides, allowMissingColumns=True).repartition("pair")
     passed = Window.partitionBy("pair", "side").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    told = told.withColumn("stretch", F.sum(F.coalesce("hit", F.lit(0))).over(passed)).filter("hit is null").drop("hit")
+    told = told.withColumn("matched", F.max("hit").over(Window.partitionBy("pair", "side", "place"))).withColumn("stretch", F.sum("hit").over(passed)).filter("matched = 0").drop("hit", "matched")
     own = Window.partitionBy(*_AT, "side")
     return told.withColumn("first", F.row_number().over(own.orderBy("place"))).withColumn("last", F.row_number().over(own.orderBy(F.desc("place"))))
 
 
 def _ends(rest: DataFrame, number: str) -> DataFrame:
     """Matches from one end of each stretch (numbered from it) up to the first difference."""
-    one = rest.filter("side = 0").select(*_AT, number, F.col("place").alias("one"), F.col("hash").alias("h1"))
-    two = rest.filter("side = 1").select(*_AT, number, F.col("place").alias("two"), F.col("hash").alias("h2"))
-    both = one.join(two, [*_AT, number]).withColumn("differs", F.sum((F.col("h1") != F.col("h2")).cast("int")).over(Window.partitionBy(*_AT).orderBy(number).rowsBetween(Window.unboundedPreceding, 0)))
+    own = lambda side, name: F.max(F.when(F.col("side") == side, F.col(name)))  # noqa: E731  a stretch has one block of a number on each side
+    met = rest.groupBy(*_AT, number).agg(own(0, "place").alias("one"), own(0, "hash").alias("h1"), own(1, "place").alias("two"), own(1, "hash").alias("h2")).filter("one is not null and two is not null")
+    both = met.withColumn("differs", F.sum((F.col("h1") != F.col("h2")).cast("int")).over(Window.partitionBy(*_AT).orderBy(number).rowsBetween(Window.unboundedPreceding, 0)))
     return both.filter("differs = 0").select("pair", "one", "two")
 
 
@@ -87,7 +88,7 @@ def units(blocks: DataFrame) -> DataFrame:
     and after (texts of the blocks, joined by a line end). A null text is an empty one.
     """
     rows = blocks.withColumn("text", F.coalesce("text", F.lit("")))
-    hashed = rows.withColumn("hash", F.sha2("text", 256))
+    hashed = rows.withColumn("hash", F.unhex(F.sha2("text", 256)))
     rest = _stretched(rows.select("pair", "side", "place", "text", F.col("first").alias("line"), F.col("last").alias("to"), "label"), aligned(hashed))
     own = lambda side: F.array_sort(F.collect_list(F.when(F.col("side") == side, F.struct("place", "text", "line", "to", "label"))))  # noqa: E731  blocks of one text
     found = rest.groupBy(*_AT).agg(own(0).alias("old"), own(1).alias("new"))

@@ -100,6 +100,14 @@ def test_alignment_equals_recursion(spark, seed):
     assert sorted((r["pair"], r["one"], r["two"]) for r in got) == sorted((pair, i, j) for pair, (one, two) in pairs.items() for i, j in patience(one, two))
 
 
+def test_a_step_deals_blocks_out_once(spark):
+    blocks = spark.createDataFrame([(1, 0, 0, "a"), (1, 1, 0, "a")], "pair int, side int, place long, hash string")
+    matches = spark.createDataFrame([(1, 5, 5)], "pair int, one long, two long")
+    for step in (lambda rest: block_diff._ends(rest, "first"), block_diff._unique):
+        plan = step(block_diff._stretched(blocks, matches))._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1
+
+
 def test_longest_run():
     rng = random.Random(1)
     for _ in range(200):
