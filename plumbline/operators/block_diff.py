@@ -1,10 +1,10 @@
-"""What changed between two versions of a text, block by block: a patience alignment in rounds of joins.
+"""What changed between two versions of a text, block by block: a patience alignment in rounds of groupings.
 
 Blocks are matched where both sides agree at the beginning or the end of a stretch, and where a text stands once on each
 side of it and these matches do not cross (of crossing ones the longest run in order stays). Matches cut the stretches
 into smaller ones, in which texts that were repeated may stand once; rounds go on until none is found. All pairs of
-versions are aligned at once, by equi-joins on (pair, stretch, hash); only the search for the run in order reads the
-matches of one stretch together, as numbers.
+versions are aligned at once: blocks are dealt out by pair and grouped by (pair, stretch, hash); only the search for the
+run in order reads the matches of one stretch together, as numbers.
 """
 
 from __future__ import annotations
