@@ -7,8 +7,8 @@
 3. Small sets enumerate the subsets of size two of their first shingles; large sets put each first shingle into an
    inverted list. Small sets near the boundary do both, to meet large ones. The boundary is where the estimated rows
    written plus list entries scanned are fewest.
-4. Members of a list are first compared with one member of it; links found join components. Lists whose members are
-   all in one component are done. From the others, all pairs across components are compared exactly. A pair within a
+4. Members of a list are first compared with one member of it, and members of a long list with its most central one;
+   links found join components. Lists whose members are all in one component are done. From the others, all pairs across components are compared exactly. A pair within a
    component needs no comparison: it cannot change the result. So a list of m near copies costs m comparisons.
 5. A pair is compared only if the number of first shingles that it has in common leaves room for a link. In a long
    list, it meets only members of a like size (an equi-join), and only if what follows the shared shingle in both sets
@@ -49,7 +49,7 @@ FREQUENT = 1_000_000
 BROADCAST_IDS = 2_000_000
 MAX_BOUNDARY = 32
 HUB_ROUNDS = 3
-#: Neighbours in long lists that a member is compared with in each round but the first.
+#: Neighbours in long lists, and central members of them, that a member is compared with in each round but the first.
 TRIALS = 8
 #: Entries of a list that are handled in one task; longer lists are dealt out in parts.
 PART = 1024
@@ -266,19 +266,34 @@ def _hub_pairs(lists: DataFrame, turn: int, dealt: bool) -> DataFrame:
 
 
 def _neighbours(lists: DataFrame, turn: int) -> DataFrame:
-    """Pairs (a, b) of members that stand beside each other in long lists, in an order by a hash; TRIALS of each member.
+    """Pairs (a, b) of members of long lists: with the next one in an order by a hash, and with the most central one; TRIALS of each kind and member.
 
     Where many near copies share their lists and no member is like most others, these join components before all pairs
-    that are left are compared.
+    that are left are compared. The most central member has the fewest first shingles that are in no long list, so it is
+    nearest to what the members are copies of: those with many edits link with it, if with few others.
     """
-    own = Window.partitionBy("key", "part")
+    own, names = Window.partitionBy("key", "part"), ["doc", "n", "place", "component"]
+    long = lists.withColumn("m", F.count("*").over(own)).filter(f"m > {LONG_LIST}").select("key", "part", *names)
+    own_rare = long.groupBy("doc").agg((F.max("place") + 1 - F.count("*")).alias("rare"))
+    long = materialize(long.join(own_rare, "doc"), "long")
     order = own.orderBy(F.xxhash64("doc", "key", F.lit(turn)), "doc")
-    there = [F.lead(c).over(order).alias(f"{c}_2") for c in ("doc", "n", "place", "component")]
-    near = lists.withColumn("m", F.count("*").over(own)).select("doc", "n", "place", "component", "m", *there).filter(f"m > {LONG_LIST} and component <> component_2")
+    after = long.select(*names, *[F.lead(c).over(order).alias(f"{c}_2") for c in names])
+    hub = F.min(F.struct("rare", F.xxhash64("doc", F.lit(turn)).alias("h"), *names)).alias("hub")
+    heads = long.groupBy("key", "part").agg(hub)
+    # the parts of a list have one hub
+    hubs = heads.select("key", "part").join(heads.groupBy("key").agg(F.min("hub").alias("hub")), "key")
+    central = long.join(hubs, ["key", "part"]).select(*names, *[F.col(f"hub.{c}").alias(f"{c}_2") for c in names])
+    found = [_tried(near, turn) for near in (after, central)]
+    return found[0].union(found[1]).distinct()
+
+
+def _tried(near: DataFrame, turn: int) -> DataFrame:
+    """Of pairs (doc, doc_2) that can link, TRIALS of each doc: those that meet most often."""
     rest = F.least(F.col("n") - F.col("place"), F.col("n_2") - F.col("place_2"))
-    near = near.filter(_close(F.col("n"), F.col("n_2"))).filter(rest >= _overlap(F.col("n"), F.col("n_2"))).groupBy("doc", "doc_2").agg(F.count("*").alias("count"))
+    near = near.filter("component <> component_2").filter(_close(F.col("n"), F.col("n_2"))).filter(rest >= _overlap(F.col("n"), F.col("n_2")))
     nth = Window.partitionBy("doc").orderBy(F.desc("count"), F.xxhash64("doc_2", F.lit(turn)))
-    return near.withColumn("nth", F.row_number().over(nth)).filter(F.col("nth") <= TRIALS).select(F.least("doc", "doc_2").alias("a"), F.greatest("doc", "doc_2").alias("b")).distinct()
+    near = near.groupBy("doc", "doc_2").agg(F.count("*").alias("count")).withColumn("nth", F.row_number().over(nth)).filter(F.col("nth") <= TRIALS)
+    return near.select(F.least("doc", "doc_2").alias("a"), F.greatest("doc", "doc_2").alias("b"))
 
 
 def _open_lists(lists: DataFrame, dealt: bool) -> DataFrame:

@@ -149,3 +149,23 @@ def test_whole_table_with_both_kinds_of_keys(spark, monkeypatch):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     found = result(op8.similarity_classes(docs))
     assert sorted(found, key=repr) == sorted(brute([tuple(r) for r in docs.collect()]), key=repr)
+
+
+@pytest.mark.parametrize("part", [1024, 128])
+def test_near_copies_of_a_text_meet_it_and_not_each_other(spark, monkeypatch, part):
+    """Copies with two edits link with the text but with few of one another; comparisons grow with their number, not its square."""
+    for name, value in {"PART": part, "SAMPLE_RATE": 1, "EXACT_LEAST": 0, "EXACT_SHARE": 0.0}.items():
+        monkeypatch.setattr(op8, name, value)
+    compared, verified = [], op8._verified
+    monkeypatch.setattr(op8, "_verified", lambda pairs, docs: compared.append(pairs.count()) or verified(pairs, docs))
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(100)]
+    rows = [(200, " ".join(base))]
+    for i in range(400):
+        own = list(base)
+        for at in rng.sample(range(10, 90, 8), 2):
+            own[at] = f"u{i}x{at}"
+        rows.append((i if i < 200 else i + 1, " ".join(own)))
+    found = result(op8.similarity_classes(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert found == brute(rows)
+    assert sum(compared) <= 20 * len(rows), compared
