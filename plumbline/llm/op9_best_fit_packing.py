@@ -253,8 +253,8 @@ def cut(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, cap
         end, wide = np.uint32(end_id).tobytes(), 4 * capacity
         for batch in sliced(batches):
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = enc.encode(text) + end
+            for doc_id, ids in zip(batch.column(0).to_pylist(), enc.encode_all(batch.column(1).to_pylist()), strict=True):
+                ids += end
                 for piece, at in enumerate(range(0, len(ids), wide)):
                     own = ids[at : at + wide]
                     length = len(own) // 4

@@ -28,6 +28,22 @@ def test_cached_encoding_is_the_tokenizers(spark, encode):
         assert np.frombuffer(found.encode(text), dtype="<u4").tolist() == encode(text, 0)[:-1]
 
 
+def test_control_characters_and_signs_keep_their_ids(encode):
+    found = tokens.WordEncoder(tokens.default_path())
+    texts = ["a \x01 b", "x\x7f\x00y", "tab\x08!", "rock'... rock'n'!! it's.'s", "été***, (a)&&& 81.117.189.12", "...", " \n", None, "a…!! b\xa0... c\u2003.", "soft\xad-"]
+    assert [np.frombuffer(x, dtype="<u4").tolist() for x in found.encode_all(texts)] == [encode(t, 0)[:-1] for t in texts]
+
+
+def test_words_of_many_texts_are_looked_up_once(encode, monkeypatch):
+    found, asked, learn = tokens.WordEncoder(tokens.default_path()), [], tokens.WordEncoder._stems
+    monkeypatch.setattr(tokens.WordEncoder, "_stems", lambda self, stems: asked.extend(stems) or learn(self, stems))
+    monkeypatch.setattr(tokens, "CACHE_PIECES", 3)
+    texts = ["Some words, some words!", "words some: Other" + " words" * 100, "x" * 70 + " some"]
+    for _ in range(2):
+        assert [np.frombuffer(x, dtype="<u4").tolist() for x in found.encode_all(texts)] == [encode(t, 0)[:-1] for t in texts]
+    assert sorted(asked) == sorted(2 * ["", "!", ",", ":", "other", "some", "words", "x" * 70])
+
+
 def test_token_files_round_trip(spark, documents, encode, tmp_path):
     path = op5.write_tokens(documents, f"file://{tmp_path}/ids")
     rows = op5.read_tokens(spark, path).collect()
