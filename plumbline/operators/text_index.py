@@ -10,14 +10,19 @@ holds or removes from older ones. A manifest names the segments of each version,
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from functools import reduce
+from itertools import pairwise
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import materialized
-from .retrieval import CHANNEL_LIMIT, _blocks, token_set, tokens_of
+from .retrieval import CHANNEL_LIMIT, _blocks, tokens_of
 
 BUCKETS = 64
 #: Ids of a block: bounds the length of a list in one row.
@@ -25,6 +30,11 @@ SPAN = 4096
 
 _POSTINGS = "term string, block long, docs array<long>, bucket int"
 _TERMS = "term string, n long, bucket int"
+_LISTS = "term string, block long, docs array<long>"
+#: Texts that a task cuts into terms at once, and the terms of a block that it keeps before it drops the repeated ones.
+LISTED_ROWS, LISTED_TERMS = 1024, 4 << 20
+#: Bytes of a lower-cased text that are no part of a term become spaces.
+_APART = bytes(b if chr(b) in "abcdefghijklmnopqrstuvwxyz0123456789" else 32 for b in range(256))
 
 
 def _bucket(term: Column) -> Column:
@@ -35,6 +45,52 @@ def _block(doc: Column) -> Column:
     return F.floor(doc / F.lit(SPAN)).cast("long")
 
 
+def _terms_of(part: pa.RecordBatch) -> tuple[pa.StringArray, np.ndarray]:
+    """The terms of texts (doc_id, block, lower-cased text), as token_set() finds them, and the id of each; repeated ones too."""
+    text = part.column(2).cast(pa.string())
+    cuts = np.frombuffer(text.buffers()[1], dtype=np.int32)[text.offset : text.offset + len(text) + 1]
+    data = text.buffers()[2].to_pybytes()[cuts[0] : cuts[-1]] if cuts[-1] > cuts[0] else b""
+    words = pc.ascii_split_whitespace(pa.StringArray.from_buffers(len(text), pa.py_buffer(cuts - cuts[0]), pa.py_buffer(data.translate(_APART))))
+    flat = words.flatten()
+    kept = pc.greater_equal(pc.binary_length(flat), 3)
+    return flat.filter(kept), np.asarray(part.column(0))[np.asarray(pc.list_parent_indices(words).filter(kept))]
+
+
+def _distinct(terms: list[pa.StringArray], ids: list[np.ndarray]) -> tuple[pa.StringArray, np.ndarray, np.ndarray]:
+    """The different pairs of term and id, in this order: the terms, and the place among them and the id of each pair."""
+    coded = pa.concat_arrays(terms).dictionary_encode()
+    every, rank = np.unique(np.concatenate(ids), return_inverse=True)
+    term, own = np.divmod(np.unique(np.asarray(coded.indices).astype(np.int64) * max(1, len(every)) + rank), max(1, len(every)))
+    return coded.dictionary, term, every[own]
+
+
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """term, block, docs of texts that come block by block."""
+    block, terms, ids = None, [], []
+
+    def whole() -> Iterator[pa.RecordBatch]:
+        if sum(map(len, terms)):
+            names, term, docs = _distinct(terms, ids)
+            starts = np.flatnonzero(np.r_[True, term[1:] != term[:-1]])
+            lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(term)).astype(np.int32)), pa.array(docs))
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(term[starts])), pa.array(np.full(len(starts), block, np.int64)), lists], ["term", "block", "docs"])
+
+    for batch in batches:
+        blocks = np.asarray(batch.column(1))
+        for start, end in pairwise([0, *(np.flatnonzero(blocks[1:] != blocks[:-1]) + 1).tolist(), len(blocks)] if len(blocks) else []):
+            if blocks[start] != block:
+                yield from whole()
+                block, terms, ids = blocks[start], [], []
+            for at in range(start, end, LISTED_ROWS):
+                found, owners = _terms_of(batch.slice(at, min(LISTED_ROWS, end - at)))
+                terms.append(found)
+                ids.append(owners)
+                if sum(map(len, terms)) > LISTED_TERMS:  # only repeated ids add up to many
+                    names, term, docs = _distinct(terms, ids)
+                    terms, ids = [names.take(pa.array(term))], [docs]
+    yield from whole()
+
+
 class TextIndex:
     """An index at a path: segments/<name>/{postings,terms,docs,gone} and manifest/version=N."""
 
@@ -60,12 +116,11 @@ class TextIndex:
     def _read(self, segment: str, what: str, schema: str) -> DataFrame:
         return self.spark.read.schema(schema).parquet(f"{self.path}/segments/{segment}/{what}")
 
-    def _write(self, postings: DataFrame, docs: DataFrame, gone: DataFrame) -> str:
-        """postings (term, doc_id) as a segment that holds docs and hides gone."""
+    def _write(self, lists: DataFrame, docs: DataFrame, gone: DataFrame) -> str:
+        """lists (term, block, docs: their ids in order) as a segment that holds docs and hides gone."""
         name = uuid.uuid4().hex
         at = f"{self.path}/segments/{name}"
-        # a list has at most SPAN ids, so a frequent term is many rows and no group is large
-        lists = postings.groupBy("term", _block(F.col("doc_id")).alias("block")).agg(F.sort_array(F.collect_set("doc_id")).alias("docs")).withColumn("bucket", _bucket(F.col("term")))
+        lists = lists.select("term", "block", "docs", _bucket(F.col("term")).alias("bucket"))
         lists.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{at}/postings")
         terms = self._read(name, "postings", _POSTINGS).groupBy("bucket", "term").agg(F.sum(F.size("docs")).alias("n"))
         terms.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{at}/terms")
@@ -76,13 +131,15 @@ class TextIndex:
     def add(self, corpus: DataFrame) -> str:
         """A segment of corpus (doc_id, text): new texts, and those that replace older ones with the same id. Null ids are left out, null texts have no terms."""
         rows = corpus.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
-        name = self._write(rows.select("doc_id", F.explode(token_set(F.col("text"))).alias("term")), rows, rows)
+        texts = rows.select("doc_id", _block(F.col("doc_id")).alias("block"), F.lower(F.coalesce("text", F.lit(""))).alias("text"))
+        # a block has at most SPAN ids: its texts meet in one task, which turns them over, so that postings are no rows
+        name = self._write(texts.repartition("block").sortWithinPartitions("block").mapInArrow(_lists, _LISTS), rows, rows)
         self._publish([*self.segments(), name])
         return name
 
     def remove(self, ids: DataFrame) -> str:
         """A segment without texts that hides ids (doc_id)."""
-        nothing = self.spark.createDataFrame([], "doc_id long, term string")
+        nothing = self.spark.createDataFrame([], f"{_LISTS}, doc_id long")
         name = self._write(nothing, nothing, ids.filter("doc_id is not null"))
         self._publish([*self.segments(), name])
         return name
@@ -92,7 +149,9 @@ class TextIndex:
         segments = self.segments()
         alive = self._alive(segments, lambda s: self._read(s, "postings", _POSTINGS).select("term", F.explode("docs").alias("doc_id")))
         docs = self._alive(segments, lambda s: self._read(s, "docs", "doc_id long"))
-        name = self._write(alive, docs, docs.filter(F.lit(False)))
+        # a list has at most SPAN ids, so a frequent term is many rows and no group is large
+        lists = alive.groupBy("term", _block(F.col("doc_id")).alias("block")).agg(F.sort_array(F.collect_set("doc_id")).alias("docs"))
+        name = self._write(lists, docs, docs.filter(F.lit(False)))
         self._publish([name])
         return name
 

@@ -2,6 +2,7 @@ import random
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -186,6 +187,27 @@ def test_text_index_segments(spark):
     assert lexical_rows(index.search(asked, 10)) == lexical_rows(retrieval.lexical(asked, rest, 10))
 
 
+def test_texts_are_listed_block_by_block(spark, monkeypatch):
+    """Terms of repeated ids add up, also when they are cut down on the way; a segment has one row for each term and block."""
+    monkeypatch.setattr(text_index, "SPAN", 10)
+    rows = [(k, f"Common x{k % 7}y ÉTÉ-abc\u00a0of 12 {'again ' * k}") for k in range(-15, 40)] + [(3, "third Time"), (3, "common third"), (4, None), (None, "common"), (5, "")]
+    index = TextIndex(spark, scratch(spark, "texts"))
+    name = index.add(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert not [n for n, f in vars(text_index).items() if n == "token_set"]  # terms are not exploded to rows
+    kept = {(r["term"], r["block"]): r["docs"] for r in index._read(name, "postings", text_index._POSTINGS).collect()}
+    expected = {}
+    for k, text in rows:
+        for term in retrieval.tokens_of(text) if k is not None else []:
+            expected.setdefault((term, k // 10), set()).add(k)
+    assert kept == {k: sorted(v) for k, v in expected.items()}
+    part = lambda some: pa.RecordBatch.from_pydict({"doc_id": [k for k, _ in some], "block": [k // 10 for k, _ in some], "text": [t.lower() for _, t in some]})
+    monkeypatch.setattr(text_index, "LISTED_TERMS", 5)
+    monkeypatch.setattr(text_index, "LISTED_ROWS", 2)
+    known = sorted((k, t) for k, t in rows if k is not None and t is not None)
+    told = [r for b in text_index._lists(iter([part(known[:20]), part([]), part(known[20:])])) for r in b.to_pylist()]
+    assert len(told) == len(kept) and {(r["term"], r["block"]): r["docs"] for r in told} == kept
+
+
 def test_frequent_terms_are_not_listed(spark, monkeypatch):
     """Once enough texts have the rare terms, the lists of frequent ones are opened only in the candidates' blocks."""
     rows = [(k, "every where " + ("rare odd seldom" if k % 50 == 0 else f"other{k}")) for k in range(2000)]
